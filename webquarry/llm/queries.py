@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm.near_dup import near_duplicates
+from webquarry.llm import bpe, decontaminate, labelled, near_dup, quality_zstd, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scored(df: DataFrame, parts: int, held: int) -> DataFrame:
+    held_out = F.coalesce(labelled.fold("doc_id", parts) == held, F.lit(False))
+    return df.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fitted(documents, table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score_toxicity(documents, model), toxicity.FOLDS, toxicity.HELD)
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) -> DataFrame:
+    vocabulary = bpe.Vocabulary.from_ranks(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = token_store.new_store(spark, "op8")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.token_digests(spark, path)
+
+
+def op9_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_zstd.fitted(documents, table(spark, sf_dir, "labels"))
+    return _scored(quality_zstd.score_quality(documents, model), quality_zstd.FOLDS, quality_zstd.HELD)
 
 
-QUERIES = {"op7_minhash_near_dup": op7_minhash_near_dup}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontaminate, op4_byte_bpe, op7_minhash_near_dup, op8_token_store, op9_quality_zstd)}
 ORACLES: dict[str, str] = {}
