@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, decontaminate, labelled, near_dup, quality_zstd, token_store, toxicity
+from webquarry.llm import bpe, decontaminate, labelled, near_dup, quality_rules, quality_zstd, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str | None = None) ->
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -49,5 +54,5 @@ def op9_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_zstd.score_quality(documents, model), quality_zstd.FOLDS, quality_zstd.HELD)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontaminate, op4_byte_bpe, op7_minhash_near_dup, op8_token_store, op9_quality_zstd)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontaminate, op4_byte_bpe, op5_quality_rules, op7_minhash_near_dup, op8_token_store, op9_quality_zstd)}
+ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
