@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, decontaminate, labelled, near_dup, quality_rules, quality_zstd, token_store, toxicity
+from webquarry.llm import bpe, decontaminate, labelled, line_templates, near_dup, quality_rules, quality_zstd, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.score_toxicity(documents, model), toxicity.FOLDS, toxicity.HELD)
 
 
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,5 +58,11 @@ def op9_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_zstd.score_quality(documents, model), quality_zstd.FOLDS, quality_zstd.HELD)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_decontaminate, op4_byte_bpe, op5_quality_rules, op7_minhash_near_dup, op8_token_store, op9_quality_zstd)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_decontaminate, op4_byte_bpe, op5_quality_rules, op7_minhash_near_dup, op8_token_store, op9_quality_zstd, pipeline)}
 ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
