@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, decontaminate, labelled, line_templates, near_dup, quality_rules, quality_zstd, token_store, toxicity
+from webquarry.llm import bpe, decontaminate, labelled, line_templates, near_dup, pii, quality_rules, quality_zstd, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_report(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
@@ -64,5 +68,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_decontaminate, op4_byte_bpe, op5_quality_rules, op7_minhash_near_dup, op8_token_store, op9_quality_zstd, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_decontaminate, op4_byte_bpe, op5_quality_rules, op6_personal_data, op7_minhash_near_dup, op8_token_store, op9_quality_zstd, pipeline)}
 ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
