@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, decontaminate, labelled, line_templates, near_dup, pii, quality_rules, quality_zstd, token_store, toxicity
+from webquarry.llm import bpe, decontaminate, labelled, licenses, line_templates, near_dup, pii, quality_rules, quality_zstd, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +62,15 @@ def op9_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_zstd.score_quality(documents, model), quality_zstd.FOLDS, quality_zstd.HELD)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_decontaminate, op4_byte_bpe, op5_quality_rules, op6_personal_data, op7_minhash_near_dup, op8_token_store, op9_quality_zstd, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_decontaminate, op4_byte_bpe, op5_quality_rules, op6_personal_data, op7_minhash_near_dup, op8_token_store, op9_quality_zstd, op10_license_scan, pipeline)}
 ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
