@@ -316,6 +316,7 @@ _HOST = "lower(regexp_extract(url, '^https?://([^/?#:]*)', 1))"
 _SITE = f"regexp_extract({_HOST}, '([^.]+[.][^.]+)$', 1)"
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1, 's')"
 _DECODED = "replace({}, '&amp;', '&')"
+_NAME = f"trim({_DECODED.format(_TITLE)})"
 _ENCODED = "'/' || replace(replace(url_encode(substr(h, 2)), '%2C', ','), '%2F', '/')"
 _LINKS = f"(SELECT page_id, url, (i - 1)::INT AS pos, hs[i] AS h, regexp_extract(url, '^(https?://[^/?#]+)', 1) || {_ENCODED.replace('h, 2', 'hs[i], 2')} AS target FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hs, unnest(range(1, len(hs) + 1)) AS i FROM pages))"
 _PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
@@ -351,15 +352,15 @@ ORACLES = {
     "synthetic_urls": f"SELECT page_id, url || '#state:' || substr(sha1(html), 1, 10) AS state_url, url || '#modal:' || ({_slug(_TITLE)}) || '-' || substr(sha1(url), 1, 10) AS modal_url FROM pages",
     "slug_titles": f"SELECT page_id, {_DASH.format(_TITLE)} AS anchor FROM pages",
     "part_slug": f"SELECT p_partkey, {_slug('p_name')} AS slug, replace(replace(p_name, chr(92), chr(92) || chr(92)), '''', chr(92) || '''') AS quoted, substr({_LABEL.format('p_type')}, 1, 60) AS label, 'n_' || regexp_replace(p_brand, '[^a-zA-Z0-9]', '_', 'g') AS ident FROM part",
-    "clamp_ints": "SELECT p_partkey, greatest(5, least(40, p_size)) AS clamped, 4 AS otherwise FROM part",
-    "page_title": f"SELECT page_id, {_DECODED.format(_TITLE)} AS title FROM pages",
+    "clamp_ints": "SELECT p_partkey, greatest(5, least(40, p_size)) AS clamped, coalesce(greatest(1, least(9, try_cast(regexp_extract(p_name, '^[ ]*([+-]?[0-9]+)', 1) AS INT))), 4) AS otherwise FROM part",
+    "page_title": f"SELECT page_id, {_NAME} AS title FROM pages",
     "page_headings": f"SELECT page_id, (i - 1)::INT AS pos, 'h1' AS level, hs[i] AS text FROM (SELECT page_id, {_H1} AS hs, unnest(range(1, len(hs) + 1)) AS i FROM pages)",
     "page_links": f"SELECT l.page_id, l.pos, {_DECODED.format('t.ts[l.pos + 1]')} AS text, target AS href FROM {_LINKS} l JOIN (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">(.*?)</a>', 1) AS ts FROM pages) t ON l.page_id = t.page_id",
-    "link_distinct": f"SELECT target, (min(row(page_id, pos))).page_id AS page_id, (min(row(page_id, pos))).pos AS pos FROM (SELECT target, page_id, pos FROM {_LINKS}) GROUP BY target",
+    "link_distinct": f"SELECT target, page_id, pos FROM {_LINKS} QUALIFY row_number() OVER (PARTITION BY target ORDER BY page_id, pos) = 1",
     "link_cap": f"SELECT page_id, pos, target FROM {_LINKS} WHERE pos < {CAP}",
     "body_text": f"SELECT page_id, t AS body_text, sha1(t) AS text_sha1, substr(sha1(t), 1, 10) AS short_id FROM (SELECT page_id, substr({_PLAIN}, 1, {html.BODY_CAP}) AS t FROM pages)",
     "doc_text_dedup": "SELECT content, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT sha1(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) AS content, doc_id FROM documents) GROUP BY content",
-    "probe_fingerprint": f"SELECT page_id, {_DECODED.format(_TITLE)} || '::' || array_to_string({_H1}, '|') || '::' || len(regexp_extract_all(html, '<a href=')) || ':0:0' AS fingerprint FROM pages",
+    "probe_fingerprint": f"SELECT page_id, {_NAME} || '::' || array_to_string({_H1}, '|') || '::' || len(regexp_extract_all(html, '<a href=')) || ':0:0' AS fingerprint FROM pages",
     "probe_representative": f"SELECT page_id, page_id = min(page_id) OVER (PARTITION BY {_TITLE}) AS is_representative FROM pages",
     "edges_page_target": f"SELECT * FROM {_EDGES}",
     "graph_degree": f'SELECT "from", count(*) AS out_degree FROM {_EDGES} GROUP BY 1',
@@ -373,7 +374,7 @@ ORACLES = {
     "page_state_merge": f"SELECT norm_url, page_id, signature FROM {_NEW} WHERE norm_url IN (SELECT norm_url FROM {_STATUS} WHERE status IN ('added', 'changed')) UNION ALL SELECT norm_url, page_id, signature FROM {_OLD} WHERE norm_url IN (SELECT norm_url FROM {_STATUS} WHERE status = 'unchanged')",
     "clear_outgoing": f'SELECT "from", count(*) AS edges FROM {_EDGES} WHERE "from" % 3 <> 0 GROUP BY 1',
     "upsert_nodes": f"WITH p AS (SELECT substr(sha1({_norm('url')}), 1, 10) AS id, url, page_id FROM pages), t AS (SELECT id, url, page_id, 0 AS new FROM p WHERE page_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY page_id) = 1 UNION ALL SELECT id, upper(url), page_id, 1 FROM p WHERE page_id % 3 = 0) SELECT id, arg_max(url, row(new, page_id)) AS url, arg_min(page_id, row(new, page_id)) AS seq FROM t GROUP BY id",
-    "app_map": f"SELECT ({_slug('url')}) || '-' || substr(sha1({_norm('url')}), 1, 10) AS slug, url, {_DECODED.format(_TITLE)} AS name, array_to_string(list_transform({_H1}, lambda x: 'H1: ' || x), ' | ') AS headings, 0::BIGINT AS n_fields, 0::BIGINT AS n_buttons FROM pages",
+    "app_map": f"SELECT ({_slug('url')}) || '-' || substr(sha1({_norm('url')}), 1, 10) AS slug, url, {_NAME} AS name, array_to_string(list_transform({_H1}, lambda x: 'H1: ' || x), ' | ') AS headings, 0::BIGINT AS n_fields, 0::BIGINT AS n_buttons FROM pages",
     "manifest_counts": "SELECT count(*) AS screens, 0::BIGINT AS modals, count(*) AS total_screens, 0::BIGINT AS pages_visited, 0::BIGINT AS forms_captured_on, 0::BIGINT AS fields, 0::BIGINT AS buttons FROM pages",
     "markdown_parse_back": f"SELECT page_id, array_to_string(list_transform({_H1}, lambda x: 'H1: ' || x), ' | ') AS headings, len(regexp_extract_all(html, '<a href='))::BIGINT AS n_links FROM pages",
     "knowledge_base": f"SELECT sha1(m) AS document_sha1, length(m)::BIGINT AS document_length FROM (SELECT '# Knowledge base: {SEED}' || chr(10) || chr(10) || 'Crawled ' || count(*) || ' screen(s) starting from {SEED}.' || chr(10) || 'Generated: -' || chr(10) || chr(10) || '## Contents' || chr(10) || chr(10) || string_agg('- [' || t || '](#' || a || ')', chr(10) ORDER BY page_id) || chr(10) || chr(10) || string_agg('<a id=\"' || a || '\"></a>' || chr(10) || chr(10) || '## ' || t || chr(10) || 'text' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '### part' || chr(10) || '---' || chr(10), chr(10) ORDER BY page_id) AS m FROM (SELECT page_id, {_TITLE} AS t, {_DASH.format(_TITLE)} AS a FROM pages))",
@@ -382,5 +383,5 @@ ORACLES = {
       UNION ALL SELECT 2, '  n_' || regexp_replace(a, '[^a-zA-Z0-9]', '_', 'g') || ' -->|link| n_' || regexp_replace(b, '[^a-zA-Z0-9]', '_', 'g') FROM e WHERE a IN (SELECT id FROM n) AND b IN (SELECT id FROM n)""",
     "log_levels": "SELECT event_type AS level, count(*) AS lines, min(ts) AS first_at FROM events GROUP BY 1",
     "destructive_text": f"SELECT doc_id, coalesce(regexp_matches(text, '{text.DESTRUCTIVE}', 'i'), false) AS destructive FROM documents",
-    "grid_accumulate": "SELECT l_orderkey AS table_id, (min(row(l_linenumber, l_partkey))).l_linenumber AS step, (min(row(l_linenumber, l_partkey))).l_partkey AS pos, l_returnflag || '|' || l_linestatus AS cells FROM lineitem GROUP BY l_orderkey, l_returnflag, l_linestatus",
+    "grid_accumulate": "SELECT l_orderkey AS table_id, l_linenumber AS step, l_partkey AS pos, l_returnflag || '|' || l_linestatus AS cells FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber, l_partkey) = 1",
 }
