@@ -6,7 +6,7 @@ bytes compared).  Any other pre-token starts as linked single bytes; a heap of
 adjacent pairs by rank, then place, gives the next merge.
 
 Pre-tokens never span a change from visible characters to white space, so texts
-are first cut there and each distinct piece is encoded once while a task's
+are first cut there and each distinct piece is encoded once while a worker's
 bounded cache holds it.
 
 Nulls count as empty texts and give no ids.  Texts are encoded whole; decoding is
@@ -18,9 +18,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ U = np.uint64
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: A run of visible characters with at most one space before it, or white space.
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Distinct pieces that a task's cache holds; it is emptied when full.
-CACHE = 1 << 17
+#: Distinct pieces and pre-tokens that a worker's caches hold (some 200 MB); one is emptied when full.
+CACHE, TOKEN_CACHE = 1 << 18, 1 << 19
 
 
 def explicit(pattern: str) -> str:
@@ -118,6 +120,7 @@ class Vocabulary:
     ids: list[int]
     pattern: str
     table: PerfectHash
+    token: str = field(default_factory=lambda: uuid.uuid4().hex)  # names the vocabulary in a worker
 
     @staticmethod
     def from_ranks(path: str, pattern: str) -> Vocabulary:
@@ -128,7 +131,7 @@ class Vocabulary:
 
 
 class Codec:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one Python worker, with its caches."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -178,7 +181,7 @@ class Codec:
         names = list(pieces)
         parts = [self.split(p) for p in names]
         distinct = list({t for part in parts for t in part}.difference(self.tokens))
-        if len(self.tokens) + len(distinct) > CACHE:
+        if len(self.tokens) + len(distinct) > TOKEN_CACHE:
             self.tokens = {}
             distinct = list({t for part in parts for t in part})
         ids = self.tokens
@@ -190,26 +193,42 @@ class Codec:
         for name, part in zip(names, parts, strict=True):
             self.cache[name] = ids[part[0]] if len(part) == 1 else tuple(i for t in part for i in ids[t])
 
-    def encode_chunk(self, chunk: pa.Array) -> list[list[int]]:
+    def pieces(self, chunk: pa.Array) -> list[list[str]]:
+        """Texts cut into pieces, all of them in the cache."""
         cut = [PIECES.findall(t) for t in chunk.to_pylist()]
         new = {p for pieces in cut for p in pieces}.difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
             self.cache = {}
             new = {p for pieces in cut for p in pieces}
         self.learn(new)
-        cache = self.cache
-        return [[i for p in pieces for i in cache[p]] for pieces in cut]
+        return cut
+
+    def encode_chunk(self, chunk: pa.Array) -> list[list[int]]:
+        cut = self.pieces(chunk)
+        get = self.cache.__getitem__
+        return [list(chain.from_iterable(map(get, pieces))) for pieces in cut]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(sent) -> Codec:
+    """The worker's codec for a broadcast vocabulary; kept from task to task with its caches."""
+    if sent.value.token not in _codecs:
+        _codecs.clear()
+        _codecs[sent.value.token] = Codec(sent.value)
+    return _codecs[sent.value.token]
+
+
 def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """df plus ids (array of int); a clashing column is replaced."""
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def start():
-        codec = Codec(sent.value)
+        codec = codec_of(sent)
         return lambda chunk: {"ids": codec.encode_chunk(chunk)}
 
     return with_struct(df, text_udf("ids array<int>", start)(F.col(f"`{text_col}`").cast("string")), ["ids"])
@@ -220,7 +239,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataF
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        codec = Codec(sent.value)
+        codec = codec_of(sent)
         for batch in batches:
             yield pa.array([None if x is None else codec.decode(x) for x in batch.to_pylist()], type=pa.binary())
 
@@ -233,7 +252,7 @@ def round_trip_digests(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def start():
-        codec = Codec(sent.value)
+        codec = codec_of(sent)
         decimal = {i: str(i) for i in codec.bytes_of}.__getitem__
         digest = lambda data: hashlib.sha256(data).hexdigest()
 
