@@ -69,7 +69,7 @@ def clamp_int(value: Column, low: int, high: int, otherwise: int) -> Column:
     """Leading integer of a text within bounds; ``otherwise`` where there is none."""
     number = F.regexp_extract(F.coalesce(value, F.lit("")), rf"^[{SPACE}]*([+-]?[0-9]+)", 1)
     wide = F.when(number == "", None).otherwise(F.coalesce(number.try_cast("decimal(38,0)"), F.when(number.startswith("-"), F.lit(low)).otherwise(F.lit(high))))
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), wide)), F.lit(otherwise)).cast("int")
+    return F.when(wide.isNull(), F.lit(otherwise)).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), wide))).cast("int")
 
 
 def is_destructive(label: Column) -> Column:
