@@ -8,8 +8,9 @@ aligned.
 
 Stretches come from the template's telling words (not in COMMON): their places in
 the text, joined over gaps of up to a template's length and cut into overlapping
-windows of twice that length, so a license that occurs twice is found twice, and
-a long text costs time in proportion to its length.  A stretch that holds fewer
+windows of twice that length and windows at the first telling word, so a license
+that occurs twice is found twice, and a long text costs time in proportion to its
+length.  A stretch that holds fewer
 than half of a template's telling words (counted at most as often as the template
 has them) cannot reach the coverage asked for and is not aligned.
 
@@ -186,13 +187,14 @@ class Scanner:
 
     def stretch(self, words: np.ndarray, template: Template, places: list[int]) -> list[Match]:
         n = len(template.words)
-        lead = n  # common words before the first telling word
-        lo, hi = max(0, places[0] - lead), min(len(words), places[-1] + 1 + lead)
-        # a stretch of more than one template's length can hold several
-        starts = range(lo, max(lo + 1, hi - n), n) if hi - lo > 3 * n else [lo]
+        lo, hi = max(0, places[0] - n), min(len(words), places[-1] + 1 + n)
+        # windows of twice the template's length, half over each other; and, as repeats leave no
+        # word unique, windows that begin where the template would by its first telling word
+        lead = next(i for i, w in enumerate(template.words) if w in template.telling)
+        spans = {(a, min(hi, a + 2 * n)) for a in range(lo, max(lo + 1, hi - n), n)} | ({(lo, hi)} if hi - lo <= 3 * n else set())
+        spans |= {(max(0, p - lead), min(len(words), p - lead + n + n // 2)) for p in places if words[p] == template.words[lead]}
         out = []
-        for a in starts:
-            b = min(hi, a + 2 * n) if hi - lo > 3 * n else hi
+        for a, b in sorted(spans):
             part = words[a:b].tolist()
             have = Counter(w for w in part if w in template.telling)
             if sum(min(k, template.telling[w]) for w, k in have.items()) < self.least(template):
