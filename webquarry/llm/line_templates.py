@@ -12,9 +12,12 @@ of documents.
 
 A template recurs if at least ``min_docs`` documents have it and these documents
 are not copies of one another.  Copies show in sketches: for every message, the
-smallest hashes of the document's other messages under three permutations.  Where
-one sketch value has SAME_CONTEXT or more of a template's documents, the message
-recurs because whole documents do, and is left to document-level deduplication.
+smallest hashes of the document's messages outside the run of often-seen messages
+that it stands in, under three permutations.  A passage in otherwise different
+documents meets different sketches, a copied document the same.  Where the most
+common sketch value has SAME_CONTEXT or more of a template's documents (the mean
+over the permutations), the message recurs because whole documents do, and is
+left to document-level deduplication.
 
 All occurrences of recurring templates are dropped, and with them messages of
 fewer than ``min_tokens`` tokens that lie between two of them, or between one and
@@ -27,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,21 +84,68 @@ class Messages:
         else:
             self.line = self.leaf = np.zeros(0, U)
 
-    def sketches(self, min_tokens: int) -> list[np.ndarray]:
-        """For each message, the smallest permuted leaf of its document's other (not short) messages."""
-        out = []
+    def sketches(self, kept: np.ndarray, often: np.ndarray) -> list[np.ndarray]:
+        """For each kept message, the smallest permuted leaf outside its run.
+
+        kept: places of messages that are not short; often: whether their leaves are
+        often seen.  A run is a stretch of often-seen messages; any other is one alone.
+        """
         top_value = U((1 << 64) - 1)
+        if not len(kept):
+            return [np.zeros(0, U)] * len(_PERMUTATIONS)
+        doc = self.doc[kept]
+        begins = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | ~(often[1:] & often[:-1])])
+        run = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(kept)]))
+        out = []
         for seed in _PERMUTATIONS:
-            value = np.where(self.count >= min_tokens, scan.mix(self.leaf ^ seed), top_value)
-            top = np.full((2, self.n_docs), top_value)
-            order = np.lexsort((value, self.doc))
-            doc, v = self.doc[order], value[order]
-            fresh = np.r_[True, (doc[1:] != doc[:-1]) | (v[1:] != v[:-1])] if len(v) else np.zeros(0, bool)
-            doc, v = doc[fresh], v[fresh]
-            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            low = np.minimum.reduceat(scan.mix(self.leaf[kept] ^ seed), begins)
+            order = np.lexsort((low, doc[begins]))
+            ranked = doc[begins][order]
+            rank = np.arange(len(order)) - np.searchsorted(ranked, ranked)
+            best = np.full((2, self.n_docs), top_value)
+            owner = np.full(self.n_docs, -1)
             for k in (0, 1):
-                top[k, doc[rank == k]] = v[rank == k]
-            out.append(np.where(top[0, self.doc] == value, top[1, self.doc], top[0, self.doc]))
+                best[k, ranked[rank == k]] = low[order][rank == k]
+            owner[ranked[rank == 0]] = order[rank == 0]
+            out.append(np.where(owner[doc] == run, best[1, doc], best[0, doc]))
+        return out
+
+
+class Often:
+    """Leaves that enough documents have: exactly, or as a bit map that may also hold others."""
+
+    BITS, BLOCK = 28, 19
+
+    def __init__(self, exact: np.ndarray | None = None, blocks: dict[int, bytes] | None = None):
+        self.exact = scan.Lookup(exact.view(U)) if exact is not None else None
+        self.blocks = {b: np.frombuffer(x, dtype=np.uint8) for b, x in (blocks or {}).items()}
+
+    @staticmethod
+    def of(hot: DataFrame) -> Often:
+        """Exact for a table that may be broadcast; else 2**28 bits, set where leaves' low bits say."""
+        if small(hot):
+            return Often(exact=np.sort(hot.toArrow()["leaf"].to_numpy()))
+        place = F.col("leaf").bitwiseAND((1 << Often.BITS) - 1)
+        rows = hot.select(F.shiftright(place, Often.BLOCK).cast("int").alias("block"), place.bitwiseAND((1 << Often.BLOCK) - 1).cast("int").alias("bit")).distinct()
+
+        def pack(bits: pd.DataFrame) -> pd.DataFrame:
+            flags = np.zeros(1 << Often.BLOCK, dtype=np.uint8)
+            flags[bits["bit"].to_numpy()] = 1
+            return pd.DataFrame({"block": [int(bits["block"].iloc[0])], "bits": [np.packbits(flags).tobytes()]})
+
+        return Often(blocks={r["block"]: bytes(r["bits"]) for r in rows.groupBy("block").applyInPandas(pack, "block int, bits binary").collect()})
+
+    def has(self, leaves: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(leaves), dtype=bool)
+        if self.exact is not None:
+            out[self.exact.find(leaves)[0]] = True
+            return out
+        place = (leaves & U((1 << self.BITS) - 1)).astype(np.int64)
+        block, bit = place >> self.BLOCK, place & ((1 << self.BLOCK) - 1)
+        for b in np.unique(block):
+            if int(b) in self.blocks:
+                own = block == b
+                out[own] = self.blocks[int(b)][bit[own] >> 3] >> (7 - (bit[own] & 7)) & 1
         return out
 
 
@@ -115,22 +166,21 @@ def _leaves(min_tokens: int):
     return text_udf("leaves array<long>", start)
 
 
-def _parse(min_tokens: int, hot=None):
-    """Messages of a text; with ``hot``, a broadcast sorted array of leaves, only those in them."""
+def _parse(min_tokens: int, sent):
+    """Messages of a text whose leaves are often seen (a broadcast Often)."""
 
     def start():
-        table = scan.Lookup(hot.value.view(U)) if hot is not None else None
+        table = sent.value
 
         def one(chunk: pa.Array) -> dict:
             x = Messages(chunk)
-            s = x.sketches(min_tokens)
-            keep = np.flatnonzero(x.count >= min_tokens)
-            if table is not None:
-                keep = keep[table.find(x.leaf[keep])[0]]
-            columns = {"position": x.position, "leaf": x.leaf, "line": x.line, "s0": s[0], "s1": s[1], "s2": s[2]}
-            arrays = [pa.array(c[keep].view(np.int64) if c.dtype == U else c[keep].astype(np.int32)) for c in columns.values()]
-            offsets = np.searchsorted(x.doc[keep], np.arange(x.n_docs + 1))
-            return {"lines": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=list(columns)))}
+            kept = np.flatnonzero(x.count >= min_tokens)
+            often = table.has(x.leaf[kept])
+            s = [v[often] for v in x.sketches(kept, often)]
+            at = kept[often]
+            arrays = [pa.array(x.position[at].astype(np.int32)), *(pa.array(c.view(np.int64)) for c in (x.leaf[at], x.line[at], *s))]
+            offsets = np.searchsorted(x.doc[at], np.arange(x.n_docs + 1))
+            return {"lines": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=["position", "leaf", "line", "s0", "s1", "s2"]))}
 
         return one
 
@@ -265,11 +315,9 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # leaves that enough documents have: only their messages are looked at further
     leaves = plain.select(F.explode(_leaves(min_tokens)(F.col("text"))["leaves"]).alias("leaf"))
     hot, hot_at = stored(leaves.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
-    if small(hot):
-        sent = spark.sparkContext.broadcast(np.sort(hot.toArrow()["leaf"].to_numpy()))
-        lines = plain.select("key", F.explode(_parse(min_tokens, sent)(F.col("text"))["lines"]).alias("x")).select("key", "x.*")
-    else:
-        lines = plain.select("key", F.explode(_parse(min_tokens)(F.col("text"))["lines"]).alias("x")).select("key", "x.*").join(hot, "leaf", "left_semi")
+    lines = plain.select("key", F.explode(_parse(min_tokens, spark.sparkContext.broadcast(Often.of(hot)))(F.col("text"))["lines"]).alias("x")).select("key", "x.*")
+    if not small(hot):
+        lines = lines.join(hot, "leaf", "left_semi")
     lines, lines_at = stored(lines.select("key", "position", "leaf", "line", "s0", "s1", "s2"), "lines")
     general = generalised(lines, plain, min_docs).withColumn("general", F.lit(True))
     template = F.when(F.col("general"), F.xxhash64(F.col("leaf"), F.lit("leaf"))).otherwise(F.col("line"))
@@ -278,7 +326,7 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     many, many_at = stored(once.groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs), "many")
     often = once.join(F.broadcast(many) if small(many) else many, "template")
     by_sketch = often.select("template", "docs", F.posexplode(F.array("s0", "s1", "s2")).alias("k", "s")).groupBy("template", "docs", "k", "s").agg(F.count("*").alias("n"))
-    modal = by_sketch.groupBy("template", "docs").agg(F.max("n").alias("n"))
+    modal = by_sketch.groupBy("template", "docs", "k").agg(F.max("n").alias("n")).groupBy("template", "docs").agg(F.avg("n").alias("n"))
     recur, recur_at = stored(modal.filter(F.col("n") < F.greatest(F.lit(1.5), SAME_CONTEXT * F.col("docs"))).select("template"), "recurring")
     hits = named.join(F.broadcast(recur) if small(recur) else recur, "template")
     drops, _ = stored(hits.groupBy("key").agg(F.array_sort(F.collect_set("position")).alias("drop")), "drops")

@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from webquarry.llm import scan
-from webquarry.llm.bpe import CACHE, PIECES
+from webquarry.llm.bpe import PIECES
 from webquarry.llm.store import discard, shared_folder, stored
 
 BLOCK_CHARS = 1 << 20
+#: Distinct pieces that a worker's cache holds (some 120 MB); it is emptied when full.
+CACHE = 1 << 19
+MARKS = ",.;:!?"
 #: Characters for one sorted partition.
 PART_CHARS = 128 << 20
 
@@ -69,25 +73,99 @@ class CachedEncoder:
     """The tokenizers library, asked once for each distinct piece while the cache holds it.
 
     Exact for byte-level BPE whose pre-tokens do not span a change from visible
-    characters to white space.  Special tokens in a text are ordinary text.
+    characters to white space.  New pieces go to the library as one text, in which
+    each begins with white space as it did where it came from (or with a line break
+    of its own); the byte lengths of the tokens give the pieces' ids back.  Special
+    tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each token
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)  # one character stands for one byte
+        self.clear()
+
+    def clear(self) -> None:
+        self.cache: dict[str, int] = {}  # place of a piece in begin and count
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
+        self.begin, self.count = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.used = 0
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        have = len(self.cache)
+        while have + len(pieces) > len(self.begin):
+            self.begin, self.count = np.concatenate([self.begin, self.begin]), np.concatenate([self.count, self.count])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, self.ids])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.count[have : have + len(pieces)] = counts
+        self.begin[have : have + len(pieces)] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        self.cache.update(zip(pieces, range(have, have + len(pieces)), strict=True))
+
+    def learn(self, new: list[str]) -> None:
+        alone = [p for p in new if p.isspace() or not p.strip()]
+        for p in alone:
+            ids = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype=np.uint32)
+            self._keep([p], ids, np.array([len(ids)]))
+        known = set(alone)
+        # a mark after a letter is a pre-token of its own: such pieces take their stem's ids
+        marked = [p for p in new if p[-1] in MARKS and len(p) > 2 and p[-2].isalpha()]
+        known.update(marked)
+        whole = {p for p in new if p not in known}
+        whole.update({p[:-1] for p in marked}.difference(self.cache))
+        whole.update(m for m in MARKS if m not in self.cache)
+        rest = sorted(whole)
+        for lo in range(0, len(rest), 4096):
+            part = rest[lo : lo + 4096]
+            led = [p if p[0] == " " else "\n" + p for p in part]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(led)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            end = np.cumsum(self.size[ids])
+            stop = np.cumsum([len(p.encode()) for p in led])
+            at = np.searchsorted(end, stop, side="left") + 1  # tokens up to each piece's end
+            lead = np.array([p[0] != " " for p in part])
+            first = np.concatenate([[0], at[:-1]]) + lead
+            keep = np.ones(len(ids), dtype=bool)
+            keep[first[lead] - 1] = False
+            self._keep(part, ids[keep], at - first)
+        if marked:
+            stem = np.fromiter((self.cache[p[:-1]] for p in marked), dtype=np.int64)
+            mark = np.fromiter((self.cache[p[-1]] for p in marked), dtype=np.int64)
+            both = np.stack([stem, mark], axis=1).ravel()
+            self._keep(marked, self._gather(both), self.count[stem] + self.count[mark])
+
+    def _gather(self, place: np.ndarray) -> np.ndarray:
+        """Ids of pieces one after another."""
+        count = self.count[place]
+        before = np.cumsum(count) - count
+        return self.ids[np.repeat(self.begin[place] - before, count) + np.arange(count.sum())]
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each text has."""
         cut = [PIECES.findall(t) for t in texts]
         new = {p for pieces in cut for p in pieces}.difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
-            self.cache = {}
+            self.clear()
             new = {p for pieces in cut for p in pieces}
-        names = list(new)
-        for name, got in zip(names, self.tokenizer.encode_batch(names, add_special_tokens=False), strict=True):
-            self.cache[name] = tuple(got.ids)
-        cache = self.cache
-        return [np.array([i for p in pieces for i in cache[p]], dtype=np.uint32) for pieces in cut]
+        self.learn(list(new))
+        place = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
+        total = np.concatenate([[0], np.cumsum(self.count[place])])
+        edge = np.concatenate([[0], np.cumsum([len(p) for p in cut])]).astype(np.int64)
+        return self._gather(place), total[edge[1:]] - total[edge[:-1]]
+
+
+_encoders: dict[str, CachedEncoder] = {}
+
+
+def encoder_of(path: str) -> CachedEncoder:
+    """The worker's encoder for a tokenizer file; kept from task to task with its cache."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = CachedEncoder(path)
+    return _encoders[path]
 
 
 _RAW = "part int, block int, start long, doc_ids array<long>, counts array<int>, ids binary"
@@ -95,18 +173,18 @@ _RAW = "part int, block int, start long, doc_ids array<long>, counts array<int>,
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze = CachedEncoder(path), zstandard.ZstdCompressor(level=1)
+        encoder, squeeze = encoder_of(path), zstandard.ZstdCompressor(level=1)
         part, block, start = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             base = 0
             for chunk in scan.chunks(batch.column("text"), BLOCK_CHARS):
-                rows = [np.append(r, np.uint32(end_id)) for r in encoder(chunk.to_pylist())]
-                counts = [len(r) for r in rows]
-                ids = np.concatenate(rows).astype("<u4")
+                plain, counts = encoder(chunk.to_pylist())
+                ids = np.insert(plain, np.cumsum(counts), end_id).astype("<u4")
+                counts = counts + 1
                 # bytes of equal weight side by side compress better
                 planes = ids.view(np.uint8).reshape(-1, 4).T.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([batch.column("id").slice(base, len(rows)).to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([squeeze.compress(planes)], pa.binary())], names=["part", "block", "start", "doc_ids", "counts", "ids"])
-                base, block, start = base + len(rows), block + 1, start + len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([batch.column("id").slice(base, len(chunk)).to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([squeeze.compress(planes)], pa.binary())], names=["part", "block", "start", "doc_ids", "counts", "ids"])
+                base, block, start = base + len(chunk), block + 1, start + len(ids)
 
     return run
 
