@@ -58,6 +58,14 @@ def test_chunks_cover_slices():
     assert [x for c in scan.chunks(a, 10) for x in c.to_pylist()] == ["", "b" * 50, "", "cc"]
 
 
+def test_clashing_names_are_replaced_in_any_case(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, 6, "x")], "doc_id long, text string, Score int, N_WORDS int, gone_id string")
+    scored = toxicity.score_toxicity(df, toxicity.fit_toxicity([]))
+    assert scored.columns == ["doc_id", "text", "N_WORDS", "gone_id", "score", "predicted"] and scored.first()["score"] == 0.0
+    assert quality_rules.with_statistics(df).first()["n_words"] == 3
+    assert near_dup.drop_near_duplicates(df).columns == df.columns
+
+
 # --- near duplicates ---------------------------------------------------------------
 
 

@@ -237,5 +237,5 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df without the documents that near_duplicates does not keep; all columns stay."""
-    gone, _ = stored(near_duplicates(df, id_col, text_col, **options).filter(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct(), "gone")
-    return df.join(F.broadcast(gone) if small(gone) else gone, F.col(f"`{id_col}`").cast("long") == F.col("gone_id"), "left_anti")
+    gone, _ = stored(near_duplicates(df, id_col, text_col, **options).filter(~F.col("kept")).select(F.col(id_col).alias("webquarry_gone_id")).distinct(), "gone")
+    return df.join(F.broadcast(gone) if small(gone) else gone, F.col(f"`{id_col}`").cast("long") == F.col("webquarry_gone_id"), "left_anti")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webquarry.llm.store import discard, stored
+from webquarry.llm.udf import without
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -48,7 +49,7 @@ def with_statistics(df: DataFrame, text_col: str = "text", size: int = 3) -> Dat
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"]
     tag = "stats_of_" + "_".join(df.columns)[:120]
-    keep = [c for c in df.columns if c not in names]
+    keep = without(df.columns, names)
     all_of = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(1).alias("one"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     out = df.select(all_of.alias(tag), text.alias("t"))

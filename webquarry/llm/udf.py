@@ -38,8 +38,14 @@ def text_udf(schema: str | T.StructType, start: Callable[[], Callable[[pa.Array]
 
 
 def with_struct(df: DataFrame, column: Column, names: list[str], prefix: str = "") -> DataFrame:
-    """df plus the named fields of a struct column; columns of these names are replaced."""
+    """df plus the named fields of a struct column; columns of these names (in any case) are replaced."""
     taken = "_".join(["found", *df.columns])[:200] + "_"
     out = df.withColumn(taken, column)
-    keep = [c for c in df.columns if c not in {prefix + n for n in names}]
+    keep = without(df.columns, [prefix + n for n in names])
     return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{taken}`")[n].alias(prefix + n) for n in names])
+
+
+def without(columns: list[str], names: list[str]) -> list[str]:
+    """Columns but those of the given names; case does not count, as in Spark."""
+    gone = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in gone]
