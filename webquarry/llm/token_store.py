@@ -33,9 +33,10 @@ from tokenizers import Tokenizer
 from webquarry.llm import scan
 from webquarry.llm.bpe import PIECES
 from webquarry.llm.store import discard, shared_folder, stored
+from webquarry.llm.udf import resident
 
 BLOCK_CHARS = 1 << 20
-#: Distinct pieces that a worker's cache holds (some 120 MB); it is emptied when full.
+#: Distinct pieces that a worker's cache holds (some 120 MB); when full, the often used half stays.
 CACHE = 1 << 19
 MARKS = ",.;:!?"
 #: Characters for one sorted partition.
@@ -93,11 +94,21 @@ class CachedEncoder:
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.begin, self.count = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
+        self.uses = np.zeros(1 << 16, dtype=np.int64)  # how often a piece occurred since it is kept
+
+    def evict(self) -> None:
+        """Keep the pieces that occur again and again, at most half of the cache."""
+        names, uses = list(self.cache), self.uses[: len(self.cache)]
+        often = np.flatnonzero(uses > 2)
+        often = np.sort(often[np.argsort(-uses[often], kind="stable")[: CACHE // 2]])
+        ids, counts = self._gather(often), self.count[often]
+        self.clear()
+        self._keep([names[i] for i in often], ids, counts)
 
     def _keep(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         have = len(self.cache)
         while have + len(pieces) > len(self.begin):
-            self.begin, self.count = np.concatenate([self.begin, self.begin]), np.concatenate([self.count, self.count])
+            self.begin, self.count, self.uses = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.count, self.uses))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
         self.ids[self.used : self.used + len(ids)] = ids
@@ -148,24 +159,20 @@ class CachedEncoder:
         cut = [PIECES.findall(t) for t in texts]
         new = {p for pieces in cut for p in pieces}.difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
-            self.clear()
-            new = {p for pieces in cut for p in pieces}
+            self.evict()
+            new = {p for pieces in cut for p in pieces}.difference(self.cache)
         self.learn(list(new))
         place = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
+        uses = np.bincount(place, minlength=1)
+        self.uses[: len(uses)] += uses
         total = np.concatenate([[0], np.cumsum(self.count[place])])
         edge = np.concatenate([[0], np.cumsum([len(p) for p in cut])]).astype(np.int64)
         return self._gather(place), total[edge[1:]] - total[edge[:-1]]
 
 
-_encoders: dict[str, CachedEncoder] = {}
-
-
 def encoder_of(path: str) -> CachedEncoder:
     """The worker's encoder for a tokenizer file; kept from task to task with its cache."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = CachedEncoder(path)
-    return _encoders[path]
+    return resident("tokens:" + path, lambda: CachedEncoder(path))
 
 
 _RAW = "part int, block int, start long, doc_ids array<long>, counts array<int>, ids binary"
