@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U = np.uint64
 _P = U(0x9E3779B97F4A7C15 | 1)
 _P_INV = U(pow(int(_P), -1, 1 << 64))

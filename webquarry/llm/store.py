@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,12 +20,29 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows in an Arrow batch while a stored table is computed: sets and texts are long.
+ARROW_ROWS = "1000"
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: str = ARROW_ROWS) -> Iterator[None]:
+    """A smaller Arrow batch for what runs inside; the session's own setting is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as Parquet and read again, and its path: lineage ends here, and a
     lost executor costs no recomputation beyond it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/webquarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with arrow_rows(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
