@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webquarry.llm import scan
-from webquarry.llm.udf import text_udf, with_struct
+from webquarry.llm.udf import release, resident, text_udf, with_struct
 
 U = np.uint64
 #: Unicode white space, as the pattern's \s has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: A run of visible characters with at most one space before it, or white space.
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Distinct pieces and pre-tokens that a worker's caches hold (some 200 MB); one is emptied when full.
-CACHE, TOKEN_CACHE = 1 << 18, 1 << 19
+#: Distinct pieces and pre-tokens that a worker's caches hold (some 100 MB); one is emptied when full.
+CACHE, TOKEN_CACHE = 1 << 17, 1 << 18
 
 
 def explicit(pattern: str) -> str:
@@ -212,15 +212,9 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec_of(sent) -> Codec:
     """The worker's codec for a broadcast vocabulary; kept from task to task with its caches."""
-    if sent.value.token not in _codecs:
-        _codecs.clear()
-        _codecs[sent.value.token] = Codec(sent.value)
-    return _codecs[sent.value.token]
+    return resident("bpe:" + sent.value.token, lambda: Codec(sent.value))
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
@@ -231,7 +225,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> Dat
         codec = codec_of(sent)
         return lambda chunk: {"ids": codec.encode_chunk(chunk)}
 
-    return with_struct(df, text_udf("ids array<int>", start)(F.col(f"`{text_col}`").cast("string")), ["ids"])
+    return with_struct(df, text_udf("ids array<int>", start, "bpe:")(F.col(f"`{text_col}`").cast("string")), ["ids"])
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
@@ -239,6 +233,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataF
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
+        release("bpe:")
         codec = codec_of(sent)
         for batch in batches:
             yield pa.array([None if x is None else codec.decode(x) for x in batch.to_pylist()], type=pa.binary())
@@ -263,4 +258,4 @@ def round_trip_digests(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc
         return one
 
     base = df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return with_struct(base, text_udf("n_tokens long, ids_sha256 string, decoded_sha256 string", start)(F.col("text")), ["n_tokens", "ids_sha256", "decoded_sha256"]).drop("text")
+    return with_struct(base, text_udf("n_tokens long, ids_sha256 string, decoded_sha256 string", start, "bpe:")(F.col("text")), ["n_tokens", "ids_sha256", "decoded_sha256"]).drop("text")

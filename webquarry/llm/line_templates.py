@@ -32,12 +32,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webquarry.llm import scan
 from webquarry.llm.store import discard, small, stored
-from webquarry.llm.udf import text_udf
+from webquarry.llm.udf import text_udf, trim
 
 U = np.uint64
 DEPTH = 4
@@ -208,16 +209,17 @@ def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(min_tokens: int):
     def start(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, drops in batches:
-            # only texts with something to drop are parsed again
-            at = np.flatnonzero(drops.is_valid().to_numpy(zero_copy_only=False))
-            out = texts.to_pylist()
-            wanted = drops.take(pa.array(at)).to_pylist()
-            base = 0
-            for chunk in scan.chunks(texts.take(pa.array(at))):
-                for d, text in enumerate(without(chunk, wanted[base : base + len(chunk)], min_tokens)):
-                    out[at[base + d]] = text
+            # only texts with something to drop are parsed again; the others stay in Arrow
+            mask = drops.is_valid()
+            at = pa.array(np.flatnonzero(mask.to_numpy(zero_copy_only=False)))
+            wanted, base, parts = drops.take(at), 0, []
+            for chunk in scan.chunks(texts.take(at)):
+                parts.append(pa.array(without(chunk, wanted.slice(base, len(chunk)).to_pylist(), min_tokens), type=pa.string()))
                 base += len(chunk)
-            yield pa.StructArray.from_arrays([pa.array([t for t in out], type=pa.string())], names=["text"])
+            out = pc.replace_with_mask(texts, mask, pa.concat_arrays(parts)) if parts else texts
+            yield pa.StructArray.from_arrays([out], names=["text"])
+            del out, parts
+            trim()
 
     start.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(start, returnType="text string")
@@ -340,7 +342,7 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     hint = F.broadcast(drops) if small(drops, BROADCAST_DOCS) else drops
     joined = keyed.join(hint.withColumnRenamed("key", "webquarry_key"), "webquarry_key", "left").withColumnRenamed("drop", "webquarry_drop")
     clean = _cut(min_tokens)(F.col(f"`{text_col}`").cast("string"), F.col("webquarry_drop"))["text"]
-    columns = [clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if not (counts and c == "n_dropped")]
+    columns = [clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if not (counts and c.lower() == "n_dropped")]
     if counts:
         columns.append(F.when(F.col("webquarry_drop").isNull(), 0).otherwise(F.size("webquarry_drop")).cast("long").alias("n_dropped"))
     return joined.select(*columns)

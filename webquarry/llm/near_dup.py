@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from webquarry.llm import scan
 from webquarry.llm.store import discard, small, stored
-from webquarry.llm.udf import text_udf
+from webquarry.llm.udf import text_udf, trim
 
 U = np.uint64
 #: Documents in one block of the comparison within a bucket.
@@ -128,6 +128,7 @@ def _confirm(parts: int, of: int):
             a, b = batch.column("x_set"), batch.column("y_set")
             keep = [_linked(np.frombuffer(p.as_buffer(), dtype=U), np.frombuffer(q.as_buffer(), dtype=U), parts, of) for p, q in zip(a, b, strict=True)]
             yield batch.select(["x", "y"]).filter(pa.array(keep, type=pa.bool_()))
+        trim()
 
     return run
 

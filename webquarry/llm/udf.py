@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,18 +15,45 @@ from pyspark.sql.pandas.types import to_arrow_type
 from webquarry.llm import scan
 
 
-def text_udf(schema: str | T.StructType, start: Callable[[], Callable[[pa.Array], dict]]) -> Callable[..., Column]:
+_resident: dict[str, object] = {}
+
+
+def resident(key: str, make: Callable[[], object]):
+    """An object that a worker keeps from task to task: one at most, so that memory is bounded."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def trim() -> None:
+    """Hand memory that this worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def release(keep: str = "") -> None:
+    """Drop what another operator left in this worker."""
+    for key in [k for k in _resident if not keep or not k.startswith(keep)]:
+        del _resident[key]
+    trim()
+
+
+def text_udf(schema: str | T.StructType, start: Callable[[], Callable[[pa.Array], dict]], keeps: str = "") -> Callable[..., Column]:
     """A column function of a text column that returns a struct.
 
     ``start`` runs once a task and returns what maps a chunk of texts (a string
     array without nulls) to arrays or lists by field name.  Marked
     non-deterministic so that the optimiser evaluates it once even where a filter
-    on its result follows.
+    on its result follows.  ``keeps`` is the prefix of the resident that it uses;
+    others are released.
     """
     kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     types = {f.name: to_arrow_type(f.dataType) for f in kind.fields}
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release(keeps)
         one = start()
         for batch in batches:
             parts = []
@@ -32,6 +61,8 @@ def text_udf(schema: str | T.StructType, start: Callable[[], Callable[[pa.Array]
                 got = one(chunk)
                 parts.append(pa.StructArray.from_arrays([a if isinstance(a := got[n], pa.Array) else pa.array(a, type=t) for n, t in types.items()], names=list(types)))
             yield pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([pa.array([], type=t) for t in types.values()], names=list(types))
+            del parts
+            trim()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returnType=kind).asNondeterministic()
