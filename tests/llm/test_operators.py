@@ -451,6 +451,24 @@ def test_recurring_messages(spark, monkeypatch, fits):
     assert rows[0]["n_dropped"] == 1 and rows[17]["n_dropped"] == 0 and rows[3]["other"] == "keep3"
 
 
+@pytest.mark.parametrize("own, copies", [(4, 2), (6, 30)])
+def test_a_host_copied_often_keeps_no_passage(spark, own, copies):
+    passage = ". ".join(plain(14, 6000 + k) for k in range(4)) + "."
+    hosts = [f"{plain(40, 6100 + i)}.\n{passage}\n{plain(40, 6200 + i)}." for i in range(own)]
+    texts = hosts + [hosts[0]] * (copies - 1)
+    rows = by_id(line_templates.drop_recurring_lines(docs(spark, texts)))
+    for i in range(len(texts)):
+        j = i if i < own else 0
+        assert rows[i]["text"] == f"{plain(40, 6100 + j)}.\n{plain(40, 6200 + j)}."
+
+
+def test_near_copies_are_left_to_deduplication(spark):
+    base = [plain(14, 6300 + k) for k in range(12)]
+    texts = [". ".join([*base[:i], base[i] + " edited", *base[i + 1 :]]) + "." for i in range(12)]
+    rows = by_id(line_templates.drop_recurring_lines(docs(spark, texts)))
+    assert [rows[i]["text"] for i in range(12)] == texts
+
+
 def test_leaf_templates_generalise_fields(spark):
     names = [plain(1, 9000 + i) for i in range(8)]
     texts = [f"{plain(10, i)}.\nthe user who came in as {re.sub('[0-9]', 'q', n)} left again now\n{plain(12, 50 + i)}." for i, n in enumerate(names)]

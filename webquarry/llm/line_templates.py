@@ -10,14 +10,11 @@ agree with the leaf's template in SIMILAR of their positions belong to it; any
 other message is a template of its own.  The result does not depend on the order
 of documents.
 
-A template recurs if at least ``min_docs`` documents have it and these documents
-are not copies of one another.  Copies show in sketches: for every message, the
-smallest hashes of the document's messages outside the run of often-seen messages
-that it stands in, under three permutations.  A passage in otherwise different
-documents meets different sketches, a copied document the same.  Where the most
-common sketch value has SAME_CONTEXT or more of a template's documents (the mean
-over the permutations), the message recurs because whole documents do, and is
-left to document-level deduplication.
+A template recurs if at least ``min_docs`` documents have it that are not copies
+of one another, however many copies there are besides.  Copies are the components
+of ``near_dup.near_duplicates`` among the documents that may matter (whole texts,
+digits kept), and a component counts once: a message that recurs only because
+whole documents do is left to document-level deduplication.
 
 All occurrences of recurring templates are dropped, and with them messages of
 fewer than ``min_tokens`` tokens that lie between two of them, or between one and
@@ -36,14 +33,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webquarry.llm import scan
+from webquarry.llm import near_dup, scan
 from webquarry.llm.store import discard, small, stored
 from webquarry.llm.udf import text_udf, trim
 
 U = np.uint64
 DEPTH = 4
 SIMILAR = 0.7
-SAME_CONTEXT = 0.4
 MIN_DOCS = 3
 MIN_TOKENS = 5
 #: Rows of (document, dropped lines) up to which these are broadcast.
@@ -51,8 +47,6 @@ BROADCAST_DOCS = 200_000
 
 _DIGIT = scan.byte_class((0x30, 0x39))
 _FIELD = U(0x5EED5EED5EED5EED)
-_PERMUTATIONS = scan.stream(31, 3)
-
 
 _STOP = scan.byte_class((0x2E, 0x2E), (0x21, 0x21), (0x3F, 0x3F))
 
@@ -85,32 +79,6 @@ class Messages:
         else:
             self.line = self.leaf = np.zeros(0, U)
 
-    def sketches(self, kept: np.ndarray, often: np.ndarray) -> list[np.ndarray]:
-        """For each kept message, the smallest permuted leaf outside its run.
-
-        kept: places of messages that are not short; often: whether their leaves are
-        often seen.  A run is a stretch of often-seen messages; any other is one alone.
-        """
-        top_value = U((1 << 64) - 1)
-        if not len(kept):
-            return [np.zeros(0, U)] * len(_PERMUTATIONS)
-        doc = self.doc[kept]
-        begins = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | ~(often[1:] & often[:-1])])
-        run = np.repeat(np.arange(len(begins)), np.diff(np.r_[begins, len(kept)]))
-        out = []
-        for seed in _PERMUTATIONS:
-            low = np.minimum.reduceat(scan.mix(self.leaf[kept] ^ seed), begins)
-            order = np.lexsort((low, doc[begins]))
-            ranked = doc[begins][order]
-            rank = np.arange(len(order)) - np.searchsorted(ranked, ranked)
-            best = np.full((2, self.n_docs), top_value)
-            owner = np.full(self.n_docs, -1)
-            for k in (0, 1):
-                best[k, ranked[rank == k]] = low[order][rank == k]
-            owner[ranked[rank == 0]] = order[rank == 0]
-            out.append(np.where(owner[doc] == run, best[1, doc], best[0, doc]))
-        return out
-
 
 class Often:
     """Leaves that enough documents have: exactly, or as a bit map that may also hold others."""
@@ -177,15 +145,14 @@ def _parse(min_tokens: int, sent):
             x = Messages(chunk)
             kept = np.flatnonzero(x.count >= min_tokens)
             often = table.has(x.leaf[kept])
-            s = [v[often] for v in x.sketches(kept, often)]
             at = kept[often]
-            arrays = [pa.array(x.position[at].astype(np.int32)), *(pa.array(c.view(np.int64)) for c in (x.leaf[at], x.line[at], *s))]
+            arrays = [pa.array(x.position[at].astype(np.int32)), *(pa.array(c.view(np.int64)) for c in (x.leaf[at], x.line[at]))]
             offsets = np.searchsorted(x.doc[at], np.arange(x.n_docs + 1))
-            return {"lines": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=["position", "leaf", "line", "s0", "s1", "s2"]))}
+            return {"lines": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=["position", "leaf", "line"]))}
 
         return one
 
-    return text_udf("lines array<struct<position: int, leaf: long, line: long, s0: long, s1: long, s2: long>>", start)
+    return text_udf("lines array<struct<position: int, leaf: long, line: long>>", start)
 
 
 def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,19 +287,22 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = plain.select("key", F.explode(_parse(min_tokens, spark.sparkContext.broadcast(Often.of(hot)))(F.col("text"))["lines"]).alias("x")).select("key", "x.*")
     if not small(hot):
         lines = lines.join(hot, "leaf", "left_semi")
-    lines, lines_at = stored(lines.select("key", "position", "leaf", "line", "s0", "s1", "s2"), "lines")
+    lines, lines_at = stored(lines.select("key", "position", "leaf", "line"), "lines")
     general = generalised(lines, plain, min_docs).withColumn("general", F.lit(True))
     template = F.when(F.col("general"), F.xxhash64(F.col("leaf"), F.lit("leaf"))).otherwise(F.col("line"))
-    named, named_at = stored(lines.join(general, ["leaf", "line"], "left").withColumn("template", template).select("key", "position", "template", "s0", "s1", "s2"), "named-lines")
-    once = named.groupBy("template", "key").agg(*[F.min(s).alias(s) for s in ("s0", "s1", "s2")])
-    many, many_at = stored(once.groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs), "many")
-    often = once.join(F.broadcast(many) if small(many) else many, "template")
-    by_sketch = often.select("template", "docs", F.posexplode(F.array("s0", "s1", "s2")).alias("k", "s")).groupBy("template", "docs", "k", "s").agg(F.count("*").alias("n"))
-    modal = by_sketch.groupBy("template", "docs", "k").agg(F.max("n").alias("n")).groupBy("template", "docs").agg(F.avg("n").alias("n"))
-    recur, recur_at = stored(modal.filter(F.col("n") < F.greatest(F.lit(1.5), SAME_CONTEXT * F.col("docs"))).select("template"), "recurring")
+    named, named_at = stored(lines.join(general, ["leaf", "line"], "left").withColumn("template", template).select("key", "position", "template"), "named-lines")
+    once = named.select("template", "key").distinct()
+    many, many_at = stored(once.groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("template"), "many")
+    often, often_at = stored(once.join(F.broadcast(many) if small(many) else many, "template"), "often")
+    # documents by component of near copies, each of which counts once
+    holders, holders_at = stored(often.select("key").distinct(), "holders")
+    held = plain.join(F.broadcast(holders) if small(holders) else holders, "key", "left_semi")
+    copies, copies_at = stored(near_dup.near_duplicates(held, "key").select("key", "component_id").distinct(), "copies")
+    groups = often.join(copies, "key").select("template", "component_id").distinct()
+    recur, recur_at = stored(groups.groupBy("template").agg(F.count("*").alias("groups")).filter(F.col("groups") >= min_docs).select("template"), "recurring")
     hits = named.join(F.broadcast(recur) if small(recur) else recur, "template")
     drops, _ = stored(hits.groupBy("key").agg(F.array_sort(F.collect_set("position")).alias("drop")), "drops")
-    discard(spark, hot_at, lines_at, named_at, many_at, recur_at)
+    discard(spark, hot_at, lines_at, named_at, many_at, often_at, holders_at, copies_at, recur_at)
     return keyed, drops
 
 
