@@ -469,6 +469,22 @@ def test_near_copies_are_left_to_deduplication(spark):
     assert [rows[i]["text"] for i in range(12)] == texts
 
 
+def test_log_documents_are_no_copies(spark):
+    line = "2026-01-{:02d} INFO user {} logged in from 10.0.{}.{} port {}"
+    texts = ["\n".join(line.format(1 + j, 7 * i + j, i, j, 1000 + 31 * i + j) for j in range(6)) for i in range(8)]
+    texts += [f"{plain(40, 6400 + i)}.\n{line.format(9, i, i, i, i)}" for i in range(4)]
+    rows = by_id(line_templates.drop_recurring_lines(docs(spark, texts)))
+    assert [rows[i]["text"] for i in range(12)] == [""] * 8 + [f"{plain(40, 6400 + i)}." for i in range(4)]
+
+
+def test_shared_messages_apart_from_one_another(spark):
+    shared = [plain(12, 6500 + k) + "." for k in range(4)]
+    own = lambda i, k: plain(14, 6600 + 10 * i + k) + "."
+    texts = ["\n".join(x for k in range(4) for x in ((shared[k], own(i, k)) if k in (0, 2) else (shared[k],))) for i in range(6)]
+    rows = by_id(line_templates.drop_recurring_lines(docs(spark, texts)))
+    assert [rows[i]["text"] for i in range(6)] == [f"{own(i, 0)}\n{own(i, 2)}" for i in range(6)]
+
+
 def test_leaf_templates_generalise_fields(spark):
     names = [plain(1, 9000 + i) for i in range(8)]
     texts = [f"{plain(10, i)}.\nthe user who came in as {re.sub('[0-9]', 'q', n)} left again now\n{plain(12, 50 + i)}." for i, n in enumerate(names)]
