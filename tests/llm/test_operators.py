@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from webquarry.llm import boosting, bpe, decontaminate, labelled, licenses, line_templates, near_dup, pii, quality_rules, quality_zstd, scan, store, token_store, toxicity
+from webquarry.llm import boosting, bpe, decontaminate, labelled, licenses, line_templates, near_dup, pii, quality_rules, quality_zstd, queries, scan, store, token_store, toxicity
 
 tokenizers = pytest.importorskip("public_tokenizers")
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -236,6 +236,20 @@ def test_token_store(spark):
     assert min(ranks.values()) == 0 and len(set(ranks.values())) == len(ranks)
 
 
+def test_token_store_query_takes_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    texts = [prose(20, 1), "one <|endoftext|> two<|endoftext|>", "", None, prose(20, 2), "<|endoftext|>", "<|endoftext"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got, start = by_id(queries.op8_token_store(spark, str(tmp_path))), 0
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert tuple(got[i])[1:] == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        start += len(ids)
+    assert t.token_to_id("<|endoftext|>") in t.encode(texts[1], add_special_tokens=False).ids
+
+
 def test_token_store_of_nothing(spark):
     target = token_store.new_store(spark, "none")
     token_store.write_tokens(docs(spark, []), target, tokenizers.path("byte_bpe_50k.json"))

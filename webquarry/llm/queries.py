@@ -52,7 +52,7 @@ def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_store(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = token_store.new_store(spark, "op8")
-    token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), special=True)
     return token_store.token_digests(spark, path)
 
 

@@ -77,12 +77,14 @@ class CachedEncoder:
     characters to white space.  New pieces go to the library as one text, in which
     each begins with white space as it did where it came from (or with a line break
     of its own); the byte lengths of the tokens give the pieces' ids back.  Special
-    tokens in a text are ordinary text.
+    tokens in a text are ordinary text, or with ``special`` their own ids: then texts
+    that hold one go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         vocabulary = self.tokenizer.get_vocab()
         self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each token
         for token, i in vocabulary.items():
@@ -156,6 +158,19 @@ class CachedEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each text has."""
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not whole:
+            return self.pieces(texts)
+        self.tokenizer.encode_special_tokens = False
+        alone = {i: np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32) for i in whole}
+        self.tokenizer.encode_special_tokens = True
+        ids, counts = self.pieces(["" if i in alone else t for i, t in enumerate(texts)])
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        parts = [alone.get(i, part) for i, part in enumerate(parts)]
+        return np.concatenate(parts), np.array([len(part) for part in parts], dtype=np.int64)
+
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by pieces, for texts without added tokens."""
         cut = [PIECES.findall(t) for t in texts]
         new = {p for pieces in cut for p in pieces}.difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
@@ -170,17 +185,17 @@ class CachedEncoder:
         return self._gather(place), total[edge[1:]] - total[edge[:-1]]
 
 
-def encoder_of(path: str) -> CachedEncoder:
+def encoder_of(path: str, special: bool) -> CachedEncoder:
     """The worker's encoder for a tokenizer file; kept from task to task with its cache."""
-    return resident("tokens:" + path, lambda: CachedEncoder(path))
+    return resident(f"tokens:{special}:{path}", lambda: CachedEncoder(path, special))
 
 
 _RAW = "part int, block int, start long, doc_ids array<long>, counts array<int>, ids binary"
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze = encoder_of(path), zstandard.ZstdCompressor(level=1)
+        encoder, squeeze = encoder_of(path, special), zstandard.ZstdCompressor(level=1)
         part, block, start = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             base = 0
@@ -226,9 +241,12 @@ def _rank(sent, starts):
     return run
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", special: bool = False) -> None:
     """Encode all texts with a tokenizer file and write a store at ``path``.
 
+    Strings of added tokens in a text are ordinary text, or with ``special`` those
+    tokens, as the library has it by default.
+
     One range exchange of the texts orders them; ids are written once in between,
     counted over the whole table, and ranked.  The driver holds the vocabulary's
     ranks and one number for each sorted partition.
@@ -238,7 +256,7 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_c
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
     ordered = base.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    plain, plain_at = stored(ordered.mapInArrow(_encode(tokenizer, end_id), _RAW), "ids")
+    plain, plain_at = stored(ordered.mapInArrow(_encode(tokenizer, end_id, special), _RAW), "ids")
     counted = plain.select("counts", "ids").mapInArrow(_frequencies, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = counted["id"].to_numpy(), counted["n"].to_numpy()
     by_rank = ids[np.lexsort((ids, -n))]
