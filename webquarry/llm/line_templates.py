@@ -2,7 +2,7 @@
 
 Lines are cut at sentence ends, as a passage may be appended to a line; the pieces
 are called messages.  A message's tokens are its runs of non-space characters;
-tokens with a digit count as one variable field.  The tree has two levels: the
+tokens with a digit count as one variable field, but in messages of nothing else.  The tree has two levels: the
 number of tokens, then the first DEPTH tokens.  Inside a leaf, the most common
 token of every position (weighted by documents) makes the leaf's template where
 it has half of the documents; other positions are variable fields.  Messages that
@@ -61,13 +61,15 @@ class Messages:
         line = np.searchsorted(edges, s.start, side="right") - 1
         digits = np.concatenate([[0], np.cumsum(_DIGIT[s.buf])])
         token = s.words()
-        token[digits[s.end] > digits[s.start]] = _FIELD
+        field = digits[s.end] > digits[s.start]
         n = len(token)
         stop = _STOP[s.buf[s.end - 1]] if n else np.zeros(0, bool)
         self.first = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | stop[:-1]]) if n else np.zeros(0, np.int64)
         first = self.first
-        self.token = token
         self.count = np.diff(np.r_[first, n])
+        if n:  # a message of fields only has no template: its tokens stay as they are
+            token[field & np.repeat(np.add.reduceat((~field).astype(np.int64), first) > 0, self.count)] = _FIELD
+        self.token = token
         self.doc, self.line_number = (s.doc[first], line[first]) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.position = np.arange(len(first)) - np.searchsorted(self.doc, self.doc)
         place = np.arange(n) - np.repeat(first, self.count)
