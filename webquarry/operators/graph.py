@@ -7,27 +7,21 @@ one level.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.functions import text, urls
 from webquarry.operators.dedup import first_seen
+from webquarry.store import discard, stored_at
+
+
+#: Levels after which what was reached is stored as one table.
+FOLD = 8
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/webquarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored_at(df, name)[0]
 
 
 def link_rows(screens: DataFrame, source: str = "id") -> DataFrame:
@@ -65,16 +59,28 @@ def without_outgoing(edges: DataFrame, changed: DataFrame, key: str = "id") -> D
 
 
 def levels(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """Nodes that roots (id) reach, with the least number of steps: id, depth."""
-    steps = stored(edges.select(F.col("from").alias("id"), F.col("to")).distinct(), "steps")
-    frontier = stored(roots.select("id").filter("id is not null").distinct().withColumn("depth", F.lit(0)), "level")
-    reached = frontier
+    """Nodes that roots (id) reach, with the least number of steps: id, depth.
+
+    Levels are stored one by one; every FOLD levels, what was reached becomes one
+    table, so that a level reads few files however deep the graph is.
+    """
+    spark = edges.sparkSession
+    steps, steps_at = stored_at(edges.select(F.col("from").alias("id"), F.col("to")).distinct(), "steps")
+    frontier, at = stored_at(roots.select("id").filter("id is not null").distinct().withColumn("depth", F.lit(0)), "level")
+    reached, parts = frontier, [at]
     depth = 0
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
         ahead = steps.join(frontier, "id").select(F.col("to").alias("id")).filter("id is not null").distinct()
-        frontier = stored(ahead.join(reached, "id", "left_anti").withColumn("depth", F.lit(depth)), "level")
-        reached = reached.unionByName(frontier)
+        frontier, at = stored_at(ahead.join(reached, "id", "left_anti").withColumn("depth", F.lit(depth)), "level")
+        reached, parts = reached.unionByName(frontier), [*parts, at]
+        if len(parts) > FOLD:
+            reached, folded = stored_at(reached, "reached")
+            discard(spark, *parts[:-1])
+            gone, parts = parts[-1], [folded]
+            frontier = reached.filter(F.col("depth") == depth)
+            discard(spark, gone)
+    discard(spark, steps_at)
     return reached
 
 
