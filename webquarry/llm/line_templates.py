@@ -16,14 +16,23 @@ of ``near_dup.near_duplicates`` among the documents that may matter (whole texts
 digits kept), and a component counts once: a message that recurs only because
 whole documents do is left to document-level deduplication.
 
-All occurrences of recurring templates are dropped, and with them messages of
-fewer than ``min_tokens`` tokens that lie between two of them, or between one and
-the line's edge.  Other short messages are never dropped.  Null texts stay null;
-rows equal in id and text count as one document; texts are read whole.
+Messages of fewer than ``min_tokens`` tokens say little by themselves ("Yes.").
+They count only where they are a whole line and hold a letter, and such a template
+recurs if a share of ``short_share`` of all rows (and ``min_docs``) have it, copies
+again counted once.  All occurrences of recurring templates are dropped, and with
+them short messages that lie between two of them, or between one and the line's
+edge; other short messages stay.
+
+Every step is a join or an aggregate over all messages, the same at every size.
+Null texts stay null; empty texts stay empty; rows equal in id and text count as
+one document, null ids included; texts are read whole.  Ties between tokens of a
+position go to the larger hash.  An empty table gives an empty table.  Other
+columns stay; with ``counts``, n_dropped replaces a column of that name.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webquarry.llm import near_dup, scan
-from webquarry.llm.store import discard, small, stored
+from webquarry.llm.store import discard, joined, small, stored
 from webquarry.llm.udf import text_udf, trim
 
 U = np.uint64
@@ -42,10 +51,15 @@ DEPTH = 4
 SIMILAR = 0.7
 MIN_DOCS = 3
 MIN_TOKENS = 5
-#: Rows of (document, dropped lines) up to which these are broadcast.
-BROADCAST_DOCS = 200_000
+#: Share of all rows that a short line has to be in.
+SHORT_SHARE = 0.001
+#: Rows of two or three numbers up to which they are broadcast: at most about 64 MB.
+BROADCAST_ROWS = 500_000
+#: Documents up to which lists of their messages' places are broadcast.
+WANTED_DOCS = 50_000
 
 _DIGIT = scan.byte_class((0x30, 0x39))
+_LETTER = scan.byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _FIELD = U(0x5EED5EED5EED5EED)
 
 _STOP = scan.byte_class((0x2E, 0x2E), (0x21, 0x21), (0x3F, 0x3F))
@@ -81,80 +95,39 @@ class Messages:
         else:
             self.line = self.leaf = np.zeros(0, U)
 
+    def whole_line(self) -> np.ndarray:
+        """Whether a message is all that its line holds."""
+        line = self.line_number
+        other = np.r_[True, line[1:] != line[:-1], True] if len(line) else np.zeros(1, bool)
+        return other[:-1] & other[1:]
 
-class Often:
-    """Leaves that enough documents have: exactly, or as a bit map that may also hold others."""
+    def has(self, table: np.ndarray) -> np.ndarray:
+        """Whether a message has a byte of the table."""
+        total = np.concatenate([[0], np.cumsum(table[self.scan.buf])])
+        last = np.r_[self.first[1:], len(self.token)] - 1
+        return total[self.scan.end[last]] > total[self.scan.start[self.first]] if len(self.first) else np.zeros(0, bool)
 
-    BITS, BLOCK = 28, 19
 
-    def __init__(self, exact: np.ndarray | None = None, blocks: dict[int, bytes] | None = None):
-        self.exact = scan.Lookup(exact.view(U)) if exact is not None else None
-        self.blocks = {b: np.frombuffer(x, dtype=np.uint8) for b, x in (blocks or {}).items()}
+def _parse(min_tokens: int):
+    """Messages of a text that may recur: place, leaf, line, whether long, and whether the text's first of its leaf."""
 
-    @staticmethod
-    def of(hot: DataFrame) -> Often:
-        """Exact for a table that may be broadcast; else 2**28 bits, set where leaves' low bits say."""
-        if small(hot):
-            return Often(exact=np.sort(hot.toArrow()["leaf"].to_numpy()))
-        place = F.col("leaf").bitwiseAND((1 << Often.BITS) - 1)
-        rows = hot.select(F.shiftright(place, Often.BLOCK).cast("int").alias("block"), place.bitwiseAND((1 << Often.BLOCK) - 1).cast("int").alias("bit")).distinct()
-
-        def pack(bits: pd.DataFrame) -> pd.DataFrame:
-            flags = np.zeros(1 << Often.BLOCK, dtype=np.uint8)
-            flags[bits["bit"].to_numpy()] = 1
-            return pd.DataFrame({"block": [int(bits["block"].iloc[0])], "bits": [np.packbits(flags).tobytes()]})
-
-        return Often(blocks={r["block"]: bytes(r["bits"]) for r in rows.groupBy("block").applyInPandas(pack, "block int, bits binary").collect()})
-
-    def has(self, leaves: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(leaves), dtype=bool)
-        if self.exact is not None:
-            out[self.exact.find(leaves)[0]] = True
-            return out
-        place = (leaves & U((1 << self.BITS) - 1)).astype(np.int64)
-        block, bit = place >> self.BLOCK, place & ((1 << self.BLOCK) - 1)
-        for b in np.unique(block):
-            if int(b) in self.blocks:
-                own = block == b
-                out[own] = self.blocks[int(b)][bit[own] >> 3] >> (7 - (bit[own] & 7)) & 1
-        return out
-
-
-def _leaves(min_tokens: int):
     def start():
         def one(chunk: pa.Array) -> dict:
             x = Messages(chunk)
-            keep = x.count >= min_tokens
-            doc, leaf = x.doc[keep], x.leaf[keep]
-            order = np.lexsort((leaf, doc))
-            doc, leaf = doc[order], leaf[order]
-            fresh = np.r_[True, (doc[1:] != doc[:-1]) | (leaf[1:] != leaf[:-1])] if len(doc) else np.zeros(0, bool)
-            doc, leaf = doc[fresh], leaf[fresh]
-            return {"leaves": pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(x.n_docs + 1)), pa.int32()), pa.array(leaf.view(np.int64)))}
-
-        return one
-
-    return text_udf("leaves array<long>", start)
-
-
-def _parse(min_tokens: int, sent):
-    """Messages of a text whose leaves are often seen (a broadcast Often)."""
-
-    def start():
-        table = sent.value
-
-        def one(chunk: pa.Array) -> dict:
-            x = Messages(chunk)
-            kept = np.flatnonzero(x.count >= min_tokens)
-            often = table.has(x.leaf[kept])
-            at = kept[often]
-            arrays = [pa.array(x.position[at].astype(np.int32)), *(pa.array(c.view(np.int64)) for c in (x.leaf[at], x.line[at]))]
-            offsets = np.searchsorted(x.doc[at], np.arange(x.n_docs + 1))
-            return {"lines": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(arrays, names=["position", "leaf", "line"]))}
+            long = x.count >= min_tokens
+            at = np.flatnonzero(long | (x.whole_line() & x.has(_LETTER)))
+            doc, leaf = x.doc[at], x.leaf[at]
+            order = np.lexsort((at, leaf, doc))
+            again = np.r_[False, (doc[order][1:] == doc[order][:-1]) & (leaf[order][1:] == leaf[order][:-1])] if len(at) else np.zeros(0, bool)
+            first = np.ones(len(at), dtype=bool)
+            first[order[again]] = False
+            arrays = [pa.array(x.position[at].astype(np.int32)), *(pa.array(c.view(np.int64)) for c in (leaf, x.line[at])), pa.array(long[at]), pa.array(first)]
+            offsets = pa.array(np.searchsorted(doc, np.arange(x.n_docs + 1)), pa.int32())
+            return {"lines": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(arrays, names=["position", "leaf", "line", "long", "first"]))}
 
         return one
 
-    return text_udf("lines array<struct<position: int, leaf: long, line: long>>", start)
+    return text_udf("lines array<struct<position: int, leaf: long, line: long, long: boolean, first: boolean>>", start)
 
 
 def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,14 +138,16 @@ def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = Messages(chunk)
             wanted = batch.column("wanted").slice(base, len(chunk)).to_pylist()
             base += len(chunk)
-            at = {(int(d), int(p)): i for i, (d, p) in enumerate(zip(x.doc, x.position, strict=True))}
-            rows = [(w, at[d, w["position"]]) for d, ws in enumerate(wanted) for w in ws]
+            begin = np.searchsorted(x.doc, np.arange(x.n_docs + 1))
+            rows = [(w, int(begin[d]) + w["position"]) for d, ws in enumerate(wanted) for w in ws]
             if not rows:
                 continue
-            n = x.count[[i for _, i in rows]]
-            token = np.concatenate([x.token[x.first[i] : x.first[i] + x.count[i]] for _, i in rows])
+            picked = np.array([i for _, i in rows])
+            n = x.count[picked]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            token = x.token[np.repeat(x.first[picked], n) + place]
             column = lambda name: pa.array(np.repeat(np.array([w[name] for w, _ in rows], dtype=np.int64), n))
-            yield pa.RecordBatch.from_arrays([column("leaf"), column("line"), column("docs"), pa.array(np.concatenate([np.arange(k) for k in n]), pa.int32()), pa.array(token.view(np.int64))], names=["leaf", "line", "docs", "place", "token"])
+            yield pa.RecordBatch.from_arrays([column("leaf"), column("line"), column("docs"), pa.array(place.astype(np.int32)), pa.array(token.view(np.int64))], names=["leaf", "line", "docs", "place", "token"])
 
 
 def _cut(min_tokens: int):
@@ -254,26 +229,30 @@ def without(chunk: pa.Array, drops: list[list[int]], min_tokens: int) -> list[st
     return out
 
 
-def generalised(lines: DataFrame, keyed: DataFrame, min_docs: int) -> DataFrame:
+def generalised(each: DataFrame, keyed: DataFrame, min_docs: int) -> DataFrame:
     """Messages that belong to their leaf's template: columns leaf, line.
 
-    lines: stored occurrences (key, position, leaf, line, ...); keyed: key, text.
+    each: a row for each distinct message: leaf, line, docs and the least (key,
+    position) that has it, ``at``; keyed: key, text.
     """
-    each = lines.groupBy("leaf", "line").agg(F.count_distinct("key").alias("docs"), F.min(F.struct("key", "position")).alias("at"))
     shared = each.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("leaf_docs")).filter(f"kinds > 1 and leaf_docs >= {min_docs}")
-    chosen = each.join(shared, "leaf").select(F.col("at.key").alias("key"), F.struct("leaf", "line", "docs", F.col("at.position").alias("position")).alias("w"))
-    wanted, _ = stored(chosen.groupBy("key").agg(F.collect_list("w").alias("wanted")), "wanted-lines")
-    found = keyed.join(F.broadcast(wanted) if small(wanted, BROADCAST_DOCS) else wanted, "key").select("text", "wanted").mapInArrow(_tokens_of, "leaf long, line long, docs long, place int, token long")
-    tokens, _ = stored(found.distinct(), "line-tokens")
+    shared, shared_at = stored(shared.select("leaf"), "shared-leaves")
+    chosen = joined(each, shared, "leaf", "line").select(F.col("at.key").alias("key"), F.struct("leaf", "line", "docs", F.col("at.position").alias("position")).alias("w"))
+    wanted, wanted_at = stored(chosen.groupBy("key").agg(F.collect_list("w").alias("wanted")), "wanted-lines")
+    found = keyed.join(F.broadcast(wanted) if small(wanted, WANTED_DOCS) else wanted, "key").select("text", "wanted").mapInArrow(_tokens_of, "leaf long, line long, docs long, place int, token long")
+    tokens, tokens_at = stored(found.distinct(), "line-tokens")
     votes = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs"))
     top = votes.groupBy("leaf", "place").agg(F.max(F.struct("docs", "token")).alias("m"), F.sum("docs").alias("all"))
-    literal = top.filter(2 * F.col("m.docs") >= F.col("all")).select("leaf", "place", F.col("m.token").alias("token"))
-    agree = tokens.join(literal, ["leaf", "place", "token"]).groupBy("leaf", "line").agg(F.count("*").alias("same"))
-    size = tokens.groupBy("leaf", "line").agg(F.count("*").alias("tokens"))
-    return agree.join(size, ["leaf", "line"]).filter(F.col("same") >= SIMILAR * F.col("tokens")).select("leaf", "line")
+    literal = top.filter(2 * F.col("m.docs") >= F.col("all")).select(F.struct("leaf", "place", F.col("m.token").alias("token")).alias("slot"))
+    literal, literal_at = stored(literal, "literals")
+    slotted = tokens.select("line", "leaf", F.struct("leaf", "place", "token").alias("slot"))
+    agree = joined(slotted, literal.withColumn("same", F.lit(1)), "slot", "line", "left", BROADCAST_ROWS).groupBy("leaf", "line").agg(F.count("same").alias("same"), F.count("*").alias("tokens"))
+    general, _ = stored(agree.filter(F.col("same") >= SIMILAR * F.col("tokens")).select("leaf", "line"), "general")
+    discard(keyed.sparkSession, shared_at, wanted_at, tokens_at, literal_at)
+    return general
 
 
-def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> tuple[DataFrame, DataFrame]:
+def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, short_share: float = SHORT_SHARE) -> tuple[DataFrame, DataFrame]:
     """(keyed, drops): df with a column webquarry_key, and key, drop (places of recurring messages).
 
     The key is a hash of id and text.
@@ -283,38 +262,44 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     key = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\0")), F.coalesce(text, F.lit("\0")))
     keyed = df.withColumn("webquarry_key", key)
     plain = keyed.select(F.col("webquarry_key").alias("key"), text.alias("text"))
+    messages, messages_at = stored(plain.select("key", F.explode(_parse(min_tokens)(F.col("text"))["lines"]).alias("x")).select("key", "x.*"), "messages")
     # leaves that enough documents have: only their messages are looked at further
-    leaves = plain.select(F.explode(_leaves(min_tokens)(F.col("text"))["leaves"]).alias("leaf"))
-    hot, hot_at = stored(leaves.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
-    lines = plain.select("key", F.explode(_parse(min_tokens, spark.sparkContext.broadcast(Often.of(hot)))(F.col("text"))["lines"]).alias("x")).select("key", "x.*")
-    if not small(hot):
-        lines = lines.join(hot, "leaf", "left_semi")
-    lines, lines_at = stored(lines.select("key", "position", "leaf", "line"), "lines")
-    general = generalised(lines, plain, min_docs).withColumn("general", F.lit(True))
+    short_docs = F.lit(max(min_docs, math.ceil(short_share * df.count())))
+    least = lambda long: F.when(long, min_docs).otherwise(short_docs)
+    leaves = messages.filter("first").groupBy("leaf", "long").count()
+    hot, hot_at = stored(leaves.filter(F.col("count") >= least(F.col("long"))).select("leaf"), "leaves")
+    lines, lines_at = stored(joined(messages, hot, "leaf", "key", "left_semi").select("key", "position", F.struct("leaf", "line").alias("message"), "long"), "lines")
+    # a row for each distinct message; docs counts rows equal in id and text once
+    once = lines.groupBy("message", "key").agg(F.min("position").alias("position"), F.first("long").alias("long"))
+    each = once.groupBy("message").agg(F.count("*").alias("docs"), F.min(F.struct("key", "position")).alias("at"), F.first("long").alias("long")).select("message", "message.*", "docs", "at", "long")
+    each, each_at = stored(each, "each-message")
+    general = generalised(each.filter("long"), plain, min_docs)
     template = F.when(F.col("general"), F.xxhash64(F.col("leaf"), F.lit("leaf"))).otherwise(F.col("line"))
-    named, named_at = stored(lines.join(general, ["leaf", "line"], "left").withColumn("template", template).select("key", "position", "template"), "named-lines")
-    once = named.select("template", "key").distinct()
-    many, many_at = stored(once.groupBy("template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("template"), "many")
-    often, often_at = stored(once.join(F.broadcast(many) if small(many) else many, "template"), "often")
+    named = each.join(general.withColumn("general", F.lit(True)), ["leaf", "line"], "left").select("message", "docs", "long", template.alias("template"))
+    # templates whose messages are in enough documents, those counted more than once included
+    many = named.groupBy("template").agg(F.sum("docs").alias("all_docs")).filter(F.col("all_docs") >= min_docs).select("template")
+    named, named_at = stored(named.join(many, "template").filter(F.col("long") | (F.col("docs") >= short_docs)).select("message", "template"), "named-messages")
+    often, often_at = stored(joined(lines, named, "message", "key", "inner", BROADCAST_ROWS).select("key", "position", "template", "long"), "often")
     # documents by component of near copies, each of which counts once
     holders, holders_at = stored(often.select("key").distinct(), "holders")
     held = plain.join(F.broadcast(holders) if small(holders) else holders, "key", "left_semi")
     copies, copies_at = stored(near_dup.near_duplicates(held, "key").select("key", "component_id").distinct(), "copies")
-    groups = often.join(copies, "key").select("template", "component_id").distinct()
-    recur, recur_at = stored(groups.groupBy("template").agg(F.count("*").alias("groups")).filter(F.col("groups") >= min_docs).select("template"), "recurring")
-    hits = named.join(F.broadcast(recur) if small(recur) else recur, "template")
+    groups = often.select("key", "template", "long").distinct().join(copies, "key").select("template", "long", "component_id").distinct()
+    counted = groups.groupBy("template", "long").count().filter(F.col("count") >= least(F.col("long")))
+    recur, recur_at = stored(counted.select("template").distinct(), "recurring")
+    hits = joined(often, recur, "template", "key", "left_semi")
     drops, _ = stored(hits.groupBy("key").agg(F.array_sort(F.collect_set("position")).alias("drop")), "drops")
-    discard(spark, hot_at, lines_at, named_at, many_at, often_at, holders_at, copies_at, recur_at)
+    discard(spark, messages_at, hot_at, lines_at, each_at, named_at, often_at, holders_at, copies_at, recur_at)
     return keyed, drops
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, counts: bool = False) -> DataFrame:
+def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, short_share: float = SHORT_SHARE, counts: bool = False) -> DataFrame:
     """df with recurring messages cut from its text; with ``counts``, plus n_dropped (long)."""
-    keyed, drops = recurring_lines(df, id_col, text_col, min_docs, min_tokens)
-    hint = F.broadcast(drops) if small(drops, BROADCAST_DOCS) else drops
-    joined = keyed.join(hint.withColumnRenamed("key", "webquarry_key"), "webquarry_key", "left").withColumnRenamed("drop", "webquarry_drop")
+    keyed, drops = recurring_lines(df, id_col, text_col, min_docs, min_tokens, short_share)
+    drops = drops.withColumnRenamed("key", "webquarry_key").withColumnRenamed("drop", "webquarry_drop")
+    found = keyed.join(F.broadcast(drops) if small(drops, WANTED_DOCS) else drops, "webquarry_key", "left")
     clean = _cut(min_tokens)(F.col(f"`{text_col}`").cast("string"), F.col("webquarry_drop"))["text"]
     columns = [clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if not (counts and c.lower() == "n_dropped")]
     if counts:
         columns.append(F.when(F.col("webquarry_drop").isNull(), 0).otherwise(F.size("webquarry_drop")).cast("long").alias("n_dropped"))
-    return joined.select(*columns)
+    return found.select(*columns)

@@ -1,23 +1,16 @@
-"""Intermediate tables in the folder that the cluster shares for checkpoints."""
+"""Stored intermediate tables, broadcasts of a checked size, and joins whose heavy keys are split."""
 
 from __future__ import annotations
 
 import contextlib
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from webquarry.store import discard, shared_folder, stored_at
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (single-machine tests), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["discard", "joined", "shared_folder", "small", "stored"]
 
 
 #: Rows in an Arrow batch while a stored table is computed: sets and texts are long.
@@ -36,23 +29,10 @@ def arrow_rows(spark: SparkSession, rows: str = ARROW_ROWS) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df written as Parquet and read again, and its path: lineage ends here, and a
-    lost executor costs no recomputation beyond it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/webquarry/{name}-{uuid.uuid4().hex}"
-    with arrow_rows(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def discard(spark: SparkSession, *paths: str) -> None:
-    """Delete stored tables that no remaining plan reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+def stored(df: DataFrame, name: str, rows: str = ARROW_ROWS) -> tuple[DataFrame, str]:
+    """stored_at() with small Arrow batches: df written as Parquet and read again, and its path."""
+    with arrow_rows(df.sparkSession, rows):
+        return stored_at(df, name)
 
 
 #: Rows of one long column up to which a broadcast is allowed: at most about 64 MB.
@@ -62,3 +42,25 @@ BROADCAST_IDS = 2_000_000
 def small(df: DataFrame, rows: int = BROADCAST_IDS) -> bool:
     """Whether a stored table has at most so many rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+#: Left rows of one key from which it counts as heavy, and the tasks that such a key is split over.
+HEAVY, SPLITS = 50_000, 64
+
+
+def joined(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", rows: int = BROADCAST_IDS) -> DataFrame:
+    """left joined with a stored right that has at most one row a key, whatever a key's share of left.
+
+    A right of at most ``rows`` rows is broadcast (0 where its rows are long).  Else
+    both are shuffled, and keys with HEAVY left rows or more, which are at most one in
+    HEAVY of left's rows, are spread over SPLITS tasks by a hash of left's column ``by``.
+    """
+    if rows and small(right, rows):
+        return left.join(F.broadcast(right), key, how)
+    heavy, _ = stored(left.groupBy(key).count().filter(F.col("count") >= HEAVY).select(key, F.lit(True).alias("webquarry_heavy")), "heavy")
+    heavy = F.broadcast(heavy) if small(heavy) else heavy
+    split = F.when(F.col("webquarry_heavy"), F.pmod(F.xxhash64(by), F.lit(SPLITS))).otherwise(0).cast("int")
+    copies = F.when(F.col("webquarry_heavy"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))
+    spread = left.join(heavy, key, "left").withColumn("webquarry_split", split).drop("webquarry_heavy")
+    copied = right.join(heavy, key, "left").withColumn("webquarry_split", F.explode(copies)).drop("webquarry_heavy")
+    return spread.join(copied, [key, "webquarry_split"], how).drop("webquarry_split")
