@@ -515,7 +515,7 @@ def test_cutting_keeps_the_other_messages(lines, bits):
     text = "\n".join(lines)
     x = line_templates.Messages(pa.array([text]))
     drop = [i for i in range(len(x.first)) if bits >> i & 1 and x.count[i] >= 5]
-    out = line_templates.without(pa.array([text]), [drop], 5)[0]
+    out = line_templates.without(x, x.at_places([drop]), 5)[0]
     before = [line for i, line in enumerate([ln for ln in lines if ln.strip()]) if i not in drop]
     assert [ln for ln in out.split("\n") if ln.strip()] == before
 

@@ -101,6 +101,18 @@ class Messages:
         other = np.r_[True, line[1:] != line[:-1], True] if len(line) else np.zeros(1, bool)
         return other[:-1] & other[1:]
 
+    def may_recur(self, min_tokens: int) -> np.ndarray:
+        """Whether a message is long, or a whole line with a letter."""
+        return (self.count >= min_tokens) | (self.whole_line() & self.has(_LETTER))
+
+    def at_places(self, places: list[list[int]]) -> np.ndarray:
+        """The messages at the given places of each text."""
+        begin = np.searchsorted(self.doc, np.arange(self.n_docs + 1))
+        out = np.zeros(len(self.first), dtype=bool)
+        for d, own in enumerate(places):
+            out[begin[d] + np.array(own, dtype=np.int64)] = True
+        return out
+
     def has(self, table: np.ndarray) -> np.ndarray:
         """Whether a message has a byte of the table."""
         total = np.concatenate([[0], np.cumsum(table[self.scan.buf])])
@@ -115,7 +127,7 @@ def _parse(min_tokens: int):
         def one(chunk: pa.Array) -> dict:
             x = Messages(chunk)
             long = x.count >= min_tokens
-            at = np.flatnonzero(long | (x.whole_line() & x.has(_LETTER)))
+            at = np.flatnonzero(x.may_recur(min_tokens))
             doc, leaf = x.doc[at], x.leaf[at]
             order = np.lexsort((at, leaf, doc))
             again = np.r_[False, (doc[order][1:] == doc[order][:-1]) & (leaf[order][1:] == leaf[order][:-1])] if len(at) else np.zeros(0, bool)
@@ -150,59 +162,63 @@ def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([column("leaf"), column("line"), column("docs"), pa.array(place.astype(np.int32)), pa.array(token.view(np.int64))], names=["leaf", "line", "docs", "place", "token"])
 
 
-def _cut(min_tokens: int):
-    def start(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, drops in batches:
-            # only texts with something to drop are parsed again; the others stay in Arrow
-            mask = drops.is_valid()
-            at = pa.array(np.flatnonzero(mask.to_numpy(zero_copy_only=False)))
-            wanted, base, parts = drops.take(at), 0, []
-            for chunk in scan.chunks(texts.take(at)):
-                parts.append(pa.array(without(chunk, wanted.slice(base, len(chunk)).to_pylist(), min_tokens), type=pa.string()))
+def _cut(min_tokens: int, lines):
+    """Text and number of dropped messages, for texts that the second column marks; the others stay in Arrow.
+
+    ``lines`` is a broadcast of the line hashes of recurring messages, or None where
+    the second column lists the places of each text's messages to drop.
+    """
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known = scan.Lookup(lines.value.view(U)) if lines is not None else None
+        for texts, marks in batches:
+            mask = marks.is_valid()
+            at = np.flatnonzero(mask.to_numpy(zero_copy_only=False))
+            places, base, parts = marks.take(pa.array(at)), 0, []
+            dropped = np.zeros(len(texts), dtype=np.int64)
+            for chunk in scan.chunks(texts.take(pa.array(at))):
+                x = Messages(chunk)
+                if known is not None:
+                    gone = np.zeros(len(x.first), dtype=bool)
+                    gone[known.find(x.line)[0]] = True
+                    gone &= x.may_recur(min_tokens)
+                else:
+                    gone = x.at_places(places.slice(base, len(chunk)).to_pylist())
+                dropped[at[base : base + len(chunk)]] = np.bincount(x.doc[gone], minlength=len(chunk))
+                parts.append(pa.array(without(x, gone, min_tokens), type=pa.string()))
                 base += len(chunk)
             out = pc.replace_with_mask(texts, mask, pa.concat_arrays(parts)) if parts else texts
-            yield pa.StructArray.from_arrays([out], names=["text"])
+            yield pa.StructArray.from_arrays([out, pa.array(dropped)], names=["text", "n"])
             del out, parts
             trim()
 
-    start.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(start, returnType="text string")
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, returnType="text string, n long").asNondeterministic()
 
 
-def without(chunk: pa.Array, drops: list[list[int]], min_tokens: int) -> list[str]:
-    """Texts of a chunk without the messages at the given places; emptied lines go whole."""
-    x = Messages(chunk)
+def without(x: Messages, gone: np.ndarray, min_tokens: int) -> list[str]:
+    """Texts of a chunk without the messages that are marked; emptied lines go whole."""
     s = x.scan
-    gone = np.zeros(len(x.first), dtype=bool)
+    gone = gone.copy()
     begin = np.searchsorted(x.doc, np.arange(x.n_docs + 1))
-    for d, places in enumerate(drops):
-        gone[begin[d] + np.array(places, dtype=np.int64)] = True
     # short messages between dropped ones, or between a dropped one and the line's edge
     n = len(gone)
-    short = x.count < min_tokens
     same_line = np.r_[x.line_number[1:] == x.line_number[:-1], False] if n else np.zeros(0, bool)
-    left = np.zeros(n, dtype=np.int8)  # what lies before: 0 kept text, 1 the line's edge, 2 a dropped message
-    state = 1
-    for i in range(n):
-        left[i] = state
-        state = 1 if not same_line[i] else (2 if gone[i] else (state if short[i] else 0))
-    state = 1
-    for i in range(n - 1, -1, -1):
-        if i == n - 1 or not same_line[i]:
-            state = 1
-        if short[i] and not gone[i] and left[i] and state and max(left[i], state) == 2:
-            gone[i] = True
-            continue
-        state = 2 if gone[i] else (state if short[i] else 0)
+    short = (x.count < min_tokens) & ~gone
+    run_begins = np.flatnonzero(short & ~np.r_[False, short[:-1] & same_line[:-1]])
+    run_ends = np.flatnonzero(short & ~(np.r_[short[1:], False] & same_line))
+    for a, b in zip(run_begins, run_ends, strict=True):
+        before = gone[a - 1] if a and same_line[a - 1] else None  # None: the line's edge
+        after = gone[b + 1] if same_line[b] else None
+        if (before or after) and before in (None, True) and after in (None, True):
+            gone[a : b + 1] = True
     last_word = np.r_[x.first[1:], len(s.start)] - 1
     data = s.buf.tobytes()
     out = []
     for d in range(x.n_docs):
         parts, at = [], int(s.off[d])
-        i = int(begin[d])
-        while i < begin[d + 1]:
-            if not gone[i]:
-                i += 1
+        for i in range(int(begin[d]), int(begin[d + 1])):
+            if not gone[i] or (i > begin[d] and same_line[i - 1] and gone[i - 1]):
                 continue
             a = int(s.start[x.first[i]])
             line_begins = data.rfind(b"\n", int(s.off[d]), a) + 1 or int(s.off[d])
@@ -223,7 +239,6 @@ def without(chunk: pa.Array, drops: list[list[int]], min_tokens: int) -> list[st
                 a = int(s.end[x.first[i] - 1])
             parts.append(data[at : max(a, at)])
             at = max(b, at)
-            i = j + 1
         parts.append(data[at : s.off[d + 1]])
         out.append(b"".join(parts).decode())
     return out
@@ -252,54 +267,61 @@ def generalised(each: DataFrame, keyed: DataFrame, min_docs: int) -> DataFrame:
     return general
 
 
-def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, short_share: float = SHORT_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(keyed, drops): df with a column webquarry_key, and key, drop (places of recurring messages).
-
-    The key is a hash of id and text.
-    """
-    spark = df.sparkSession
-    text = F.col(f"`{text_col}`").cast("string")
-    key = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\0")), F.coalesce(text, F.lit("\0")))
-    keyed = df.withColumn("webquarry_key", key)
-    plain = keyed.select(F.col("webquarry_key").alias("key"), text.alias("text"))
-    messages, messages_at = stored(plain.select("key", F.explode(_parse(min_tokens)(F.col("text"))["lines"]).alias("x")).select("key", "x.*"), "messages")
-    # leaves that enough documents have: only their messages are looked at further
-    short_docs = F.lit(max(min_docs, math.ceil(short_share * df.count())))
-    least = lambda long: F.when(long, min_docs).otherwise(short_docs)
-    leaves = messages.filter("first").groupBy("leaf", "long").count()
-    hot, hot_at = stored(leaves.filter(F.col("count") >= least(F.col("long"))).select("leaf"), "leaves")
-    lines, lines_at = stored(joined(messages, hot, "leaf", "key", "left_semi").select("key", "position", F.struct("leaf", "line").alias("message"), "long"), "lines")
+def recurring_lines(keyed: DataFrame, min_docs: int, min_tokens: int, short_share: float) -> tuple[DataFrame, DataFrame]:
+    """(messages, drops) of a table of key, text: recurring messages (message: its leaf and line),
+    and their occurrences (key, position, message), both stored."""
+    spark = keyed.sparkSession
+    messages, messages_at = stored(keyed.select("key", F.explode(_parse(min_tokens)(F.col("text"))["lines"]).alias("x")).select("key", "x.*"), "messages")
+    short_docs = max(min_docs, math.ceil(short_share * keyed.count()))
+    enough = lambda name: F.col(name) >= F.when(F.col("long"), min_docs).otherwise(short_docs)
+    # leaves that enough documents have, copies counted one by one: only these are looked at further
+    hot, hot_at = stored(messages.filter("first").groupBy("leaf", "long").count().filter(enough("count")).select("leaf"), "leaves")
+    lines, lines_at = stored(joined(messages, hot, "leaf", "key", "left_semi"), "lines")
+    # documents by component of near copies, each of which counts once
+    holders, holders_at = stored(lines.select("key").distinct(), "holders")
+    copies = near_dup.near_duplicates(keyed, "key", only=holders).select("key", "component_id").distinct()
+    copies, copies_at = stored(copies, "copies")
+    groups = lines.filter("first").select("key", "leaf", "long").join(copies, "key").select("leaf", "long", "component_id").distinct()
+    live, live_at = stored(groups.groupBy("leaf", "long").count().filter(enough("count")).select("leaf"), "live-leaves")
+    lines, live_lines_at = stored(joined(lines, live, "leaf", "key", "left_semi").select("key", "position", F.struct("leaf", "line").alias("message"), "long"), "live-lines")
     # a row for each distinct message; docs counts rows equal in id and text once
     once = lines.groupBy("message", "key").agg(F.min("position").alias("position"), F.first("long").alias("long"))
-    each = once.groupBy("message").agg(F.count("*").alias("docs"), F.min(F.struct("key", "position")).alias("at"), F.first("long").alias("long")).select("message", "message.*", "docs", "at", "long")
-    each, each_at = stored(each, "each-message")
-    general = generalised(each.filter("long"), plain, min_docs)
+    each = once.groupBy("message").agg(F.count("*").alias("docs"), F.min(F.struct("key", "position")).alias("at"), F.first("long").alias("long"))
+    each, each_at = stored(each.select("message", "message.*", "docs", "at", "long"), "each-message")
+    general = generalised(each.filter("long"), keyed, min_docs)
     template = F.when(F.col("general"), F.xxhash64(F.col("leaf"), F.lit("leaf"))).otherwise(F.col("line"))
-    named = each.join(general.withColumn("general", F.lit(True)), ["leaf", "line"], "left").select("message", "docs", "long", template.alias("template"))
-    # templates whose messages are in enough documents, those counted more than once included
-    many = named.groupBy("template").agg(F.sum("docs").alias("all_docs")).filter(F.col("all_docs") >= min_docs).select("template")
-    named, named_at = stored(named.join(many, "template").filter(F.col("long") | (F.col("docs") >= short_docs)).select("message", "template"), "named-messages")
-    often, often_at = stored(joined(lines, named, "message", "key", "inner", BROADCAST_ROWS).select("key", "position", "template", "long"), "often")
-    # documents by component of near copies, each of which counts once
-    holders, holders_at = stored(often.select("key").distinct(), "holders")
-    held = plain.join(F.broadcast(holders) if small(holders) else holders, "key", "left_semi")
-    copies, copies_at = stored(near_dup.near_duplicates(held, "key").select("key", "component_id").distinct(), "copies")
-    groups = often.select("key", "template", "long").distinct().join(copies, "key").select("template", "long", "component_id").distinct()
-    counted = groups.groupBy("template", "long").count().filter(F.col("count") >= least(F.col("long")))
-    recur, recur_at = stored(counted.select("template").distinct(), "recurring")
-    hits = joined(often, recur, "template", "key", "left_semi")
-    drops, _ = stored(hits.groupBy("key").agg(F.array_sort(F.collect_set("position")).alias("drop")), "drops")
-    discard(spark, messages_at, hot_at, lines_at, each_at, named_at, often_at, holders_at, copies_at, recur_at)
-    return keyed, drops
+    named, named_at = stored(each.join(general.withColumn("general", F.lit(True)), ["leaf", "line"], "left").select("message", template.alias("template")), "named-messages")
+    found, found_at = stored(joined(lines, named, "message", "key", "inner", BROADCAST_ROWS).select("key", "position", "message", "template", "long"), "found")
+    groups = found.select("key", "template", "long").distinct().join(copies, "key").select("template", "long", "component_id").distinct()
+    recur, recur_at = stored(groups.groupBy("template", "long").count().filter(enough("count")).select("template"), "recurring")
+    drops, _ = stored(joined(found, recur, "template", "key", "left_semi").select("key", "position", "message"), "drops")
+    dropped, _ = stored(joined(named, recur, "template", "message", "left_semi").select("message"), "dropped-messages")
+    discard(spark, messages_at, hot_at, lines_at, holders_at, copies_at, live_at, live_lines_at, each_at, named_at, found_at, recur_at)
+    return dropped, drops
 
 
 def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, short_share: float = SHORT_SHARE, counts: bool = False) -> DataFrame:
-    """df with recurring messages cut from its text; with ``counts``, plus n_dropped (long)."""
-    keyed, drops = recurring_lines(df, id_col, text_col, min_docs, min_tokens, short_share)
-    drops = drops.withColumnRenamed("key", "webquarry_key").withColumnRenamed("drop", "webquarry_drop")
-    found = keyed.join(F.broadcast(drops) if small(drops, WANTED_DOCS) else drops, "webquarry_key", "left")
-    clean = _cut(min_tokens)(F.col(f"`{text_col}`").cast("string"), F.col("webquarry_drop"))["text"]
-    columns = [clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if not (counts and c.lower() == "n_dropped")]
-    if counts:
-        columns.append(F.when(F.col("webquarry_drop").isNull(), 0).otherwise(F.size("webquarry_drop")).cast("long").alias("n_dropped"))
-    return found.select(*columns)
+    """df with recurring messages cut from its text; with ``counts``, plus n_dropped (long).
+
+    The last pass over the texts finds the messages again by their hashes where these
+    may be broadcast, and takes their places from a join otherwise.  The list of texts
+    that need it is broadcast under the same condition; without it all are looked at.
+    """
+    spark = df.sparkSession
+    text = F.col(f"`{text_col}`").cast("string")
+    key = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\0")), F.coalesce(text, F.lit("\0")))
+    keyed = df.withColumn("webquarry_key", key)
+    dropped, drops = recurring_lines(keyed.select(F.col("webquarry_key").alias("key"), text.alias("text")), min_docs, min_tokens, short_share)
+    lines = None
+    if small(dropped):
+        lines = spark.sparkContext.broadcast(np.sort(dropped.select("message.line").toArrow()["line"].to_numpy()))
+        keys, _ = stored(drops.select(F.col("key").alias("webquarry_key")).distinct(), "keys")
+        marked = keyed.join(F.broadcast(keys.withColumn("webquarry_drop", F.lit(True))), "webquarry_key", "left") if small(keys) else keyed.withColumn("webquarry_drop", F.lit(True))
+    else:
+        places = drops.groupBy(F.col("key").alias("webquarry_key")).agg(F.collect_set("position").alias("webquarry_drop"))
+        marked = keyed.join(places, "webquarry_key", "left")
+    names = [c for c in df.columns if not (counts and c.lower() == "n_dropped")]
+    kept = F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept")
+    cut = marked.select(kept, _cut(min_tokens, lines)(text, F.col("webquarry_drop")).alias("cut"))
+    columns = [F.col("cut.text").alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in names]
+    return cut.select(*columns, *([F.col("cut.n").alias("n_dropped")] if counts else []))

@@ -293,17 +293,25 @@ def components(links: DataFrame) -> DataFrame:
             return now
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 5, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: tuple[int, int] = (80, 100), bands: int = 32, rows: int = 5, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, only: DataFrame | None = None) -> DataFrame:
     """A row for each row of df: id_col (long), n_shingles, component_id, kept.
 
     Texts are linked where ``similar[1] * intersection >= similar[0] * union`` of
     their shingle sets; component_id is the smallest id reachable, and kept marks
     the document with that id.  Ids are integers or their text; other ids raise.
+    With ``only`` (a stored table of ids in a column named like ``id_col``), rows of
+    other ids are left out as if df did not hold them.
     """
     spark = df.sparkSession
     parts, of = similar
     base = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    sketch, _ = stored(base.select("id", _sketch(shingle, bands, rows)(F.col("text")).alias("s")).select("id", "s.n", "s.key", "s.bands", "s.sig"), "sketch")
+    few = only is not None and small(only)
+    if few:
+        base = base.join(F.broadcast(only.toDF("id")), "id", "left_semi")
+    sketch = base.select("id", _sketch(shingle, bands, rows)(F.col("text")).alias("s")).select("id", "s.n", "s.key", "s.bands", "s.sig")
+    if only is not None and not few:  # sketches are shorter than texts
+        sketch = sketch.join(only.toDF("id"), "id", "left_semi")
+    sketch, _ = stored(sketch, "sketch")
     # equal sets have equal bands and signatures, so any row of a class has them
     same = [F.first(c).alias(c) for c in ("n", "bands", "sig")]
     classes, _ = stored(sketch.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), *same), "classes")
