@@ -73,7 +73,7 @@ class Messages:
         self.scan, self.n_docs = s, s.n_docs
         edges = np.unique(np.concatenate([s.off[:-1], np.flatnonzero(s.buf == 10) + 1]))
         line = np.searchsorted(edges, s.start, side="right") - 1
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[s.buf])])
+        digits = np.concatenate([[0], np.cumsum(_DIGIT[s.buf], dtype=np.int32)])
         token = s.words()
         field = digits[s.end] > digits[s.start]
         n = len(token)
@@ -103,7 +103,11 @@ class Messages:
 
     def may_recur(self, min_tokens: int) -> np.ndarray:
         """Whether a message is long, or a whole line with a letter."""
-        return (self.count >= min_tokens) | (self.whole_line() & self.has(_LETTER))
+        out = self.count >= min_tokens
+        last = np.r_[self.first[1:], len(self.token)] - 1
+        for i in np.flatnonzero(~out & self.whole_line()):
+            out[i] = _LETTER[self.scan.buf[self.scan.start[self.first[i]] : self.scan.end[last[i]]]].any()
+        return out
 
     def at_places(self, places: list[list[int]]) -> np.ndarray:
         """The messages at the given places of each text."""
@@ -113,12 +117,6 @@ class Messages:
             out[begin[d] + np.array(own, dtype=np.int64)] = True
         return out
 
-    def has(self, table: np.ndarray) -> np.ndarray:
-        """Whether a message has a byte of the table."""
-        total = np.concatenate([[0], np.cumsum(table[self.scan.buf])])
-        last = np.r_[self.first[1:], len(self.token)] - 1
-        return total[self.scan.end[last]] > total[self.scan.start[self.first]] if len(self.first) else np.zeros(0, bool)
-
 
 def _parse(min_tokens: int):
     """Messages of a text that may recur: place, leaf, line, whether long, and whether the text's first of its leaf."""
@@ -129,10 +127,10 @@ def _parse(min_tokens: int):
             long = x.count >= min_tokens
             at = np.flatnonzero(x.may_recur(min_tokens))
             doc, leaf = x.doc[at], x.leaf[at]
-            order = np.lexsort((at, leaf, doc))
-            again = np.r_[False, (doc[order][1:] == doc[order][:-1]) & (leaf[order][1:] == leaf[order][:-1])] if len(at) else np.zeros(0, bool)
+            both = scan.mix(leaf + doc.astype(U))  # of a text and a leaf
+            order = np.argsort(both, kind="stable")
             first = np.ones(len(at), dtype=bool)
-            first[order[again]] = False
+            first[order[1:][both[order][1:] == both[order][:-1]]] = False
             arrays = [pa.array(x.position[at].astype(np.int32)), *(pa.array(c.view(np.int64)) for c in (leaf, x.line[at])), pa.array(long[at]), pa.array(first)]
             offsets = pa.array(np.searchsorted(doc, np.arange(x.n_docs + 1)), pa.int32())
             return {"lines": pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(arrays, names=["position", "leaf", "line", "long", "first"]))}
@@ -214,34 +212,28 @@ def without(x: Messages, gone: np.ndarray, min_tokens: int) -> list[str]:
             gone[a : b + 1] = True
     last_word = np.r_[x.first[1:], len(s.start)] - 1
     data = s.buf.tobytes()
-    out = []
-    for d in range(x.n_docs):
-        parts, at = [], int(s.off[d])
-        for i in range(int(begin[d]), int(begin[d + 1])):
-            if not gone[i] or (i > begin[d] and same_line[i - 1] and gone[i - 1]):
-                continue
-            a = int(s.start[x.first[i]])
-            line_begins = data.rfind(b"\n", int(s.off[d]), a) + 1 or int(s.off[d])
-            j = i
-            while same_line[j] and gone[j + 1]:
-                j += 1
-            b = int(s.end[last_word[j]])
-            line_ends = data.find(b"\n", b, int(s.off[d + 1]))
-            if i == begin[d] or x.line_number[i - 1] != x.line_number[i]:
-                if not same_line[j]:  # the whole line: with its break
-                    a = line_begins
-                    b = line_ends + 1 if line_ends >= 0 else int(s.off[d + 1])
-                    if line_ends < 0 and a > s.off[d]:
-                        a -= 1
-                else:
-                    b = int(s.start[x.first[j + 1]])
-            else:
-                a = int(s.end[x.first[i] - 1])
-            parts.append(data[at : max(a, at)])
-            at = max(b, at)
-        parts.append(data[at : s.off[d + 1]])
-        out.append(b"".join(parts).decode())
-    return out
+    joins = np.r_[False, gone[:-1] & same_line[:-1]] if n else np.zeros(0, bool)
+    opens, closes = np.flatnonzero(gone & ~joins), np.flatnonzero(gone & ~np.r_[joins[1:], False]) if n else np.zeros(0, np.int64)
+    parts: list[list[bytes]] = [[] for _ in range(x.n_docs)]
+    at = s.off[:-1].tolist()
+    for i, j in zip(opens.tolist(), closes.tolist(), strict=True):  # runs of dropped messages within a line
+        d = int(x.doc[i])
+        low, high = int(s.off[d]), int(s.off[d + 1])
+        a, b = int(s.start[x.first[i]]), int(s.end[last_word[j]])
+        leads = i == begin[d] or not same_line[i - 1]
+        if leads and not same_line[j]:  # the whole line: with its break
+            a = data.rfind(b"\n", low, a) + 1 or low
+            line_ends = data.find(b"\n", b, high)
+            b = line_ends + 1 if line_ends >= 0 else high
+            if line_ends < 0 and a > low:
+                a -= 1
+        elif leads:
+            b = int(s.start[x.first[j + 1]])
+        else:
+            a = int(s.end[x.first[i] - 1])
+        parts[d].append(data[at[d] : max(a, at[d])])
+        at[d] = max(b, at[d])
+    return [b"".join([*own, data[at[d] : s.off[d + 1]]]).decode() for d, own in enumerate(parts)]
 
 
 def generalised(each: DataFrame, keyed: DataFrame, min_docs: int) -> DataFrame:

@@ -29,6 +29,7 @@ ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,20 +59,29 @@ def shingle_sets(chunk: pa.Array, size: int) -> list[np.ndarray]:
     words = s.words()
     h, at = scan.windows(words, s.first, size)
     cut = np.searchsorted(at, s.first)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        h[a:b].sort()
+    fresh = np.ones(len(h), dtype=bool)
+    fresh[1:] = h[1:] != h[:-1]
+    fresh[cut[:-1][cut[:-1] < len(h)]] = True  # a text's first shingle is new to it
+    edge = np.concatenate([[0], np.cumsum(fresh)])[cut].tolist()
+    h = h[fresh]
     weight = scan.stream(11, size) | U(1)
-    out = []
-    for d in range(s.n_docs):
-        n = s.first[d + 1] - s.first[d]
-        if n >= size:
-            out.append(np.unique(h[cut[d] : cut[d + 1]]))
-        elif n:
-            w = words[s.first[d] : s.first[d + 1]]
-            out.append(scan.mix((w * weight[:n]).sum(keepdims=True, dtype=U) + U(n)))
-        else:
-            out.append(np.zeros(0, dtype=U))
+    n_words = np.diff(s.first)
+    out = [h[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    for d in np.flatnonzero((n_words > 0) & (n_words < size)):
+        w = words[s.first[d] : s.first[d + 1]]
+        out[d] = scan.mix((w * weight[: len(w)]).sum(keepdims=True, dtype=U) + U(len(w)))
     return out
 
 
+@functools.lru_cache(maxsize=16)
+def _detours(bins: int, turns: int) -> np.ndarray:
+    """Bin that an empty bin looks at in each turn (turns, bins)."""
+    turn = (np.arange(1, turns + 1, dtype=object) * 0x632BE59BD9B4E019 % (1 << 64)).astype(U)
+    return (scan.mix(np.arange(bins, dtype=U)[None, :] * U(0x9E3779B97F4A7C15) + turn[:, None]) % U(bins)).astype(np.int64)
+
+
 def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     """One-permutation MinHash with optimal densification; a row for each set, none empty."""
     n = np.array([len(s) for s in sets])
@@ -84,14 +94,17 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     filled[place[begins]] = True
     source = np.arange(len(flat))
     empty = np.flatnonzero(~filled)
-    turn = 0
-    while len(empty):
-        turn += 1
-        step = scan.mix((empty % bins).astype(U) * U(0x9E3779B97F4A7C15) + U(turn * 0x632BE59BD9B4E019 % (1 << 64))) % U(bins)
-        at = empty - empty % bins + step.astype(np.int64)
+    done, ahead = 0, 1
+    while len(empty):  # several turns at a time: few texts, those of few shingles, need many
+        ahead = min(2 * ahead, max(1, (1 << 18) // len(empty)))
+        table = _detours(bins, 1 << (done + ahead).bit_length())[done : done + ahead]
+        at = (empty - empty % bins)[None, :] + table[:, empty % bins]
         good = filled[at]
-        source[empty[good]] = at[good]
-        empty = empty[~good]
+        hit = good.any(axis=0)
+        first = good.argmax(axis=0)
+        source[empty[hit]] = at[first[hit], np.flatnonzero(hit)]
+        empty = empty[~hit]
+        done += ahead
     return flat[source].reshape(len(sets), bins)
 
 

@@ -195,9 +195,7 @@ def windows(words: np.ndarray, first: np.ndarray, n: int, seed: int = 11) -> tup
     h = np.zeros(total - n + 1, dtype=U)
     for k in range(n):
         h += words[k : total - n + 1 + k] * weight[k]
-    inside = np.zeros(total + 1, dtype=bool)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        if b - a >= n:
-            inside[a : b - n + 1] = True
-    at = np.flatnonzero(inside[: total - n + 1])
+    # a window is inside if its document goes on to its last word
+    ends = np.repeat(first[1:], np.diff(first))[: total - n + 1]
+    at = np.flatnonzero(np.arange(total - n + 1) + n <= ends)
     return mix(h[at] + U(n)), at
