@@ -6,7 +6,7 @@ from webquarry.operators.fingerprints import page_signature
 from webquarry.operators.html import screens
 from webquarry.functions import urls
 
-HOST = "http://crawler.test"
+HOST = "http://library.test"
 
 
 def site(spark, pages: dict[str, str], **status):
@@ -26,7 +26,7 @@ def test_star_site_is_captured_once(spark):
 
 
 def test_depth_budget_scope_and_status(spark):
-    pages = {"/": links("/a", "/bad", "/f.pdf", "http://other.test/"), "/a": links("/a/b"), "/a/b": links("/a/b/c"), "/a/b/c": "x", "/bad": "x"}
+    pages = {"/": links("/a", "/bad", "/f.pdf", "http://other.test/"), "/a": links("/a/b"), "/a/b": links("/a/b/c"), "/a/b/c": "<h1>x</h1>", "/bad": "<h1>x</h1>"}
     nodes, _ = graph.crawl(site(spark, pages, **{"/bad": 404}), HOST + "/", max_depth=2)
     assert {r["url"] for r in nodes.collect()} == {HOST + p for p in ("/", "/a", "/a/b")}
     nodes, _ = graph.crawl(site(spark, pages), HOST + "/", max_pages=2)
@@ -34,7 +34,7 @@ def test_depth_budget_scope_and_status(spark):
 
 
 def test_table_links(spark):
-    nodes, _ = graph.crawl(site(spark, {"/": '<table><tr><td><a href="/one">1</a></td></tr><tr><td><a href="/two">2</a></td></tr></table>', "/one": "1", "/two": "2"}), HOST + "/")
+    nodes, _ = graph.crawl(site(spark, {"/": '<table><tr><td><a href="/one">first</a><td><a href="/two">second</a></table>', "/one": "<h1>1</h1>", "/two": "<h1>2</h1>"}), HOST + "/")
     assert nodes.count() == 3
 
 
@@ -68,19 +68,19 @@ def test_probe_representatives_and_states(spark):
 
 
 def test_incremental_sequence(spark):
-    home, customers, customer = links("/customers"), links("/customers/123"), "<p>123</p>"
+    home, shelves, shelf = links("/shelves"), links("/shelves/poetry"), "<h1>Poetry</h1>"
     state = lambda pages: site(spark, pages).select(urls.normalize_url(F.col("url")).alias("norm_url"), page_signature().alias("signature"))
-    one = state({"/": home, "/customers": "<p>none</p>"})
-    two = state({"/": home, "/customers": customers, "/customers/123": customer})
+    one = state({"/": home, "/shelves": "<h1>Shelves</h1>"})
+    two = state({"/": home, "/shelves": shelves, "/shelves/poetry": shelf})
     status = lambda a, b: {r["norm_url"].removeprefix(HOST): r["status"] for r in incremental.classified(a, b).collect()}
     assert set(status(one.limit(0), one).values()) == {"added"}
-    assert status(one, two) == {"/": "unchanged", "/customers": "changed", "/customers/123": "added"}
+    assert status(one, two) == {"/": "unchanged", "/shelves": "changed", "/shelves/poetry": "added"}
     assert set(status(two, two).values()) == {"unchanged"} and incremental.to_capture(two, two).count() == 0
-    assert status(two, one) == {"/": "unchanged", "/customers": "changed", "/customers/123": "missing"}
+    assert status(two, one) == {"/": "unchanged", "/shelves": "changed", "/shelves/poetry": "missing"}
 
 
 def test_checkpoint_rules():
-    saved = incremental.Checkpoint(1, HOST + "/?utm_source=example", 5, True)
+    saved = incremental.Checkpoint(1, HOST + "/?utm_source=post", 5, True)
     assert incremental.usable_checkpoint(saved, HOST + "/", 5, True)
     assert not incremental.usable_checkpoint(saved, HOST + "/", 4, True)
     assert not incremental.usable_checkpoint(None, HOST + "/", 4, True)

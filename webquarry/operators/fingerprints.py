@@ -10,9 +10,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webquarry.functions.text import collapsed
+from webquarry.operators.html import SIGNATURE_CAP
+from webquarry.operators.html import SIGNATURE_CAP
 
-#: Characters of page text that count for the change signature.
-SIGNATURE_CAP = 40_000
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
@@ -48,7 +48,7 @@ def page_signature() -> Column:
     """Hash that changes when a page's visible text, links or fields do."""
     seen = F.struct(
         _text("title").alias("title"),
-        F.substring(collapsed(_text("body_text")), 1, SIGNATURE_CAP).alias("text"),
+        F.substring(collapsed(_text("visible_text")), 1, SIGNATURE_CAP).alias("text"),
         _each("links", lambda x: F.array(x["href"], x["text"])).alias("links"),
         _each("forms", lambda f: F.transform(f["fields"], lambda x: F.array(x["name"], x["type"], x["placeholder"]))).alias("fields"),
     )

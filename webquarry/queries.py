@@ -31,9 +31,14 @@ def _normal(pages: DataFrame) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, url, pos, target of every link, by expressions."""
-    rows = _pages(spark, sf_dir).select("page_id", "url", F.posexplode(markup.raw_links(F.col("html"))).alias("pos", "href"))
-    return rows.select("page_id", "url", "pos", urls.resolve_url(F.col("url"), F.col("href")).alias("target"))
+    """page_id, url, pos, target of every link that a page shows."""
+    rows = html.screens(_pages(spark, sf_dir), facets=("links",))
+    return rows.select("page_id", "url", F.posexplode("links").alias("pos", "link")).select("page_id", "url", "pos", F.col("link.href").alias("target"))
+
+
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with their title instead of their HTML."""
+    return html.screens(_pages(spark, sf_dir), facets=("title",))
 
 
 def entry_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +74,9 @@ def navigable_links(spark, d):
 
 
 def target_guard(spark, d):
-    return _pages(spark, d).select("page_id", F.coalesce(urls.target_problem(F.col("url")), F.lit("")).alias("problem"))
+    scheme = F.element_at(F.array(F.lit("https://"), F.lit("ftp://"), F.lit("http://10.0.0."), F.lit("")), (F.col("page_id") % 4 + 1).cast("int"))
+    target = F.concat(scheme, F.when(F.col("page_id") % 4 == 2, (F.col("page_id") % 200).cast("string")).otherwise(F.regexp_replace("url", "^https?://", "")))
+    return _pages(spark, d).select("page_id", (urls.target_problem(target).isNotNull()).alias("refused"))
 
 
 def slug_and_id(spark, d):
@@ -78,12 +85,13 @@ def slug_and_id(spark, d):
 
 def synthetic_urls(spark, d):
     state = urls.state_url(F.col("url"), F.col("html"))
-    modal = text.modal_url(F.col("url"), markup.raw_title(F.col("html")), F.col("url"))
-    return _pages(spark, d).select("page_id", state.alias("state_url"), modal.alias("modal_url"))
+    pages = _pages(spark, d).select("page_id", "url", state.alias("state_url"), "html")
+    modal = text.modal_url(F.col("url"), F.col("title"), F.col("url"))
+    return html.screens(pages, facets=("title",)).select("page_id", "state_url", modal.alias("modal_url"))
 
 
 def slug_titles(spark, d):
-    return _pages(spark, d).select("page_id", text.anchor(markup.raw_title(F.col("html"))).alias("anchor"))
+    return _titled(spark, d).select("page_id", text.anchor(F.col("title")).alias("anchor"))
 
 
 def part_slug(spark, d):
@@ -96,16 +104,16 @@ def clamp_ints(spark, d):
 
 
 def page_title(spark, d):
-    return html.screens(_pages(spark, d)).select("page_id", "title")
+    return _titled(spark, d).select("page_id", "title")
 
 
 def page_headings(spark, d):
-    rows = html.screens(_pages(spark, d)).select("page_id", F.posexplode("headings").alias("pos", "h"))
+    rows = html.screens(_pages(spark, d), facets=("headings",)).select("page_id", F.posexplode("headings").alias("pos", "h"))
     return rows.select("page_id", F.col("pos").cast("int").alias("pos"), F.col("h.level").alias("level"), F.col("h.text").alias("text"))
 
 
 def page_links(spark, d):
-    rows = html.screens(_pages(spark, d)).select("page_id", F.posexplode("links").alias("pos", "x"))
+    rows = html.screens(_pages(spark, d), facets=("links",)).select("page_id", F.posexplode("links").alias("pos", "x"))
     return rows.select("page_id", "pos", F.col("x.text").alias("text"), F.col("x.href").alias("href"))
 
 
@@ -119,8 +127,8 @@ def link_cap(spark, d):
 
 
 def body_text(spark, d):
-    t = F.substring(markup.plain_text(F.col("html")), 1, html.BODY_CAP)
-    return _pages(spark, d).select("page_id", t.alias("body_text"), F.sha1(t).alias("text_sha1"), text.short_id(t).alias("short_id"))
+    t = F.col("body_text")
+    return html.screens(_pages(spark, d), facets=("body_text",)).select("page_id", "body_text", F.sha1(t).alias("text_sha1"), text.short_id(t).alias("short_id"))
 
 
 def doc_text_dedup(spark, d):
@@ -130,20 +138,19 @@ def doc_text_dedup(spark, d):
 
 
 def state_fingerprint(spark, d):
-    return html.screens(_pages(spark, d)).select("page_id", fingerprints.state_fingerprint().alias("fingerprint"))
+    return html.screens(_pages(spark, d), facets=("title", "headings", "body_text", "links", "buttons", "forms", "tables")).select("page_id", fingerprints.state_fingerprint().alias("fingerprint"))
 
 
 def page_signature(spark, d):
-    return html.screens(_pages(spark, d)).select("page_id", fingerprints.page_signature().alias("signature"))
+    return html.screens(_pages(spark, d), facets=("title", "visible_text", "links", "forms")).select("page_id", fingerprints.page_signature().alias("signature"))
 
 
 def probe_fingerprint(spark, d):
-    return html.screens(_pages(spark, d)).select("page_id", fingerprints.probe_fingerprint().alias("fingerprint"))
+    return html.screens(_pages(spark, d), facets=("title", "headings", "links", "buttons", "forms")).select("page_id", fingerprints.probe_fingerprint().alias("fingerprint"))
 
 
 def probe_representative(spark, d):
-    rows = _pages(spark, d).select("page_id", markup.raw_title(F.col("html")).alias("title"))
-    return dedup.representatives(rows, F.col("title"), ["page_id"]).select("page_id", "is_representative")
+    return dedup.representatives(_titled(spark, d).select("page_id", "title"), F.col("title"), ["page_id"]).select("page_id", "is_representative")
 
 
 def edges_page_target(spark, d):
@@ -187,6 +194,40 @@ def graph_gc(spark, d):
     return kept.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("what"), "n").unionByName(inside.agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), "n"))
 
 
+def _shop(spark, d) -> DataFrame:
+    """A site over the star schema, as captured screens: start -> regions -> nations -> suppliers, each linking to the start."""
+    at = lambda kind, key: F.concat(F.lit(f"https://shop.test/{kind}/"), key.cast("string"))
+    region, nation, supplier = (_table(spark, d, n) for n in ("region", "nation", "supplier"))
+    home = F.array(F.struct(F.lit("home").alias("text"), F.lit("https://shop.test/").alias("href")))
+    ahead = lambda df, up, kind, key: df.groupBy(up).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k")))).alias("ks")).select(up, F.transform("ks", lambda x: F.struct(F.lit(kind).alias("text"), at(kind, x["k"]).alias("href"))).alias("ahead"))
+    page = lambda url, title, links: [url.alias("url"), F.lit(None).cast("int").alias("status"), title.alias("title"), links.alias("links"), F.lit(True).alias("is_ready")]
+    with_home = lambda c: F.concat(F.coalesce(c, F.array().cast("array<struct<text: string, href: string>>")), home)
+    start = ahead(region.withColumn("up", F.lit(0)), "up", "region", "r_regionkey").select(*page(F.lit("https://shop.test/"), F.lit("start"), F.col("ahead")))
+    regions = region.join(ahead(nation, "n_regionkey", "nation", "n_nationkey"), F.col("r_regionkey") == F.col("n_regionkey"), "left").select(*page(at("region", F.col("r_regionkey")), F.col("r_name"), with_home(F.col("ahead"))))
+    nations = nation.join(ahead(supplier, "s_nationkey", "supplier", "s_suppkey"), F.col("n_nationkey") == F.col("s_nationkey"), "left").select(*page(at("nation", F.col("n_nationkey")), F.col("n_name"), with_home(F.col("ahead"))))
+    suppliers = supplier.select(*page(at("supplier", F.col("s_suppkey")), F.col("s_name"), home))
+    return start.unionByName(regions).unionByName(nations).unionByName(suppliers)
+
+
+def crawl_nodes(spark, d):
+    """The crawl of a site with cycles, to its end: screens with depth and the way they were found."""
+    nodes, _ = graph.crawl(_shop(spark, d), "https://shop.test/", max_depth=5, max_pages=None)
+    return nodes.select("url", "title", "depth", "discovered_via")
+
+
+def crawl_edges(spark, d):
+    """Edges of the same crawl, by kind of source and whether a screen was found by them."""
+    _, edges = graph.crawl(_shop(spark, d), "https://shop.test/", max_depth=5, max_pages=None)
+    kind = F.regexp_extract(F.col("from"), "shop-test-([a-z]+)", 1)
+    return edges.groupBy(kind.alias("kind"), "is_discovery").agg(F.count("*").alias("edges"))
+
+
+def crawl_budget(spark, d):
+    """The first 20 screens within two levels: budgets cut in the order of links."""
+    nodes, _ = graph.crawl(_shop(spark, d), "https://shop.test/", max_depth=2, max_pages=20)
+    return nodes.select("url", "depth")
+
+
 def known_node_lookup(spark, d):
     nodes = _pages(spark, d).select(F.col("page_id").cast("string").alias("id"), "url", F.col("page_id").alias("seq"))
     return graph.first_by_url(nodes)
@@ -231,7 +272,7 @@ def clear_outgoing(spark, d):
 
 def upsert_nodes(spark, d):
     p = _normal(_pages(spark, d)).select(text.short_id(F.col("norm_url")).alias("id"), "url", F.col("page_id").alias("seq"))
-    base = dedup.first_seen(p.filter("seq % 2 = 0"), ["id"], ["seq"])
+    base = dedup.first_seen(p, ["id"], ["seq"])
     delta = p.filter("seq % 3 = 0").withColumn("url", F.upper("url"))
     return dedup.upserted(base, delta, ["id"])
 
@@ -251,8 +292,8 @@ def manifest_counts(spark, d):
 
 
 def index_md(spark, d):
-    p = _pages(spark, d)
-    nodes = p.select(F.col("page_id").cast("string").alias("id"), "url", markup.raw_title(F.col("html")).alias("title"), (F.col("page_id") % 3).cast("int").alias("depth"), F.col("page_id").alias("seq"))
+    p = _titled(spark, d)
+    nodes = p.select(F.col("page_id").cast("string").alias("id"), "url", "title", (F.col("page_id") % 3).cast("int").alias("depth"), F.col("page_id").alias("seq"))
     edges = p.select(F.lit("0").alias("from"), F.col("page_id").cast("string").alias("to"), F.lit("link").alias("label")).filter("to <> '0'")
     return artifacts.index_markdown(nodes, edges, SEED, "-").select(F.sha1("markdown").alias("index_sha1"), F.length("markdown").cast("long").alias("index_length"))
 
@@ -268,13 +309,13 @@ def markdown_parse_back(spark, d):
 
 
 def knowledge_base(spark, d):
-    rows = _pages(spark, d).select(markup.raw_title(F.col("html")).alias("title"), F.concat(F.lit("# "), markup.raw_title(F.col("html")), F.lit("\ntext\n```\n# code\n```\n## part")).alias("markdown"), F.col("page_id").alias("seq"))
+    rows = _titled(spark, d).select("title", F.concat(F.lit("# "), F.col("title"), F.lit("\ntext\n```\n# code\n```\n## part")).alias("markdown"), F.col("page_id").alias("seq"))
     return artifacts.knowledge_base(rows, SEED, "-").select(F.sha1("markdown").alias("document_sha1"), F.length("markdown").cast("long").alias("document_length"))
 
 
 def mermaid_graph(spark, d):
-    edges = _derived(spark, d).filter(~F.col("to").startswith("url:"))
-    nodes = edges.select(F.col("from").alias("id")).unionByName(edges.select(F.col("to").alias("id"))).distinct().filter(~F.col("id").endswith("7"))
+    edges = _derived(spark, d)
+    nodes = edges.select(F.col("from").alias("id")).unionByName(edges.select(F.col("to").alias("id"))).distinct()
     return artifacts.mermaid(nodes.select("id", F.col("id").alias("title"), F.lit(1).alias("depth"), F.lit(False).alias("is_modal")), edges).select("section", "line")
 
 
@@ -295,7 +336,7 @@ def grid_accumulate(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     url_normalize, url_normalize_strip_query, url_parts, site_rollup, same_site_seed, navigable_links, target_guard, slug_and_id, synthetic_urls, slug_titles, part_slug, clamp_ints, page_title, page_headings, page_links, link_distinct, link_cap, body_text, doc_text_dedup,
-    state_fingerprint, page_signature, probe_fingerprint, probe_representative, edges_page_target, graph_degree, frontier_bfs, reachable_derived, graph_gc, known_node_lookup, visited_anti, budget_limit, incremental_diff, page_state_merge, clear_outgoing, upsert_nodes,
+    state_fingerprint, page_signature, probe_fingerprint, probe_representative, edges_page_target, graph_degree, frontier_bfs, reachable_derived, graph_gc, crawl_nodes, crawl_edges, crawl_budget, known_node_lookup, visited_anti, budget_limit, incremental_diff, page_state_merge, clear_outgoing, upsert_nodes,
     app_map, manifest_counts, index_md, screen_markdown, markdown_parse_back, knowledge_base, mermaid_graph, log_levels, destructive_text, grid_accumulate,
 )} | {"site_links": entry_query}
 
@@ -320,6 +361,10 @@ _NAME = f"trim({_DECODED.format(_TITLE)})"
 _ENCODED = "'/' || replace(replace(url_encode(substr(h, 2)), '%2C', ','), '%2F', '/')"
 _LINKS = f"(SELECT page_id, url, (i - 1)::INT AS pos, hs[i] AS h, regexp_extract(url, '^(https?://[^/?#]+)', 1) || {_ENCODED.replace('h, 2', 'hs[i], 2')} AS target FROM (SELECT page_id, url, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS hs, unnest(range(1, len(hs) + 1)) AS i FROM pages))"
 _PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
+_UNSEEN = "|".join(["<!--.*?-->", *(f"<{t}[ >].*?</{t}>" for t in ("head", "script", "style", "noscript", "svg"))])
+_WORDS = f"regexp_replace(regexp_replace(html, '{_UNSEEN}', '', 'gs'), '<[^>]*>', '', 'g')"
+_UNESCAPED = _DECODED.format(f"replace(replace(replace({_WORDS}, '&copy;', '©'), '&middot;', '·'), '&quot;', chr(34))")
+_BODY = f"trim(regexp_replace({_UNESCAPED}, '\n\n\n+', '\n\n', 'g'), ' \t\n\r')"
 _DASH = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
@@ -347,10 +392,10 @@ ORACLES = {
     "site_rollup": f"SELECT {_SITE} AS site, count(*) AS pages, count(DISTINCT {_HOST}) AS hosts FROM pages GROUP BY 1",
     "same_site_seed": f"SELECT page_id, (url LIKE 'https:%' AND {_SITE} = 'example.com') AS same_site, (url LIKE 'https:%' AND {_HOST} = 'www.ththre.example.com') AS same_origin FROM pages",
     "navigable_links": rf"SELECT page_id, pos, NOT regexp_matches(target, '{urls.FILE_ENDINGS}', 'i') AS navigable, regexp_matches(target, '{urls.LOGIN_PATH}', 'i') AS login FROM {_LINKS}",
-    "target_guard": "SELECT page_id, '' AS problem FROM pages",
+    "target_guard": "SELECT page_id, page_id % 4 <> 0 AS refused FROM pages",
     "slug_and_id": f"SELECT page_id, {_slug('url')} AS slug, ({_slug('url')}) || '-' || substr(sha1({_norm('url')}), 1, 10) AS screen_id FROM pages",
-    "synthetic_urls": f"SELECT page_id, url || '#state:' || substr(sha1(html), 1, 10) AS state_url, url || '#modal:' || ({_slug(_TITLE)}) || '-' || substr(sha1(url), 1, 10) AS modal_url FROM pages",
-    "slug_titles": f"SELECT page_id, {_DASH.format(_TITLE)} AS anchor FROM pages",
+    "synthetic_urls": f"SELECT page_id, url || '#state:' || substr(sha1(html), 1, 10) AS state_url, url || '#modal:' || ({_slug(_NAME)}) || '-' || substr(sha1(url), 1, 10) AS modal_url FROM pages",
+    "slug_titles": f"SELECT page_id, {_DASH.format(_NAME)} AS anchor FROM pages",
     "part_slug": f"SELECT p_partkey, {_slug('p_name')} AS slug, replace(replace(p_name, chr(92), chr(92) || chr(92)), '''', chr(92) || '''') AS quoted, substr({_LABEL.format('p_type')}, 1, 60) AS label, 'n_' || regexp_replace(p_brand, '[^a-zA-Z0-9]', '_', 'g') AS ident FROM part",
     "clamp_ints": "SELECT p_partkey, greatest(5, least(40, p_size)) AS clamped, 4 AS otherwise FROM part",
     "page_title": f"SELECT page_id, {_NAME} AS title FROM pages",
@@ -358,27 +403,37 @@ ORACLES = {
     "page_links": f"SELECT l.page_id, l.pos, {_DECODED.format('t.ts[l.pos + 1]')} AS text, target AS href FROM {_LINKS} l JOIN (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">(.*?)</a>', 1) AS ts FROM pages) t ON l.page_id = t.page_id",
     "link_distinct": f"SELECT target, page_id, pos FROM {_LINKS} QUALIFY row_number() OVER (PARTITION BY target ORDER BY page_id, pos) = 1",
     "link_cap": f"SELECT page_id, pos, target FROM {_LINKS} WHERE pos < {CAP}",
-    "body_text": f"SELECT page_id, t AS body_text, sha1(t) AS text_sha1, substr(sha1(t), 1, 10) AS short_id FROM (SELECT page_id, substr({_PLAIN}, 1, {html.BODY_CAP}) AS t FROM pages)",
+    "body_text": f"SELECT page_id, t AS body_text, sha1(t) AS text_sha1, substr(sha1(t), 1, 10) AS short_id FROM (SELECT page_id, substr({_BODY}, 1, {html.BODY_CAP}) AS t FROM pages)",
     "doc_text_dedup": "SELECT content, min(doc_id) AS doc_id, count(*) AS copies FROM (SELECT sha1(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))) AS content, doc_id FROM documents) GROUP BY content",
     "probe_fingerprint": f"SELECT page_id, {_NAME} || '::' || array_to_string({_H1}, '|') || '::' || len(regexp_extract_all(html, '<a href=')) || ':0:0' AS fingerprint FROM pages",
-    "probe_representative": f"SELECT page_id, page_id = min(page_id) OVER (PARTITION BY {_TITLE}) AS is_representative FROM pages",
+    "probe_representative": f"SELECT page_id, page_id = min(page_id) OVER (PARTITION BY {_NAME}) AS is_representative FROM pages",
     "edges_page_target": f"SELECT * FROM {_EDGES}",
     "graph_degree": f'SELECT "from", count(*) AS out_degree FROM {_EDGES} GROUP BY 1',
     "frontier_bfs": _REACH.format(g=_GRAPH, n=2) + " SELECT id, min(depth)::INT AS depth FROM r GROUP BY id",
     "reachable_derived": _REACH.format(g=_GRAPH, n=4) + " SELECT depth, count(*) AS nodes FROM (SELECT id, min(depth)::INT AS depth FROM r GROUP BY id) GROUP BY depth",
     "graph_gc": _REACH.format(g=_GRAPH, n=4) + " SELECT 'nodes' AS what, count(DISTINCT id) AS n FROM r UNION ALL SELECT 'edges', count(*) FROM g WHERE a IN (SELECT id FROM r) AND b IN (SELECT id FROM r)",
+    "crawl_nodes": """SELECT 'https://shop.test/' AS url, 'start' AS title, 0 AS depth, 'seed' AS discovered_via
+      UNION ALL SELECT 'https://shop.test/region/' || r_regionkey, r_name, 1, 'link: "region"' FROM region
+      UNION ALL SELECT 'https://shop.test/nation/' || n_nationkey, n_name, 2, 'link: "nation"' FROM nation
+      UNION ALL SELECT 'https://shop.test/supplier/' || s_suppkey, s_name, 3, 'link: "supplier"' FROM supplier""",
+    "crawl_edges": """SELECT '' AS kind, true AS is_discovery, count(*) AS edges FROM region
+      UNION ALL SELECT 'region', true, count(*) FROM nation UNION ALL SELECT 'nation', true, count(*) FROM supplier
+      UNION ALL SELECT 'region', false, count(*) FROM region UNION ALL SELECT 'nation', false, count(*) FROM nation UNION ALL SELECT 'supplier', false, count(*) FROM supplier""",
+    "crawl_budget": """SELECT url, depth FROM (SELECT 'https://shop.test/' AS url, 0 AS depth, 0 AS a, 0 AS b
+      UNION ALL SELECT 'https://shop.test/region/' || r_regionkey, 1, r_regionkey, 0 FROM region
+      UNION ALL SELECT 'https://shop.test/nation/' || n_nationkey, 2, n_regionkey, n_nationkey FROM nation) ORDER BY depth, a, b LIMIT 20""",
     "known_node_lookup": f"SELECT {_norm('url')} AS norm_url, min(page_id)::VARCHAR AS id FROM pages GROUP BY 1",
     "visited_anti": f"WITH p AS (SELECT page_id, {_norm('url')} AS norm_url FROM pages) SELECT norm_url, min(page_id) AS seq FROM p WHERE page_id % 2 = 1 AND norm_url NOT IN (SELECT norm_url FROM p WHERE page_id % 2 = 0) GROUP BY norm_url",
     "budget_limit": f"SELECT page_id, length({_norm('url')})::INT AS depth FROM pages ORDER BY 2, 1 LIMIT 50",
     "incremental_diff": f"SELECT * FROM {_STATUS}",
     "page_state_merge": f"SELECT norm_url, page_id, signature FROM {_NEW} WHERE norm_url IN (SELECT norm_url FROM {_STATUS} WHERE status IN ('added', 'changed')) UNION ALL SELECT norm_url, page_id, signature FROM {_OLD} WHERE norm_url IN (SELECT norm_url FROM {_STATUS} WHERE status = 'unchanged')",
     "clear_outgoing": f'SELECT "from", count(*) AS edges FROM {_EDGES} WHERE "from" % 3 <> 0 GROUP BY 1',
-    "upsert_nodes": f"WITH p AS (SELECT substr(sha1({_norm('url')}), 1, 10) AS id, url, page_id FROM pages), t AS (SELECT id, url, page_id, 0 AS new FROM p WHERE page_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY page_id) = 1 UNION ALL SELECT id, upper(url), page_id, 1 FROM p WHERE page_id % 3 = 0) SELECT id, arg_max(url, row(new, page_id)) AS url, arg_min(page_id, row(new, page_id)) AS seq FROM t GROUP BY id",
+    "upsert_nodes": f"WITH p AS (SELECT substr(sha1({_norm('url')}), 1, 10) AS id, url, page_id FROM pages), t AS (SELECT id, url, page_id, 0 AS new FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY page_id) = 1 UNION ALL SELECT id, upper(url), page_id, 1 FROM p WHERE page_id % 3 = 0) SELECT id, arg_max(url, row(new, page_id)) AS url, arg_min(page_id, row(new, page_id)) AS seq FROM t GROUP BY id",
     "app_map": f"SELECT ({_slug('url')}) || '-' || substr(sha1({_norm('url')}), 1, 10) AS slug, url, {_NAME} AS name, array_to_string(list_transform({_H1}, lambda x: 'H1: ' || x), ' | ') AS headings, 0::BIGINT AS n_fields, 0::BIGINT AS n_buttons FROM pages",
     "manifest_counts": "SELECT count(*) AS screens, 0::BIGINT AS modals, count(*) AS total_screens, 0::BIGINT AS pages_visited, 0::BIGINT AS forms_captured_on, 0::BIGINT AS fields, 0::BIGINT AS buttons FROM pages",
     "markdown_parse_back": f"SELECT page_id, array_to_string(list_transform({_H1}, lambda x: 'H1: ' || x), ' | ') AS headings, len(regexp_extract_all(html, '<a href='))::BIGINT AS n_links FROM pages",
-    "knowledge_base": f"SELECT sha1(m) AS document_sha1, length(m)::BIGINT AS document_length FROM (SELECT '# Knowledge base: {SEED}' || chr(10) || chr(10) || 'Crawled ' || count(*) || ' screen(s) starting from {SEED}.' || chr(10) || 'Generated: -' || chr(10) || chr(10) || '## Contents' || chr(10) || chr(10) || string_agg('- [' || t || '](#' || a || ')', chr(10) ORDER BY page_id) || chr(10) || chr(10) || string_agg('<a id=\"' || a || '\"></a>' || chr(10) || chr(10) || '## ' || t || chr(10) || 'text' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '### part' || chr(10) || '---' || chr(10), chr(10) ORDER BY page_id) AS m FROM (SELECT page_id, {_TITLE} AS t, {_DASH.format(_TITLE)} AS a FROM pages))",
-    "mermaid_graph": f"""WITH e AS (SELECT DISTINCT * FROM {_GRAPH} WHERE b NOT LIKE 'url:%'), n AS (SELECT DISTINCT id FROM (SELECT a AS id FROM e UNION SELECT b FROM e) WHERE id NOT LIKE '%7')
+    "knowledge_base": f"SELECT sha1(m) AS document_sha1, length(m)::BIGINT AS document_length FROM (SELECT '# Knowledge base: {SEED}' || chr(10) || chr(10) || 'Crawled ' || count(*) || ' screen(s) starting from {SEED}.' || chr(10) || 'Generated: -' || chr(10) || chr(10) || '## Contents' || chr(10) || chr(10) || string_agg('- [' || t || '](#' || a || ')', chr(10) ORDER BY page_id) || chr(10) || chr(10) || string_agg('<a id=\"' || a || '\"></a>' || chr(10) || chr(10) || '## ' || t || chr(10) || 'text' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '### part' || chr(10) || '---' || chr(10), chr(10) ORDER BY page_id) AS m FROM (SELECT page_id, {_NAME} AS t, {_DASH.format(_NAME)} AS a FROM pages))",
+    "mermaid_graph": f"""WITH e AS (SELECT DISTINCT * FROM {_GRAPH}), n AS (SELECT DISTINCT id FROM (SELECT a AS id FROM e UNION SELECT b FROM e))
       SELECT 0 AS section, 'flowchart LR' AS line UNION ALL SELECT 1, '  n_' || regexp_replace(id, '[^a-zA-Z0-9]', '_', 'g') || '["' || substr({_LABEL.format("id || ' (d1)'")}, 1, 60) || '"]' FROM n
       UNION ALL SELECT 2, '  n_' || regexp_replace(a, '[^a-zA-Z0-9]', '_', 'g') || ' -->|link| n_' || regexp_replace(b, '[^a-zA-Z0-9]', '_', 'g') FROM e WHERE a IN (SELECT id FROM n) AND b IN (SELECT id FROM n)""",
     "log_levels": "SELECT event_type AS level, count(*) AS lines, min(ts) AS first_at FROM events GROUP BY 1",

@@ -45,7 +45,7 @@ STEP = "struct<key: string, label: string>"
 #: What is read from one page.
 SCREEN = _of(
     f"title string, meta_description string, headings array<{HEADING}>, links array<{LINK}>, buttons array<{BUTTON}>, nav_candidates array<{CANDIDATE}>, "
-    f"snapshot array<{CANDIDATE}>, forms array<{FORM}>, form_queries array<string>, tables array<{TABLE}>, modal {MODAL}, body_text string, dom_signature string, aria_snapshot string, is_ready boolean"
+    f"snapshot array<{CANDIDATE}>, forms array<{FORM}>, form_queries array<string>, tables array<{TABLE}>, modal {MODAL}, body_text string, visible_text string, dom_signature string, aria_snapshot string, is_ready boolean"
 )
 #: Work still to do: where a URL was found and by which actions.
 FRONTIER = _of(f"url string, depth int, discovered_via string, parent_screen_id string, from_url string, action_path array<{STEP}>")
