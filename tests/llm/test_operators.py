@@ -137,9 +137,9 @@ def brute_hits(texts, items, size=10):
     return out
 
 
-@pytest.mark.parametrize("block", [1_000_000, 15])
-def test_contamination_matches_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+@pytest.mark.parametrize("most", [1_000_000, 15])
+def test_contamination_matches_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", most)  # beyond it: map and join
     item = prose(25, 3)
     items = [(1, item), (2, prose(12, 4)), (10, "Short, ITEM"), (3, None), (4, "..."), (5, item)]
     texts = ODD + [f"before {item.upper()}! after", " ".join(item.split()[5:20]), " ".join(item.split()[:9]), "a short-item x short item", prose(50, 9), item + "\n" + item]

@@ -3,9 +3,11 @@
 Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters.  A
 benchmark item gives all its windows of ``size`` words, or itself as one window if
 it has fewer words but some.  Windows of every text are looked up by hash, and a
-hit is confirmed word by word.  The set is sent to tasks in blocks of at most
-BLOCK_WORDS words; a larger benchmark takes several blocks, each applied to all
-texts, and their hits are merged by document.
+hit is confirmed word by word.  The set is broadcast while the benchmark has at most
+BROADCAST_CHARS characters.  Beyond, a map of 2**28 bits (32 MB whatever the
+benchmark's size) is broadcast instead, and the document windows that it lets
+through are joined with the benchmark's windows on their words.  Both ways give the
+same rows.
 
 Null texts have no words.  Items without words, and items with a null id, match
 nothing; rows that share an item id count as one item.  Empty tables give no
@@ -17,15 +19,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webquarry.llm import scan
+from webquarry.llm.store import discard, joined, stored
 from webquarry.llm.udf import text_udf, with_struct
 
-#: Benchmark words in one broadcast block: about 200 MB with its index at most.
-BLOCK_WORDS = 1_000_000
+#: Characters of benchmark text up to which its windows are broadcast: about 200 MB with their index at most.
+BROADCAST_CHARS = 5_000_000
+#: Bits of the map of window hashes, and of one of its blocks.
+MAP_BITS, BLOCK_BITS = 28, 19
 
 
 def _words(text: str) -> list[bytes]:
@@ -69,20 +75,99 @@ class WindowIndex:
         return s, found
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[WindowIndex]:
-    items: list[tuple[str, list[bytes]]] = []
-    held = 0
-    rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).filter("i is not null and t is not null")
-    for row in rows.toLocalIterator():
-        words = _words(row["t"])
-        if words:
-            items.append((row["i"], words))
-            held += len(words)
-        if held >= BLOCK_WORDS:
-            yield WindowIndex(items, size)
-            items, held = [], 0
-    if items:
-        yield WindowIndex(items, size)
+def _item_rows(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """item, text of the items that can match."""
+    return benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("t")).filter("item is not null and t is not null")
+
+
+def _item_windows(size: int):
+    """Windows of items: w (words set apart by spaces) and the low bits of its hash."""
+
+    def start():
+        def one(chunk: pa.Array) -> dict:
+            out = []
+            for t in chunk.to_pylist():
+                words = _words(t)
+                n = min(size, len(words))
+                named = sorted({b" ".join(words[k : k + n]).decode() for k in range(len(words) - n + 1)}) if n else []
+                s = scan.Scan(pa.array(named, type=pa.string()), word=scan.ALNUM_LOWER)
+                h, _ = scan.windows(s.words(), s.first, max(n, 1))
+                out.append([{"w": w, "n": n, "place": int(x) & ((1 << MAP_BITS) - 1)} for w, x in zip(named, h, strict=True)])
+            return {"windows": out}
+
+        return one
+
+    return text_udf("windows array<struct<w: string, n: int, place: int>>", start)
+
+
+def _bit_map(windows: DataFrame) -> np.ndarray:
+    """The map of the windows' hashes; at most 2**MAP_BITS bits reach the driver, in packed blocks."""
+    rows = windows.select(F.shiftright("place", BLOCK_BITS).alias("block"), F.col("place").bitwiseAND((1 << BLOCK_BITS) - 1).alias("bit")).distinct()
+
+    def pack(bits: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
+        flags[bits["bit"].to_numpy()] = 1
+        return pd.DataFrame({"block": [int(bits["block"].iloc[0])], "bits": [np.packbits(flags).tobytes()]})
+
+    out = np.zeros((1 << MAP_BITS - BLOCK_BITS, 1 << BLOCK_BITS - 3), dtype=np.uint8)
+    for row in rows.groupBy("block").applyInPandas(pack, "block int, bits binary").toLocalIterator():
+        out[row["block"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out.ravel()
+
+
+def _candidates(sent, lengths: list[int]):
+    """n_words, and the windows of a text whose bit in the map is set: first word, length, words."""
+
+    def start():
+        bits = sent.value
+
+        def one(chunk: pa.Array) -> dict:
+            s = scan.Scan(chunk, word=scan.ALNUM_LOWER)
+            h, data = s.words(), s.text.tobytes()
+            out: list[list[dict]] = [[] for _ in range(s.n_docs)]
+            for n in lengths:
+                keys, at = scan.windows(h, s.first, n)
+                place = (keys & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+                for i in np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1):
+                    a = int(at[i])
+                    d = int(s.doc[a])
+                    words = b" ".join(data[s.start[w] : s.end[w]] for w in range(a, a + n))
+                    out[d].append({"first": a - int(s.first[d]), "n": n, "w": words.decode()})
+            return {"n_words": np.diff(s.first), "windows": out}
+
+        return one
+
+    return text_udf("n_words long, windows array<struct<first: long, n: int, w: string>>", start)
+
+
+def _by_join(df: DataFrame, items: DataFrame, size: int, text_col: str, names: list[str]) -> DataFrame:
+    """find_contamination for a benchmark of any size; a text's hits are found once however often it occurs."""
+    spark = df.sparkSession
+    windows, windows_at = stored(items.select("item", F.explode(_item_windows(size)(F.col("t"))["windows"]).alias("x")).select("item", "x.*"), "windows")
+    lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most ``size``
+    known, _ = stored(windows.groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items")), "known-windows")
+    sent = spark.sparkContext.broadcast(_bit_map(windows))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    tag = "key_of_" + "_".join(df.columns)[:120]
+    keyed = df.withColumn(tag, F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.reverse(text)).alias("b")))
+    texts = keyed.select(F.col(tag).alias("key"), text.alias("t"), _candidates(sent, lengths)(text).alias("c"))
+    texts, texts_at = stored(texts.select("key", F.col("c.n_words").alias("n_words"), F.col("c.windows").alias("windows")), "candidates")
+    near = texts.filter(F.size("windows") > 0).select("key", F.explode("windows").alias("x")).select("key", "x.*").distinct()
+    found = joined(near, known, "w", "first", rows=0)
+    hits = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("first"), (F.col("first") + F.col("n") - 1).alias("last")))).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    counted = texts.groupBy("key").agg(F.first("n_words").alias("n_words"))
+    each, _ = stored(counted.join(hits, "key", "left"), "hits")
+    spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+    def merge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([merge_spans([row or []]) for row in batch.to_pylist()], type=spans_type)
+
+    merge.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    spans = F.arrow_udf(merge, returnType="array<struct<first: long, last: long>>")(F.col("raw"))
+    ready, _ = stored(each.select(F.col("key").alias(tag), F.struct("n_words", spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).alias("hits_of_key")), "contamination")
+    discard(spark, windows_at, texts_at)
+    return with_struct(joined(keyed, ready, tag, tag, "left", rows=0), F.col("hits_of_key"), names).drop(tag, "hits_of_key")
 
 
 def _scan_udf(sent):
@@ -124,28 +209,12 @@ def merge_spans(many: list[list[dict]]) -> list[dict]:
 def find_contamination(df: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """df plus n_words, spans (word ranges inside benchmark windows) and items (ids as sorted strings)."""
     names = ["n_words", "spans", "items"]
-    context = df.sparkSession.sparkContext
-    text = F.col(f"`{text_col}`").cast("string")
-    columns = [_scan_udf(context.broadcast(index))(text) for index in _blocks(benchmark, item_id, item_text, size)]
-    if not columns:
-        columns = [_scan_udf(context.broadcast(WindowIndex([], size)))(text)]
-    if len(columns) == 1:
-        return with_struct(df, columns[0], names)
-    # Each block is a column of the same pass over the texts; their hits are merged row by row.
-    spans_type = "array<struct<first: long, last: long>>"
-
-    def merge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([merge_spans(row) for row in batch.to_pylist()], type=pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
-
-    merge.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    taken = ["block_" + str(i) + "_of_" + "_".join(df.columns)[:120] for i in range(len(columns))]
-    found = df
-    for name, column in zip(taken, columns, strict=True):
-        found = found.withColumn(name, column)
-    merged = F.arrow_udf(merge, returnType=spans_type)(F.array(*[F.col(f"`{t}`")["spans"] for t in taken]))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"`{t}`")["items"] for t in taken]))))
-    return with_struct(found, F.struct(F.col(f"`{taken[0]}`")["n_words"].alias("n_words"), merged.alias("spans"), items.alias("items")), names).drop(*taken)
+    items = _item_rows(benchmark, item_id, item_text)
+    if (items.agg(F.sum(F.length("t"))).first()[0] or 0) > BROADCAST_CHARS:
+        return _by_join(df, items, size, text_col, names)
+    held = [(r["item"], _words(r["t"])) for r in items.collect()]
+    sent = df.sparkSession.sparkContext.broadcast(WindowIndex([(i, w) for i, w in held if w], size))
+    return with_struct(df, _scan_udf(sent)(F.col(f"`{text_col}`").cast("string")), names)
 
 
 def contamination_report(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -2,27 +2,34 @@
 
 The patterns give the base spans (emails, IPv4 addresses, payment cards, phone
 numbers); they always stay.  The model adds spans of the same kinds in other
-spellings: national phone numbers, IPv6 addresses, cards with dots, emails with
-"(at)" and "(dot)".  It is trained in numpy from generated labelled spans; the
-generator and all sizes are parameters, so training needs no data table.
-
-A span of any kind must hold a digit, an "@" or a bracketed "at"; windows are laid
-over all text within REACH characters of one, which is everywhere such a span can
-be.  Windows overlap by half.  Each is decoded by Viterbi; spans that touch an
-inner edge are left to the neighbouring window, the rest are scored by their
-lowest marginal, and one pass over all spans of a text keeps the best of those
-that overlap each other or a base span.
+spellings (national phone numbers, IPv6 addresses, cards with dots, emails with
+"(at)" and "(dot)") and a fifth kind, secrets: the values of keys, tokens and
+passwords.  A card that it adds must pass Luhn's test, as no tagger can compute it.
+
+The model is trained in numpy from labelled spans, which a generator writes in the
+style of the corpus; generator and sizes are parameters.  The weights of the
+default parameters lie beside this module (pii_weights.npz) with those parameters,
+and are trained anew where the file is missing or has others.
+
+A span that the model adds must hold a digit, an "@" or a bracketed "at"; windows
+are laid over all text within REACH characters of one.  Windows overlap by half.
+Each is decoded by Viterbi, and every span is scored by its lowest marginal; spans
+that a window's edge cuts are joined with what the neighbouring window has of them,
+whatever their length, and dropped where no window has their end.  One pass over
+all spans of a text keeps the best of those that overlap each other or a base span.
 
 Positions are code points, ends exclusive.  Nulls count as empty texts.  Texts are
-read whole.
+read whole.  Rows are judged one by one, so repeated rows and ids do not matter.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +39,9 @@ from pyspark.sql import functions as F
 from webquarry.llm import scan
 from webquarry.llm.udf import text_udf, with_struct
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds that have a fixed pattern.
+BASE = KINDS[:4]
 # Fixed patterns of the base spans.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -86,7 +95,7 @@ TAGS = 1 + 2 * len(KINDS)
 SYMBOLS = 98
 WINDOW, REACH = 128, 64
 #: Lowest marginal of a span that the model adds.
-CONFIDENT = 0.9
+CONFIDENT = 0.75
 
 
 def symbols(text: str) -> np.ndarray:
@@ -255,39 +264,61 @@ class Examples:
     def ascii(self) -> str:
         return re.sub("[^a-z]", "x", self.word(1, 4).lower())
 
-    def card(self) -> str:
-        body = self.pick(["4", "51", "37", "6011"]) + self.digits(14)
-        body = body[:15]
-        return body + next(c for c in "0123456789" if luhn(body + c))
-
-    def item(self) -> tuple[str, int]:
-        """A text and its kind, or -1 for what only looks like one."""
-        kind = int(self.r.integers(-4, 4))
-        hexes = lambda n: "".join(self.pick("0123456789abcdef") for _ in range(n))
+    def chars(self, alphabet: str, lo: int, hi: int | None = None) -> str:
+        return "".join(self.pick(alphabet) for _ in range(int(self.r.integers(lo, (hi or lo) + 1))))
+
+    def secret(self) -> list[tuple[str, int]]:
+        """A name, what stands between, and the secret value, as labelled pieces."""
+        hexes, mixed = "0123456789abcdef", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789"
+        if self.r.random() < 0.25:
+            lead = self.pick(["AKIA", "ASIA", "ghp_", "sk-", "xoxb-", "glpat-"])
+            body = self.chars("ABCDEFGHJKLMNPQRSTUVWXYZ234567", 16) if lead.endswith("IA") else self.chars(mixed, 20, 40)
+            return [(lead + body, 4)]
+        name = self.pick(["token", "token", "api_key", "apikey", "api-key", "secret", "secret_key", "access_token", "auth_token", "password", "passwd", "Token", "API_KEY", "client_secret"])
+        between = self.pick([' = "', ' = "', '="', "='", "=", ": ", ' = ', ': "'])
+        value = self.chars(hexes, *self.pick([(32, 40), (32, 64), (96, 128)])) if self.r.random() < 0.6 else self.chars(mixed, 8, 40) + self.digits(1, 2)
+        close = '"' if between.endswith('"') else ("'" if between.endswith("'") else "")
+        return [(name + between, -1), (value, 4), (close, -1)]
+
+    def item(self) -> list[tuple[str, int]]:
+        """Labelled pieces of text: a kind's number, or -1 for what is none, or only looks like one."""
+        kind = int(self.r.integers(-4, 6))
+        hexes = lambda lo, hi=None: self.chars("0123456789abcdef", lo, hi)
         if kind == 0:
-            name = self.ascii() + self.pick(["", ".", "_", "-"]) + self.pick([self.ascii(), self.digits(1, 3)])
-            host, tld = self.pick([self.ascii(), "mail" + self.digits(1) + ".example", "example"]), self.pick(["com", "org", "net", "de", "fr", "es", "io"])
-            at, dot = self.pick([("@", "."), ("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", ".")])
-            return f"{name}{at}{host.replace('.', dot)}{dot}{tld}", 0
+            name = self.ascii() + self.pick(["", ".", "_", "-"]) + self.pick(["", self.ascii(), self.digits(1, 3)])
+            host, tld = self.pick([self.ascii(), "mail" + self.digits(1) + ".example", "example", self.ascii() + "." + self.ascii()]), self.pick(["com", "org", "net", "de", "fr", "es", "io", "edu"])
+            at, dot = self.pick([("@", "."), ("@", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", "."), ("[at]", ".")])
+            if self.r.random() < 0.25:  # long names
+                name = ".".join([name, *(self.ascii() for _ in range(3))])
+                host = ".".join([host, *(self.ascii() + self.ascii() for _ in range(2))])
+            if dot != ".":
+                name = name.replace(".", self.pick([".", dot]))
+            return [(f"{name}{at}{host.replace('.', dot)}{dot}{tld}", 0)]
         if kind == 1:
-            if self.r.random() < 0.6:
-                return ".".join(str(int(n)) for n in self.r.integers(1, 256, 4)), 1
-            groups = [hexes(int(self.r.integers(1, 5))) for _ in range(8)]
+            if self.r.random() < 0.5:
+                return [(".".join(str(int(n)) for n in self.r.integers(1, 256, 4)), 1)]
+            groups = [hexes(1, 4) for _ in range(8)]
             if self.r.random() < 0.5:
                 groups[2:6] = [""]
-            return ":".join(groups), 1
+            return [(":".join(groups), 1)]
         if kind == 2:
-            c, sep = self.card(), self.pick(["", "", " ", "-", "."])
-            return sep.join(c[i : i + 4] for i in range(0, 16, 4)), 2
-        if kind == 3:
+            c, sep = self.digits(16), self.pick(["", "", " ", "-", "."])
+            return [(sep.join(c[i : i + 4] for i in range(0, 16, 4)), 2)]
+        if kind in (3, 5):
             a, b, c = self.digits(3), self.digits(3), self.digits(4)
-            return self.pick([f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{self.digits(2)} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"+49 {a} {b}{c}"]), 3
-        return self.pick([
-            lambda: 'token = "' + hexes(int(self.r.integers(32, 41))) + '"', lambda: "AKIA" + "".join(self.pick("ABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(16)), lambda: f"{self.ascii()}={hexes(int(self.r.integers(10, 20)))}",
+            area = "0" + self.digits(2, 4)
+            return [(self.pick([
+                f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{self.digits(2)} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"+49 {a} {b}{c}",
+                f"{area} {self.digits(6, 8)}", f"{area}-{self.digits(6, 8)}", f"{area}/{self.digits(6, 8)}", f"({area}) {self.digits(6, 8)}", f"{area} {b} {c}", f"0{self.digits(1)} {self.digits(2)} {self.digits(2)} {self.digits(2)} {self.digits(2)}",
+            ]), 3)]
+        if kind == 4:
+            return self.secret()
+        return [(self.pick([
+            lambda: f"{self.ascii()}={hexes(10, 20)}", lambda: f"{self.pick(['commit', 'sha1', 'md5', 'etag', 'revision'])}{self.pick([' ', ': ', ':'])}{hexes(32, 40)}", lambda: "-".join(hexes(n) for n in (8, 4, 4, 4, 12)),
             lambda: f"Version {self.digits(1)}.{self.digits(1)}.", lambda: f"v{self.digits(1)}.{self.digits(1, 2)}.{self.digits(1)}", lambda: f"{self.pick(['19', '20'])}{self.digits(2)}-0{self.digits(1)}-1{self.digits(1)}", lambda: f"1{self.digits(1)}:{self.pick('012345')}{self.digits(1)}:{self.pick('012345')}{self.digits(1)}",
-            lambda: f"${self.digits(1, 3)},{self.digits(3)}.{self.digits(2)}", lambda: self.digits(1, 12), lambda: f"{self.digits(1, 4)}.{self.digits(1, 4)}", lambda: f"{self.digits(2)}/{self.digits(2)}/20{self.digits(2)}", lambda: f"({self.digits(1, 4)})", lambda: f"{self.digits(1, 3)}%", lambda: f"@{self.ascii()}", lambda: f"{self.digits(16)}{self.digits(4, 9)}",
-            lambda: f"{self.digits(2, 6)}-{self.digits(1, 6)}", lambda: f"{self.digits(1)} + {self.digits(1, 3)}", lambda: "copyright (c) 20" + self.digits(2), lambda: f"#{self.digits(2, 6)}", lambda: f"{self.ascii()}{self.digits(1, 4)}",
-        ])(), -1
+            lambda: f"${self.digits(1, 3)},{self.digits(3)}.{self.digits(2)}", lambda: self.digits(1, 12), lambda: self.digits(1, 4), lambda: f"{self.digits(1, 4)}.{self.digits(1, 4)}", lambda: f"{self.digits(2)}/{self.digits(2)}/20{self.digits(2)}", lambda: f"({self.digits(1, 4)})", lambda: f"{self.digits(1, 3)}%", lambda: f"@{self.ascii()}", lambda: self.digits(20, 30),
+            lambda: f"{self.digits(2, 6)}-{self.digits(1, 4)}", lambda: f"{self.digits(1)} + {self.digits(1, 3)}", lambda: "copyright (c) 20" + self.digits(2), lambda: f"#{self.digits(2, 6)}", lambda: f"{self.ascii()}{self.digits(1, 4)}", lambda: f"page {self.digits(1, 3)}", lambda: f"{self.digits(1, 2)}.{self.digits(1, 2)}.20{self.digits(2)}", lambda: f"{self.pick(['token', 'password', 'secret', 'key'])} {self.word()}",
+        ])(), -1)]
 
     def window(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         text, tags = "", []
@@ -299,10 +330,11 @@ class Examples:
 
         while len(text) < size + 40:
             if self.r.random() < 0.3:
-                add(*self.item())
+                for piece in self.item():
+                    add(*piece)
             else:
                 add(self.word())
-            add(self.pick([" ", " ", " ", " ", ", ", ". ", "\n", "*** ", "; ", " | "]))
+            add(self.pick([" ", " ", " ", " ", " ", " ", ", ", ". ", "\n", "*** ", "### ", "%%% ", "&&& ", "$$$ ", "!! ", "; ", " | ", ": "]))
         cut = int(self.r.integers(0, 40))
         return symbols(text)[cut : cut + size], np.array(tags[cut : cut + size])
 
@@ -311,8 +343,7 @@ class Examples:
         return np.stack([x for x, _ in rows], axis=1), np.stack([y for _, y in rows], axis=1)
 
 
-@functools.lru_cache(maxsize=2)
-def train(hidden: int = 24, embed: int = 12, steps: int = 260, batch: int = 48, size: int = 80, seed: int = 5) -> Tagger:
+def train(hidden: int = 32, embed: int = 16, steps: int = 900, batch: int = 48, size: int = 128, seed: int = 5) -> Tagger:
     """A tagger trained by Adam on generated windows; the same for the same parameters."""
     model, examples = Tagger.fresh(hidden, embed, seed), Examples(seed)
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
@@ -320,7 +351,7 @@ def train(hidden: int = 24, embed: int = 12, steps: int = 260, batch: int = 48,
     for t in range(1, steps + 1):
         _, g = model.gradients(*examples.batch(size, batch))
         norm = np.sqrt(sum(float((v**2).sum()) for v in g.values()))
-        rate = 0.015 * min(1, 3 * (1 - t / (steps + 1)))
+        rate = 0.012 * min(1, 2 * (1 - t / (steps + 1)))
         for k, v in g.items():
             v = v * min(1, 5 / (norm + 1e-9))
             first[k] = 0.9 * first[k] + 0.1 * v
@@ -329,6 +360,25 @@ def train(hidden: int = 24, embed: int = 12, steps: int = 260, batch: int = 48,
     return model
 
 
+#: Default parameters of train(), and the version of the generator; both are kept with the weights.
+RECIPE = json.dumps({"generator": 3, "defaults": train.__defaults__})
+WEIGHTS = Path(__file__).with_name("pii_weights.npz")
+
+
+@functools.lru_cache(maxsize=1)
+def default_tagger() -> Tagger:
+    """The tagger of the default parameters: read from WEIGHTS, or trained where that has no such weights."""
+    if WEIGHTS.exists():
+        with np.load(WEIGHTS) as held:
+            if str(held["recipe"]) == RECIPE:
+                return Tagger({k: held[k] for k in held.files if k != "recipe"})
+    return train()
+
+
+def save(model: Tagger, path: Path = WEIGHTS) -> None:
+    np.savez_compressed(path, recipe=RECIPE, **model.w)
+
+
 def layout(text: str, triggers: list[int]) -> list[int]:
     """Starts of overlapping windows over all text within REACH of a trigger."""
     starts: list[int] = []
@@ -343,13 +393,63 @@ def layout(text: str, triggers: list[int]) -> list[int]:
     return starts
 
 
+@dataclass
+class Found:
+    """A span that a window has, whether the window's edges cut it, and its lowest marginal."""
+
+    span: Span
+    open_left: bool
+    open_right: bool
+    sure: float
+
+
+def tagged_spans(tags: np.ndarray, sure: np.ndarray, start: int, length: int) -> list[Found]:
+    """Spans of one window that begins at ``start``: tags, and the marginals (time, tags) of that window."""
+    out = []
+    s = 0
+    while s < length:
+        tag = int(tags[s])
+        if not tag:
+            s += 1
+            continue
+        kind = (tag - 1) // 2
+        t = s + 1
+        while t < length and tags[t] == 2 + 2 * kind:
+            t += 1
+        low = float(sure[np.arange(s, t), tags[s:t]].min())
+        out.append(Found((kind, start + s, start + t), s == 0 and start > 0, t == length, low))
+        s = t
+    return out
+
+
+def joined_spans(found: list[Found], end: int) -> list[Found]:
+    """Spans of all windows of a text of ``end`` characters; parts that edges cut are joined.
+
+    What stays open at a side is left out, but for the end of the text.
+    """
+    whole: list[Found] = []
+    open_now: list[Found] = []  # spans whose end lies in a later window
+    for f in sorted(found, key=lambda f: f.span[1:]):
+        kind, a, b = f.span
+        if f.open_left:
+            for g in open_now:
+                if g.span[0] == kind and g.span[1] <= a <= g.span[2] <= b:
+                    f = Found((kind, g.span[1], b), g.open_left, f.open_right, min(f.sure, g.sure))
+                    break
+        if f.open_right and f.span[2] < end:
+            open_now = [g for g in open_now if g.span[2] >= a] + [f]
+        else:
+            whole.append(f)
+    return [f for f in whole if not f.open_left]
+
+
 def added_spans(model: Tagger, texts: list[str], base: list[list[Span]], batch: int = 256) -> list[list[Span]]:
     """Spans that the model adds to each text's base spans."""
     windows: list[tuple[int, int, int]] = []
     for d, text in enumerate(texts):
         for a in layout(text, [m.start() for m in _TRIGGER.finditer(text)]):
             windows.append((d, a, min(len(text), a + WINDOW)))
-    found: list[set[tuple[float, Span]]] = [set() for _ in texts]
+    found: list[list[Found]] = [[] for _ in texts]
     for lo in range(0, len(windows), batch):
         part = windows[lo : lo + batch]
         x = np.full((WINDOW, len(part)), 95, dtype=np.int64)
@@ -363,27 +463,24 @@ def added_spans(model: Tagger, texts: list[str], base: list[list[Span]], batch:
         sure = model.marginals(e[:, busy])
         for at, j in enumerate(busy):
             d, a, b = part[j]
-            column = tags[:, j]
-            begins = np.flatnonzero((column > 0) & (column % 2 == 1))
-            for s in begins:
-                t = int(s) + 1
-                while t < b - a and column[t] == column[s] + 1:
-                    t += 1
-                if (s == 0 and a > 0) or (t == b - a and b < len(texts[d])):
-                    continue  # cut by the window's edge: the next window has it whole
-                low = float(min(sure[k, at, column[k]] for k in range(s, t)))
-                if low >= CONFIDENT and _TRIGGER.search(texts[d], a + int(s), a + t):
-                    found[d].add((low, ((int(column[s]) - 1) // 2, a + int(s), a + t)))
-    out = []
-    for d, text in enumerate(texts):
-        taken = list(base[d])
-        chosen: list[Span] = []
-        for _, span in sorted(found[d], key=lambda x: (-x[0], x[1])):
-            _, a, b = span
-            if text[a:b].strip() == text[a:b] and all(b <= p or a >= q for _, p, q in taken):
-                taken.append(span)
-                chosen.append(span)
-        out.append(chosen)
+            found[d] += tagged_spans(tags[:, j], sure[:, at], a, b - a)
+    return [chosen_spans(text, base[d], joined_spans(found[d], len(text))) for d, text in enumerate(texts)]
+
+
+def chosen_spans(text: str, base: list[Span], found: list[Found]) -> list[Span]:
+    """The surest spans that overlap neither each other nor a base span."""
+    taken = list(base)
+    out: list[Span] = []
+    for f in sorted(found, key=lambda f: (-f.sure, f.span)):
+        kind, a, b = f.span
+        value = text[a:b]
+        if f.sure < CONFIDENT or value.strip() != value or not _TRIGGER.search(value):
+            continue
+        if KINDS[kind] == "card" and not (13 <= len(d := re.sub("[^0-9]", "", value)) <= 19 and luhn(d)):
+            continue
+        if all(b <= p or a >= q for _, p, q in taken):
+            taken.append(f.span)
+            out.append(f.span)
     return out
 
 
@@ -395,9 +492,11 @@ _HAS = scan.byte_class((0x30, 0x39), (0x40, 0x40), (0x28, 0x28), (0x5B, 0x5B))
 
 
 def find_personal_data(df: DataFrame, model: Tagger | None = None, text_col: str = "text") -> DataFrame:
-    """df plus n_email, n_ip, n_card, n_phone (base spans), base and spans (kind:start:end, comma-joined)."""
-    sent = df.sparkSession.sparkContext.broadcast(model or train())
-    names = [*(f"n_{k}" for k in KINDS), "base", "spans"]
+    """df plus n_email, n_ip, n_card, n_phone (base spans), base and spans (kind:start:end, comma-joined),
+    n_secret (secrets, which only the model finds) and n_added (all spans that it adds)."""
+    sent = df.sparkSession.sparkContext.broadcast(model or default_tagger())
+    numbers, lists = [*(f"n_{k}" for k in KINDS), "n_added"], ["base", "spans"]
+    names = [*numbers, *lists]
 
     def start():
         tagger = sent.value
@@ -409,22 +508,24 @@ def find_personal_data(df: DataFrame, model: Tagger | None = None, text_col: str
             texts = chunk.take(pa.array(some)).to_pylist()
             base = [base_spans(t) for t in texts]
             more = added_spans(tagger, texts, base)
-            out: dict = {n: np.zeros(len(chunk), dtype=np.int64) for n in names[:4]} | {n: [""] * len(chunk) for n in names[4:]}
+            out: dict = {n: np.zeros(len(chunk), dtype=np.int64) for n in numbers} | {n: [""] * len(chunk) for n in lists}
             for i, b, m in zip(some.tolist(), base, more, strict=True):
                 for k, _, _ in b:
-                    out[names[k]][i] += 1
+                    out[numbers[k]][i] += 1
+                out["n_secret"][i] = sum(KINDS[k] == "secret" for k, _, _ in m)
+                out["n_added"][i] = len(m)
                 out["base"][i], out["spans"][i] = _named(b), _named(b + m)
             return out
 
         return one
 
-    return with_struct(df, text_udf("n_email long, n_ip long, n_card long, n_phone long, base string, spans string", start)(F.col(f"`{text_col}`").cast("string")), names)
+    return with_struct(df, text_udf(", ".join([*(f"{n} long" for n in numbers), *(f"{n} string" for n in lists)]), start)(F.col(f"`{text_col}`").cast("string")), names)
 
 
 def personal_data_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Tagger | None = None) -> DataFrame:
-    """id_col, n_email, n_ip, n_card, n_phone, base_sha256 and spans for every row of df."""
+    """id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret and n_added for every row of df."""
     found = find_personal_data(df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").alias("text")), model)
-    return found.select(id_col, *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select(id_col, *[f"n_{k}" for k in BASE], F.sha2("base", 256).alias("base_sha256"), "spans", "n_secret", "n_added")
 
 
 def mask(df: DataFrame, model: Tagger | None = None, text_col: str = "text") -> DataFrame:
