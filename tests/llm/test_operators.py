@@ -397,7 +397,60 @@ def test_long_digit_runs_take_no_time():
 
 @pytest.fixture(scope="module")
 def tagger():
-    return pii.train()
+    return pii.default_tagger()
+
+
+def test_kept_weights_are_of_this_recipe():
+    with np.load(pii.WEIGHTS) as held:
+        assert str(held["recipe"]) == pii.RECIPE
+    small = pii.train(4, 3, 2, 4, 20)
+    assert all((small.w[k] == pii.train(4, 3, 2, 4, 20).w[k]).all() for k in small.w)
+
+
+def test_viterbi_and_marginals_match_enumeration():
+    from itertools import product
+
+    r = np.random.default_rng(3)
+    model = pii.Tagger({"trans": r.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float64)})
+    e = r.standard_normal((4, 1, pii.TAGS))
+    a = model.transitions().astype(np.float64)
+    paths = list(product(range(pii.TAGS), repeat=4))
+    score = np.array([sum(e[t, 0, p[t]] for t in range(4)) + sum(a[p[t], p[t + 1]] for t in range(3)) for p in paths])
+    weight = np.exp(score - score.max())
+    weight /= weight.sum()
+    assert tuple(model.viterbi(e)[:, 0]) == paths[int(score.argmax())]
+    expected = np.zeros((4, pii.TAGS))
+    for p, w in zip(paths, weight):
+        expected[np.arange(4), p] += w
+    assert np.allclose(model.marginals(e)[:, 0], expected, atol=1e-6)
+
+
+def test_spans_cut_by_windows_are_joined():
+    f = pii.Found
+    parts = [f((4, 10, 64), False, True, 0.9), f((4, 32, 96), True, True, 0.8), f((4, 64, 100), True, False, 0.95), f((4, 200, 210), True, False, 0.9), f((3, 300, 320), False, True, 0.9)]
+    assert [(x.span, x.sure) for x in pii.joined_spans(parts, 1000)] == [((4, 10, 100), 0.9)]
+    assert [x.span for x in pii.joined_spans(parts[4:], 320)] == [(3, 300, 320)]
+
+
+def test_recall_and_precision_of_added_spans(tagger):
+    """Items from a generator of the test's own, in prose; only what no pattern finds counts."""
+    r = np.random.default_rng(77)
+    d = lambda n: "".join(map(str, r.integers(0, 10, n)))
+    h = lambda n: "".join("0123456789abcdef"[k] for k in r.integers(0, 16, n))
+    makers = [
+        lambda: ('token = "', h(40), '"'), lambda: ("api_key=", h(32), ""), lambda: ("secret: ", h(48), ""), lambda: ("ring ", f"0{d(2)} {d(7)}", ""), lambda: ("", f"({d(3)}) {d(3)}-{d(4)}", ""), lambda: ("", f"0{d(3)}-{d(7)}", ""),
+        lambda: ("mail ", f"{WORDS[r.integers(24)]} (at) {WORDS[r.integers(24)]} (dot) org", ""), lambda: ("", f"{WORDS[r.integers(24)]}.{WORDS[r.integers(24)]}[at]{WORDS[r.integers(24)]}.com", ""), lambda: ("host ", ":".join(h(4) for _ in range(8)), ""),
+    ]
+    others = [lambda: f"in 19{d(2)}", lambda: f"page {d(2)}", lambda: f"version {d(1)}.{d(1)}", lambda: f"${d(2)}.{d(2)}", lambda: f"commit {h(40)}", lambda: "4111111111111112", lambda: f"{d(2)}:{d(2)}", lambda: f"#{d(4)}"]
+    wanted = found = right = 0
+    for i in range(300):
+        before, value, after = makers[i % len(makers)]()
+        text = f"{plain(8, 8000 + i)} {others[i % len(others)]()} {plain(6, 9000 + i)} {before}"
+        span = (len(text), len(text) + len(value))
+        text += f"{value}{after} {plain(7, 9500 + i)}."
+        got = [(a, b) for _, a, b in pii.added_spans(tagger, [text], [pii.base_spans(text)])[0]]
+        wanted, found, right = wanted + 1, found + len(got), right + (span in got)
+    assert right >= 0.9 * wanted and right >= 0.9 * found, (right, found, wanted)
 
 
 def test_tagger_gradient():
@@ -520,6 +573,95 @@ def test_cutting_keeps_the_other_messages(lines, bits):
     assert [ln for ln in out.split("\n") if ln.strip()] == before
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a b c d e.", "x y.", "k!", "q w e r t y"]), max_size=4), min_size=1, max_size=4), st.integers(0, 1 << 14))
+def test_cutting_within_lines(lines, bits):
+    chunk = pa.array([" " + "\n".join("  ".join(line) for line in lines), "other text"])
+    x = line_templates.Messages(chunk)
+    gone = np.array([bool(bits >> i & 1) and x.count[i] >= 5 for i in range(len(x.first))])
+    first, second = line_templates.without(x, gone, 5)
+    assert [t for t in first.split() if t not in ("x", "y.", "k!")] == [t for i in np.flatnonzero(~gone & (x.doc == 0)) for t in chunk[0].as_py().split()[x.first[i] : x.first[i] + x.count[i]] if t not in ("x", "y.", "k!")]
+    assert second == "other text" or gone[-1]
+
+
+def brute_messages(text):
+    """(tokens with fields, whether a whole line) of each message, in order."""
+    out = []
+    for line in re.split("\n", text or ""):
+        now, own = [], []
+        for token in re.findall(r"[^\x20\x09-\x0D]+", line):
+            now.append(token)
+            if token[-1] in ".!?":
+                own.append(now)
+                now = []
+        own += [now] if now else []
+        for m in own:
+            fields = [bool(re.search("[0-9]", t)) for t in m]
+            out.append((tuple(m) if all(fields) else tuple("#" if f else t for f, t in zip(fields, m)), len(own) == 1))
+    return out
+
+
+def brute_templates(texts, min_docs=3, min_tokens=5, share=0.001):
+    """Number of messages to drop in each text, by a tree in plain Python."""
+    group = [g for _, g in brute_near(texts, 5)]
+    messages = [brute_messages(t) for t in texts]
+    keep = lambda m, whole: len(m) >= min_tokens or (whole and any(re.search("[A-Za-z\x80-\U0010ffff]", t) for t in m))
+    has = {}
+    for d, own in enumerate(messages):
+        for m, whole in own:
+            if keep(m, whole):
+                has.setdefault(m, set()).add(d)
+    leaf = lambda m: (len(m), m[:4])
+    least = lambda m: min_docs if len(m) >= min_tokens else max(min_docs, int(np.ceil(share * len(texts))))
+    kinds = {}
+    for m in has:
+        kinds.setdefault(leaf(m), []).append(m)
+    template = {}
+    for key, own in kinds.items():
+        docs_of = [len(has[m]) for m in own]
+        general = len(own) > 1 and sum(docs_of) >= min_docs and key[0] >= min_tokens
+        literal = {}
+        for p in range(key[0] if general else 0):
+            votes = {}
+            for m, n in zip(own, docs_of):
+                votes[m[p]] = votes.get(m[p], 0) + n
+            top = max(votes.values())
+            if 2 * top >= sum(docs_of):
+                literal[p] = {t for t, n in votes.items() if n == top}
+        for m in own:
+            same = sum(m[p] in literal.get(p, ()) for p in range(len(m)))
+            template[m] = key if general and same >= 0.7 * len(m) else m
+    holders = {}
+    for m, docs_of in has.items():
+        holders.setdefault(template[m], set()).update(group[d] for d in docs_of)
+    return [sum(keep(m, whole) and len(holders[template[m]]) >= least(m) for m, whole in own) for own in messages]
+
+
+def test_templates_match_a_brute_force_tree(spark):
+    r = np.random.default_rng(12)
+    boiler = [plain(9, 7000 + k) + "." for k in range(4)] + ["Share this page now", "Back to top", "user {} left room {} at noon today.", "one two three four {} six seven eight."]
+    texts = []
+    for i in range(36):
+        lines = [f"{plain(int(r.integers(6, 20)), 7100 + 10 * i + k)}." for k in range(int(r.integers(0, 4)))]
+        for k in r.choice(len(boiler), int(r.integers(0, 5)), replace=False):
+            lines.insert(int(r.integers(0, len(lines) + 1)), boiler[k].format(r.integers(99), plain(1, int(r.integers(500)))))
+        texts.append(("\n" if i % 3 else " ").join(lines))
+    texts += [texts[5]] * 4 + [texts[7] + " tail."] * 2 + [None, "", "Yes.\nYes."]
+    rows = by_id(line_templates.drop_recurring_lines(docs(spark, texts), counts=True))
+    assert [rows[i]["n_dropped"] for i in range(len(texts))] == brute_templates(texts)
+
+
+def test_documents_of_recurring_lines_only(spark):
+    lines = [plain(8, 7500 + k) + "." for k in range(10)] + ["Share this page now"]
+    r = np.random.default_rng(5)
+    texts = ["\n".join(lines[k] for k in sorted({*r.choice(10, 6, replace=False).tolist(), 10})) for _ in range(30)] + ["word " * 20_000]
+    rows = by_id(line_templates.drop_recurring_lines(docs(spark, texts), counts=True))
+    assert [rows[i]["text"] for i in range(30)] == [""] * 30 and rows[30]["n_dropped"] == 0
+    clash = spark.createDataFrame([(1, None, 7), (1, "a b c d e f", 8), (1, "a b c d e f", 9), (None, "a b c d e f", 9)], "doc_id long, text string, N_DROPPED int")
+    out = line_templates.drop_recurring_lines(clash, counts=True)
+    assert out.columns == ["doc_id", "text", "n_dropped"] and out.count() == 4 and not any(x["n_dropped"] for x in out.collect())
+
+
 def test_line_templates_of_nothing(spark):
     assert line_templates.drop_recurring_lines(docs(spark, [])).count() == 0
 

@@ -212,8 +212,8 @@ def without(x: Messages, gone: np.ndarray, min_tokens: int) -> list[str]:
             gone[a : b + 1] = True
     last_word = np.r_[x.first[1:], len(s.start)] - 1
     data = s.buf.tobytes()
-    joins = np.r_[False, gone[:-1] & same_line[:-1]] if n else np.zeros(0, bool)
-    opens, closes = np.flatnonzero(gone & ~joins), np.flatnonzero(gone & ~np.r_[joins[1:], False]) if n else np.zeros(0, np.int64)
+    goes_on = gone[:-1] & gone[1:] & same_line[:-1]
+    opens, closes = np.flatnonzero(gone & ~np.r_[False, goes_on][:n]), np.flatnonzero(gone & ~np.r_[goes_on, False][:n])
     parts: list[list[bytes]] = [[] for _ in range(x.n_docs)]
     at = s.off[:-1].tolist()
     for i, j in zip(opens.tolist(), closes.tolist(), strict=True):  # runs of dropped messages within a line
