@@ -269,6 +269,7 @@ def recurring_lines(keyed: DataFrame, min_docs: int, min_tokens: int, short_shar
     # leaves that enough documents have, copies counted one by one: only these are looked at further
     hot, hot_at = stored(messages.filter("first").groupBy("leaf", "long").count().filter(enough("count")).select("leaf"), "leaves")
     lines, lines_at = stored(joined(messages, hot, "leaf", "key", "left_semi"), "lines")
+    discard(spark, messages_at, hot_at)
     # documents by component of near copies, each of which counts once
     holders, holders_at = stored(lines.select("key").distinct(), "holders")
     copies = near_dup.near_duplicates(keyed, "key", only=holders).select("key", "component_id").distinct()
@@ -288,7 +289,7 @@ def recurring_lines(keyed: DataFrame, min_docs: int, min_tokens: int, short_shar
     recur, recur_at = stored(groups.groupBy("template", "long").count().filter(enough("count")).select("template"), "recurring")
     drops, _ = stored(joined(found, recur, "template", "key", "left_semi").select("key", "position", "message"), "drops")
     dropped, _ = stored(joined(named, recur, "template", "message", "left_semi").select("message"), "dropped-messages")
-    discard(spark, messages_at, hot_at, lines_at, holders_at, copies_at, live_at, live_lines_at, each_at, named_at, found_at, recur_at)
+    discard(spark, lines_at, holders_at, copies_at, live_at, live_lines_at, each_at, named_at, found_at, recur_at)
     return dropped, drops
 
 

@@ -324,10 +324,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketch = base.select("id", _sketch(shingle, bands, rows)(F.col("text")).alias("s")).select("id", "s.n", "s.key", "s.bands", "s.sig")
     if only is not None and not few:  # sketches are shorter than texts
         sketch = sketch.join(only.toDF("id"), "id", "left_semi")
-    sketch, _ = stored(sketch, "sketch")
+    sketch, sketch_at = stored(sketch, "sketch")
     # equal sets have equal bands and signatures, so any row of a class has them
     same = [F.first(c).alias(c) for c in ("n", "bands", "sig")]
     classes, _ = stored(sketch.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("id"), *same), "classes")
+    # beyond the classes, only ids and keys are needed
+    sketch, _ = stored(sketch.select("id", "n", "key"), "sketch-keys")
+    discard(spark, sketch_at)
     own = classes.select("id", F.explode("bands").alias("bucket"))
     stars = own.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).filter("size > 1")
     # a bucket's many members are split over tasks as its star is
@@ -335,7 +338,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars, stars_at = stored(stars.withColumn("split", split), "stars")
     heavy, heavy_at = stored(stars.filter(f"size >= {HEAVY} and split = 0").select("bucket", F.least(F.floor(F.col("size") / HEAVY) + 1, F.lit(SPLITS)).alias("splits")), "heavy")
     dealt = own.join(F.broadcast(heavy) if small(heavy) else heavy, "bucket", "left").withColumn("split", F.coalesce(F.pmod(F.xxhash64("id"), F.col("splits")), F.lit(0)).cast("int")).drop("splits")
-    members, members_at = stored(dealt.join(stars, ["bucket", "split"]).filter("id <> centre").select("bucket", "size", "centre", "id"), "members")
+    members, members_at = stored(dealt.join(F.broadcast(stars) if small(stars, KEYS) else stars, ["bucket", "split"]).filter("id <> centre").select("bucket", "size", "centre", "id"), "members")
+    discard(spark, stars_at, heavy_at)
     pairs = members.select(F.col("centre").alias("x"), F.col("id").alias("y")).distinct()
     pairs, pairs_at = stored(pairs, "pairs")
     wanted, wanted_at = stored(pairs.select("x").union(pairs.select("y")).toDF("id").distinct(), "wanted")
@@ -358,7 +362,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more, more_at = stored(more, "more", GROUPS)
     if not more.isEmpty():
         found = components(links.union(more))
-    discard(spark, stars_at, heavy_at, members_at, pairs_at, wanted_at, sets_at, links_at, member_at, marked_at, more_at)
+    discard(spark, members_at, pairs_at, wanted_at, sets_at, links_at, member_at, marked_at, more_at)
     lowest, _ = stored(classes.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("low")), "lowest")
     out = joined(sketch.select("id", "n", "key"), lowest, "key", "id", "left", rows=KEYS)
     component = F.when(F.col("id").isNotNull(), F.coalesce("low", "id"))
