@@ -693,6 +693,21 @@ def test_increasing_subsequence():
     assert licenses.increasing([]) == []
 
 
+def test_the_gate_drops_no_match():
+    template = "the quick brown fox of the hill is not a dog that may be in this work"
+    scanner = licenses.Scanner({"t": template}, 0.5)
+    words = template.split()
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        kept = [w for w in words if r.random() < 0.7]
+        text = f"{plain(5, 1)} {' '.join(kept)} {plain(5, 2)}"
+        part = licenses.words_of(" ".join(kept))
+        found = scanner.chunk(pa.array([text]))[0]
+        aligned = len(licenses.align(part, words))
+        if aligned >= 0.5 * len(words) and any(w not in licenses.COMMON for w in kept):
+            assert found and found[0].aligned >= 0.5 * len(words), kept
+
+
 def test_license_scan(spark):
     mit = licenses.TEMPLATES["MIT"]
     edited = mit.replace("without restriction", "with no restriction").replace("Software", "Program", 1)

@@ -10,9 +10,9 @@ Stretches come from the template's telling words (not in COMMON): their places i
 the text, joined over gaps of up to a template's length and cut into overlapping
 windows of twice that length and windows at the first telling word, so a license
 that occurs twice is found twice, and a long text costs time in proportion to its
-length.  A stretch that holds fewer
-than half of a template's telling words (counted at most as often as the template
-has them) cannot reach the coverage asked for and is not aligned.
+length.  A stretch that lacks more of a template's telling words (counted at most as
+often as the template has them) than the coverage asked for lets it miss is not
+aligned, as it cannot match.
 
 Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters.
 Null and empty texts have no license.  Where several templates overlap, the one
@@ -23,6 +23,7 @@ replace clashing ones.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
@@ -182,8 +183,9 @@ class Scanner:
         return sorted(chosen, key=lambda m: m.first)
 
     def least(self, template: Template) -> int:
-        """Telling words that a stretch needs: half of the template's."""
-        return max(1, -(-sum(template.telling.values()) // 2))
+        """Telling words that a stretch of the coverage asked for must hold: all but the words it may miss."""
+        missed = len(template.words) - math.ceil(self.coverage * len(template.words))
+        return max(1, sum(template.telling.values()) - missed)
 
     def stretch(self, words: np.ndarray, template: Template, places: list[int]) -> list[Match]:
         n = len(template.words)
