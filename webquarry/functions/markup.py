@@ -14,12 +14,3 @@ def without_code(html: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Text between tags with single spaces; entities stay as written."""
     return F.trim(F.regexp_replace(F.regexp_replace(without_code(html), "<[^>]*>", " "), "[ \t\n\r]+", " "))
-
-
-def raw_title(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)
-
-
-def raw_links(html: Column) -> Column:
-    """Link targets as written, in order."""
-    return F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), 1)
