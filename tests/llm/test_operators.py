@@ -2,6 +2,7 @@
 and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from itertools import combinations
@@ -250,6 +251,23 @@ def test_token_store_query_takes_added_tokens(spark, tmp_path):
     assert t.token_to_id("<|endoftext|>") in t.encode(texts[1], add_special_tokens=False).ids
 
 
+def test_token_store_of_repeated_and_null_ids(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    rows = [(7, "same"), (None, "nobody's"), (7, "same"), (7, "Another"), (3, None), (None, None)]
+    table = spark.createDataFrame([(i, x, "own") for i, x in rows], "doc_id long, text string, start string")
+    target = token_store.new_store(spark, "repeated")
+    token_store.write_tokens(table, target, tokenizers.path("byte_bpe_50k.json"))
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_store.token_digests(spark, target).collect())
+    expected, start = [], 0
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        expected.append((start, i, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert got == expected
+
+
 def test_token_store_of_nothing(spark):
     target = token_store.new_store(spark, "none")
     token_store.write_tokens(docs(spark, []), target, tokenizers.path("byte_bpe_50k.json"))
@@ -720,6 +738,55 @@ def test_license_scan(spark):
     assert licenses.license_report(docs(spark, [])).count() == 0
 
 
+def test_short_notices_match_word_for_word():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE, licenses.SHORT)
+    texts = {
+        "Released under the MIT License.": ["MIT-notice"],
+        "all, all rights Released under the MIT license! All rights reserved": ["MIT-notice", "all-rights-reserved"],
+        "Released under the Apache License.": [],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0-notice"],
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0-notice"],
+        "Licensed under CC BY-NC-SA 4.0.": [],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": ["CC-BY-NC-4.0"],
+        "": [],
+    }
+    got = scanner.chunk(pa.array(list(texts)))
+    assert [[m.name for m in found] for found in got] == list(texts.values())
+
+
+def test_every_template_is_found_as_itself():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE, licenses.SHORT)
+    names = list(licenses.TEMPLATES)
+    got = scanner.chunk(pa.array([f"Some words ahead. {licenses.TEMPLATES[n]} And some words after." for n in names]))
+    for name, found in zip(names, got, strict=True):
+        assert max(found, key=lambda m: m.aligned).name == name, name
+
+
+def test_license_windows_match_brute_force():
+    """Every stretch of up to one and a half template lengths aligned, without a gate or telling words."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(60)]
+    templates = {f"T{k}": " ".join(rng.choices(vocabulary, k=24 + 4 * k)) for k in range(3)} | {"S": "alpha beta gamma delta"}
+    scanner = licenses.Scanner(templates, 0.8, licenses.SHORT)
+    for _ in range(40):
+        words, planted = rng.choices(vocabulary + ["x", "y"], k=20), []
+        for name in rng.sample(sorted(templates), 2):
+            part = templates[name].split()
+            for _ in range(rng.randint(0, 3) if name != "S" else 0):
+                part[rng.randrange(len(part))] = "changed"
+            words += part + ["x"] * rng.randint(1, 30)
+            planted.append(name)
+        brute = set()
+        for name, text in templates.items():
+            own, n = text.split(), len(text.split())
+            for a in range(len(words)):
+                pairs = licenses.align(words[a : a + n + n // 2], own)
+                enough = len(pairs) >= 0.8 * n if n >= licenses.SHORT else len(pairs) == n == pairs[-1][0] - pairs[0][0] + 1
+                brute |= {name} if enough else set()
+        got = [m.name for m in scanner.chunk(pa.array([" ".join(words)]))[0]]
+        assert set(got) == brute == set(planted) and len(got) == len(planted)
+
+
 # --- store and pipeline -----------------------------------------------------------------------
 
 
@@ -749,3 +816,19 @@ def test_pipeline(spark, tmp_path):
     out = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(range(40)) <= out and not {40, 41, 42} & out and {43, 44} <= out
     assert len(out & set(range(n - 40, n))) <= 2
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated ids, one very long text, clashing names; then empty tables."""
+    import corpus_pipeline
+
+    rows = [(None, None, "a", 0), (1, prose(90, 1), "b", 0), (1, prose(90, 2), "c", 0), (2, "", "d", 0), (3, prose(60_000, 3), "e", 0), (None, prose(90, 4), "f", 0)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, score string, n_dropped int")
+    for name, some in (("odd", rows), ("none", [])):
+        base = tmp_path / name
+        spark.createDataFrame(some, odd.schema).write.parquet(str(base / "documents.parquet"))
+        spark.createDataFrame([(1, 1, 0)] if some else [], "doc_id long, quality int, toxic int").write.parquet(str(base / "labels.parquet"))
+        spark.createDataFrame([(1, prose(30, 99)), (2, None)] if some else [], "item_id long, text string").write.parquet(str(base / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(base)).collect()
+        ids = [r["doc_id"] for r in out]
+        assert {2, 3, None} <= set(ids) and 1 in ids if some else out == []
