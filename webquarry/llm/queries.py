@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, decontaminate, filter_audit, labelled, licenses, line_templates, near_dup, pii, quality_rules, quality_zstd, token_store, toxicity
+from webquarry.llm import bpe, decontaminate, filter_audit, labelled, licenses, line_templates, near_dup, pii, quality_rules, quality_zstd, suffix_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, removed bytes and spans, and the digest of what remains of every document; null and empty texts have no bytes."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of every part, order of the five filters and step; null texts and parts count as empty."""
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -89,5 +96,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_decontaminate, op4_byte_bpe, op5_quality_rules, op6_personal_data, op7_minhash_near_dup, op8_token_store, op9_quality_zstd, op10_license_scan, op13_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_decontaminate, op4_byte_bpe, op5_quality_rules, op6_personal_data, op7_minhash_near_dup, op8_token_store, op9_quality_zstd, op10_license_scan, op12_suffix_dedup, op13_filter_audit, pipeline)}
 ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.SQL, "op13_filter_audit": filter_audit.SQL}

@@ -69,6 +69,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow[:n], _inv[:n]
 
 
+def running(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a byte array and factors: mix((sum[b] - sum[a]) * factor[a]) ranks bytes a to b."""
+    power, inverse = _powers(len(text) + 1)
+    total = np.zeros(len(text) + 1, dtype=U)
+    np.cumsum(_BYTE[text] * power[:-1], out=total[1:])
+    return total, inverse
+
+
 def as_strings(column: pa.Array) -> pa.Array:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -132,9 +140,7 @@ class Scan:
 
     def _running(self) -> np.ndarray:
         if self._sum is None:
-            power, _ = _powers(len(self.text) + 1)
-            self._sum = np.zeros(len(self.text) + 1, dtype=U)
-            np.cumsum(_BYTE[self.text] * power[:-1], out=self._sum[1:])
+            self._sum, _ = running(self.text)
         return self._sum
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

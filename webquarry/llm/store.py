@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from webquarry.store import discard, shared_folder, stored_at
 
-__all__ = ["discard", "joined", "shared_folder", "small", "stored"]
+__all__ = ["discard", "freed", "joined", "shared_folder", "small", "stored"]
 
 
 #: Rows in an Arrow batch while a stored table is computed: sets and texts are long.
@@ -35,6 +36,12 @@ def stored(df: DataFrame, name: str, rows: str = ARROW_ROWS) -> tuple[DataFrame,
         return stored_at(df, name)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files behind tables that are written by now; its cleaner follows garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of one long column up to which a broadcast is allowed: at most about 64 MB.
 BROADCAST_IDS = 2_000_000
 
