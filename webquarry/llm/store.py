@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,10 @@ def stored(df: DataFrame, name: str, rows: str = ARROW_ROWS) -> tuple[DataFrame,
 
 def freed(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files behind tables that are written by now; its cleaner follows garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of plans, the second of the files behind them
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 #: Rows of one long column up to which a broadcast is allowed: at most about 64 MB.

@@ -48,9 +48,9 @@ from webquarry.llm.udf import release, trim
 LENGTH = 50
 SHORT = 26
 #: Bytes of a chunk, of the part of it that is ranked at a time, and of text for one slot of ranks.
-CHUNK_BYTES, PART_BYTES, SLOT_BYTES = 4 << 20, 1 << 20, 8 << 20
+CHUNK_BYTES, PART_BYTES, SLOT_BYTES = 2 << 20, 1 << 19, 2 << 20
 #: Chunks in an Arrow batch.
-CHUNK_ROWS = "2"
+CHUNK_ROWS = "4"
 
 U = np.uint64
 _CHUNK = "chunk long, ids array<long>, sizes array<long>, data binary"
