@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webquarry.llm import bpe, decontaminate, filter_audit, labelled, licenses, line_templates, near_dup, pii, quality_rules, quality_zstd, suffix_dedup, token_store, toxicity
+from webquarry.llm import bpe, cross_align, decontaminate, filter_audit, labelled, licenses, line_templates, near_dup, pii, quality_rules, quality_zstd, suffix_dedup, token_store, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(table(spark, sf_dir, "documents"))
 
 
+def op11_cross_align(spark: SparkSession, sf_dir: str, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
+    """Tokens, groups and links of both tokenizers in every document, with corpus-wide pair counts; zeros where there are no tokens."""
+    path_a, path_b = path_a or public_tokenizers.path("byte_bpe_50k.json"), path_b or public_tokenizers.path("piece_bpe_32k.model")
+    return cross_align.align(table(spark, sf_dir, "documents"), path_a, path_b)
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes, removed bytes and spans, and the digest of what remains of every document; null and empty texts have no bytes."""
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
@@ -96,5 +102,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_decontaminate, op4_byte_bpe, op5_quality_rules, op6_personal_data, op7_minhash_near_dup, op8_token_store, op9_quality_zstd, op10_license_scan, op12_suffix_dedup, op13_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_decontaminate, op4_byte_bpe, op5_quality_rules, op6_personal_data, op7_minhash_near_dup, op8_token_store, op9_quality_zstd, op10_license_scan, op11_cross_align, op12_suffix_dedup, op13_filter_audit, pipeline)}
 ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.SQL, "op13_filter_audit": filter_audit.SQL}

@@ -81,6 +81,10 @@ class CachedEncoder:
     that hold one go to the library whole.
     """
 
+    #: Pieces of a text that are encoded apart, and how many distinct ones are kept.
+    cut = staticmethod(PIECES.findall)
+    limit = CACHE
+
     def __init__(self, path: str, special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -102,7 +106,7 @@ class CachedEncoder:
         """Keep the pieces that occur again and again, at most half of the cache."""
         names, uses = list(self.cache), self.uses[: len(self.cache)]
         often = np.flatnonzero(uses > 2)
-        often = np.sort(often[np.argsort(-uses[often], kind="stable")[: CACHE // 2]])
+        often = np.sort(often[np.argsort(-uses[often], kind="stable")[: self.limit // 2]])
         ids, counts = self._gather(often), self.count[often]
         self.clear()
         self._keep([names[i] for i in often], ids, counts)
@@ -171,9 +175,9 @@ class CachedEncoder:
 
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same by pieces, for texts without added tokens."""
-        cut = [PIECES.findall(t) for t in texts]
+        cut = [self.cut(t) for t in texts]
         new = {p for pieces in cut for p in pieces}.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
+        if len(self.cache) + len(new) > self.limit:
             self.evict()
             new = {p for pieces in cut for p in pieces}.difference(self.cache)
         self.learn(list(new))
