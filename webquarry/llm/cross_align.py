@@ -275,14 +275,17 @@ def _contributed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = 0
 
     def rows() -> pa.RecordBatch:
+        """A row for each chunk: its documents, and both sums of each."""
         chunk, doc, best, total = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((doc, chunk))
         chunk, doc = chunk[order], doc[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (chunk[1:] != chunk[:-1]) | (doc[1:] != doc[:-1])
-        head = np.flatnonzero(new)
+        head = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (doc[1:] != doc[:-1])])
         sums = [np.add.reduceat(x[order], head) for x in (best, total)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (chunk[head], doc[head], *sums)], names=["chunk", "doc", "best", "total"])
+        chunk, doc = chunk[head], doc[head].astype("<u4")
+        edge = np.append(np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]]), len(chunk))
+        columns = [pa.array(chunk[edge[:-1]])]
+        columns += [pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for x in (doc, *sums)]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", "doc", "best", "total"])
 
     for batch in batches:
         key = batch.column("key").to_numpy()
@@ -310,6 +313,15 @@ def _contributed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+def _summed(chunk: pa.Table) -> pa.Table:
+    """Both sums of a chunk's documents, by their place in it."""
+    doc, best, total = (np.frombuffer(b"".join(chunk[c].to_pylist()), dtype=t) for c, t in (("doc", "<u4"), ("best", "<i8"), ("total", "<i8")))
+    sums = [np.zeros(int(doc.max()) + 1, dtype=np.int64) for _ in range(2)]
+    for x, part in zip(sums, (best, total), strict=True):
+        np.add.at(x, doc, part)
+    return pa.table({"chunk": pa.array([chunk["chunk"][0].as_py()], pa.int64()), "best": pa.array([sums[0]], pa.list_(pa.int64())), "total": pa.array([sums[1]], pa.list_(pa.int64()))})
+
+
 def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", groups: bool = False) -> DataFrame:
     """id_col, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every document.
 
@@ -338,11 +350,13 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
     )
     stream = counts.unionByName(links.mapInArrow(_postings(sent), _STREAM), allowMissingColumns=True)
     sorted_stream = stream.repartition(tasks, "key").sortWithinPartitions("key", "kind", "a")
-    parts, _ = stored(sorted_stream.mapInArrow(_contributed, "chunk long, doc long, best long, total long"), "align-parts", "10000")
+    parts, _ = stored(sorted_stream.mapInArrow(_contributed, "chunk long, doc binary, best binary, total binary"), "align-parts", "10000")
     freed(spark)
-    sums = parts.groupBy("chunk", "doc").agg(F.sum("best").alias("best"), F.sum("total").alias("total"))
-    rows = chunks.select("chunk", F.posexplode(F.arrays_zip("ids", *_STATS, "groups")).alias("doc", "x")).select("chunk", F.col("doc").cast("long").alias("doc"), "x.*")
-    zero = lambda c, name: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(name)
-    return rows.join(sums, ["chunk", "doc"], "left").select(
-        F.col("ids").alias(id_col), *_STATS, zero("best", "n_best"), zero("total", "count_sum"), F.col("groups").alias("groups" if groups else "groups_sha256")
-    )
+    sums = parts.groupBy("chunk").applyInArrow(_summed, "chunk long, best array<long>, total array<long>")
+    rows = chunks.select("chunk", "ids", *_STATS, "groups").join(sums, "chunk", "left")
+    rows = rows.select("best", "total", F.posexplode(F.arrays_zip("ids", *_STATS, "groups")).alias("doc", "x"))
+    own = lambda c, name: F.coalesce(F.get(c, "doc"), F.lit(0).cast("long")).alias(name)
+    return rows.select(
+        F.col("x.ids").alias(id_col), *[F.col(f"x.{c}") for c in _STATS], own("best", "n_best"), own("total", "count_sum"),
+        F.col("x.groups").alias("groups" if groups else "groups_sha256"),
+    )
