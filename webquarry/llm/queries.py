@@ -103,4 +103,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_decontaminate, op4_byte_bpe, op5_quality_rules, op6_personal_data, op7_minhash_near_dup, op8_token_store, op9_quality_zstd, op10_license_scan, op11_cross_align, op12_suffix_dedup, op13_filter_audit, pipeline)}
-ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.SQL, "op13_filter_audit": filter_audit.SQL}
+ORACLES: dict[str, str] = {"op5_quality_rules": quality_rules.SQL, "op12_suffix_dedup": suffix_dedup.SQL, "op13_filter_audit": filter_audit.SQL}

@@ -47,10 +47,11 @@ from webquarry.llm.udf import release, trim
 
 LENGTH = 50
 SHORT = 26
-#: Bytes of a chunk, of the part of it that is ranked at a time, and of text for one slot of ranks.
-CHUNK_BYTES, PART_BYTES, SLOT_BYTES = 2 << 20, 1 << 19, 2 << 20
+#: Bytes of a chunk (compressed, a row of it stays small for the JVM), of the part of it that is ranked at a
+#: time, and of text for one slot of ranks.
+CHUNK_BYTES, PART_BYTES, SLOT_BYTES = 1 << 19, 1 << 19, 4 << 20
 #: Chunks in an Arrow batch.
-CHUNK_ROWS = "4"
+CHUNK_ROWS = "8"
 
 U = np.uint64
 _CHUNK = "chunk long, ids array<long>, sizes array<long>, data binary"
@@ -378,3 +379,33 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = chunks.join(ranks, "chunk", "left").join(decided, "chunk", "left")
     out = whole.mapInArrow(_finish(bits), "id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), "n_bytes", "kept", "spans")
+
+
+#: For small tables: a row for each byte.
+SQL = """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), parts AS (
+  -- 500 bytes, and the 49 that windows go on for: taking a piece of a long text is slow
+  SELECT doc_id, 500 * k AS base, substr(h, 1000 * k + 1, 1098) AS h, least(500, length(h) // 2 - 500 * k) AS n
+  FROM texts, unnest(range(length(h) // 1000 + 1)) AS r(k)
+), bytes AS (
+  SELECT doc_id, base + i AS i, substr(h, 2 * i + 1, 2) AS b,
+         CASE WHEN length(h) >= 2 * i + 100 THEN substr(h, 2 * i + 1, 100) END AS s
+  FROM parts, unnest(range(n)) AS r(i)
+), starts AS (
+  SELECT doc_id, i, b, s IS NOT NULL AND min(doc_id) OVER (PARTITION BY s) < doc_id AS hit FROM bytes
+), covered AS (
+  SELECT doc_id, i, b, coalesce(i - max(i) FILTER (hit) OVER (PARTITION BY doc_id ORDER BY i) < 50, false) AS gone
+  FROM starts
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM covered
+), judged AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+         coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS kept
+  FROM edges GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM texts LEFT JOIN judged USING (doc_id)
+"""
