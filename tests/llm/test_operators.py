@@ -154,6 +154,32 @@ def test_contamination_matches_brute_force(spark, monkeypatch, most):
     assert cut[len(ODD)]["text"] == "before ! after" and cut[1]["text"] == ""
 
 
+def test_heavy_windows_and_texts_are_spread(spark, monkeypatch):
+    """The join's way with one window at word 0 of every text, and one text in half of the rows."""
+    from collections import Counter
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_CHARS", -1)
+    monkeypatch.setattr(store, "HEAVY", 20)
+    tables = []
+    keep = lambda df, name, *a: tables.append((name, real(df, name, *a))) or tables[-1][1]
+    real = decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", keep)
+    header = plain(10, 1)
+    texts = [f"{header} {plain(15, 100 + i)}" for i in range(120)] + [f"{header} same text again"] * 120 + [None, ""] * 40
+    items = spark.createDataFrame([(i, f"{header} tail{i} of item") for i in range(30)] + [(99, "")], "item_id long, text string")
+    df = docs(spark, texts)
+    out = decontaminate.contamination_report(df, items)
+    rows = by_id(out)
+    assert {(rows[i]["n_hit"], rows[i]["n_items"]) for i in range(240)} == {(10, 30)}
+    assert all((rows[i]["n_words"], rows[i]["n_hit"], rows[i]["contaminated"]) == (0, 0, False) for i in range(240, 320))
+    # hits name a list of items; they do not carry it
+    assert {f.name for f in dict(tables)["hits"][0].schema} == {"w", "key", "first", "n", "holders"}
+    splits = Counter(r["s"] for r in df.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(store.SPLITS)).alias("s")).collect())
+    assert len(splits) > store.SPLITS // 2
+    with pytest.raises(ValueError):
+        store.joined(df, df.select("doc_id").distinct(), "doc_id", "doc_id")
+
+
 def test_contamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in decontaminate.contamination_report(docs(spark, ODD), none).collect())
@@ -557,6 +583,32 @@ def test_near_copies_are_left_to_deduplication(spark):
     assert [rows[i]["text"] for i in range(12)] == texts
 
 
+@pytest.mark.parametrize("shared, own", [(8, 9), (14, 9), (20, 12), (20, 40)])
+def test_pages_of_boilerplate_lose_it_and_keep_their_text(spark, shared, own):
+    """However large the share of common lines, each page is a host of its own."""
+    lines = [plain(10, 6700 + k) + "." for k in range(shared)]
+    texts = ["\n".join([*lines[: shared // 2], plain(own, 6800 + i) + ".", *lines[shared // 2 :]]) for i in range(200)]
+    rows = by_id(line_templates.drop_recurring_lines(docs(spark, texts), counts=True))
+    assert [rows[i]["text"].strip() for i in range(200)] == [plain(own, 6800 + i) + "." for i in range(200)]
+    assert sum(r["n_dropped"] for r in rows.values()) == 200 * shared
+
+
+def test_a_host_copied_thousands_of_times_counts_once(spark):
+    page = "\n".join(plain(10, 6900 + k) + "." for k in range(9))
+    near = page.replace(page.split()[5], "edited", 1)
+    other = [f"{plain(30, 7000)}.\n{page.splitlines()[2]}"]  # a second host
+    texts = [page] * 3300 + [near] * 40 + other
+    rows = by_id(line_templates.drop_recurring_lines(docs(spark, texts), counts=True))
+    assert not any(r["n_dropped"] for r in rows.values())
+
+
+@pytest.mark.parametrize("rows", [60, 6000])
+def test_short_lines_recur_by_count_at_every_size(spark, rows):
+    texts = [f"{plain(20, i)}.\nShare this page now" if i < 20 else f"own{i} words here" for i in range(rows)]
+    found = by_id(line_templates.drop_recurring_lines(docs(spark, texts), counts=True))
+    assert sum(r["n_dropped"] for r in found.values()) == 20
+
+
 def test_log_documents_are_no_copies(spark):
     line = "2026-01-{:02d} INFO user {} logged in from 10.0.{}.{} port {}"
     texts = ["\n".join(line.format(1 + j, 7 * i + j, i, j, 1000 + 31 * i + j) for j in range(6)) for i in range(8)]
@@ -619,7 +671,7 @@ def brute_messages(text):
     return out
 
 
-def brute_templates(texts, min_docs=3, min_tokens=5, share=0.001):
+def brute_templates(texts, min_docs=3, min_tokens=5, short_docs=10):
     """Number of messages to drop in each text, by a tree in plain Python."""
     group = [g for _, g in brute_near(texts, 5)]
     messages = [brute_messages(t) for t in texts]
@@ -630,10 +682,17 @@ def brute_templates(texts, min_docs=3, min_tokens=5, share=0.001):
             if keep(m, whole):
                 has.setdefault(m, set()).add(d)
     leaf = lambda m: (len(m), m[:4])
-    least = lambda m: min_docs if len(m) >= min_tokens else max(min_docs, int(np.ceil(share * len(texts))))
+    least = lambda m: min_docs if len(m) >= min_tokens else short_docs
     kinds = {}
     for m in has:
         kinds.setdefault(leaf(m), []).append(m)
+    # a page like others only through such messages is no copy of theirs
+    may = {m for own in kinds.values() for m in own if len(set().union(*(has[x] for x in own))) >= least(m)}
+    pairs = lambda own: {p for m in own for p in zip(m, m[1:])}
+    for d, own in enumerate(messages):
+        rest = pairs([m for m, whole in own if not (keep(m, whole) and m in may)])
+        if rest and 2 * len(rest & pairs([m for m, _ in messages[group[d]]])) < len(rest):
+            group[d] = d
     template = {}
     for key, own in kinds.items():
         docs_of = [len(has[m]) for m in own]

@@ -145,7 +145,9 @@ def _by_join(df: DataFrame, items: DataFrame, size: int, text_col: str, names: l
     spark = df.sparkSession
     windows, windows_at = stored(items.select("item", F.explode(_item_windows(size)(F.col("t"))["windows"]).alias("x")).select("item", "x.*"), "windows")
     lengths = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most ``size``
-    known, _ = stored(windows.groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items")), "known-windows")
+    # windows that the same items hold share one list, which hits name by its hash
+    known, known_at = stored(windows.groupBy("w").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("holders", F.xxhash64("items")), "known-windows")
+    lists, lists_at = stored(known.groupBy("holders").agg(F.first("items").alias("items")), "known-items")
     sent = spark.sparkContext.broadcast(_bit_map(windows))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     tag = "key_of_" + "_".join(df.columns)[:120]
@@ -153,10 +155,13 @@ def _by_join(df: DataFrame, items: DataFrame, size: int, text_col: str, names: l
     texts = keyed.select(F.col(tag).alias("key"), text.alias("t"), _candidates(sent, lengths)(text).alias("c"))
     texts, texts_at = stored(texts.select("key", F.col("c.n_words").alias("n_words"), F.col("c.windows").alias("windows")), "candidates")
     near = texts.filter(F.size("windows") > 0).select("key", F.explode("windows").alias("x")).select("key", "x.*").distinct()
-    found = joined(near, known, "w", "first", rows=0)
-    hits = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("first"), (F.col("first") + F.col("n") - 1).alias("last")))).alias("raw"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    found, found_at = stored(joined(near, known.select("w", "holders"), "w", "key", rows=0), "hits")
+    hits = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("first"), (F.col("first") + F.col("n") - 1).alias("last")))).alias("raw"))
+    named = joined(found.select("key", "holders").distinct(), lists, "holders", "key", rows=0).groupBy("key")
+    named = named.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = hits.join(named, "key")
     counted = texts.groupBy("key").agg(F.first("n_words").alias("n_words"))
-    each, _ = stored(counted.join(hits, "key", "left"), "hits")
+    each, each_at = stored(counted.join(hits, "key", "left"), "hits-of-texts")
     spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def merge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -166,8 +171,10 @@ def _by_join(df: DataFrame, items: DataFrame, size: int, text_col: str, names: l
     merge.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     spans = F.arrow_udf(merge, returnType="array<struct<first: long, last: long>>")(F.col("raw"))
     ready, _ = stored(each.select(F.col("key").alias(tag), F.struct("n_words", spans.alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).alias("hits_of_key")), "contamination")
-    discard(spark, windows_at, texts_at)
-    return with_struct(joined(keyed, ready, tag, tag, "left", rows=0), F.col("hits_of_key"), names).drop(tag, "hits_of_key")
+    discard(spark, windows_at, known_at, lists_at, texts_at, found_at, each_at)
+    # many rows may share a text, so a row's number spreads them
+    numbered = keyed.withColumn(f"row_{tag}", F.monotonically_increasing_id())
+    return with_struct(joined(numbered, ready, tag, f"row_{tag}", "left", rows=0), F.col("hits_of_key"), names).drop(tag, f"row_{tag}", "hits_of_key")
 
 
 def _scan_udf(sent):
@@ -212,7 +219,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, size: int = 10, text
     items = _item_rows(benchmark, item_id, item_text)
     if (items.agg(F.sum(F.length("t"))).first()[0] or 0) > BROADCAST_CHARS:
         return _by_join(df, items, size, text_col, names)
-    held = [(r["item"], _words(r["t"])) for r in items.collect()]
+    held = [(r["item"], _words(r["t"])) for r in items.filter(F.length("t") > 0).collect()]
     sent = df.sparkSession.sparkContext.broadcast(WindowIndex([(i, w) for i, w in held if w], size))
     return with_struct(df, _scan_udf(sent)(F.col(f"`{text_col}`").cast("string")), names)
 

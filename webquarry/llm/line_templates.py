@@ -11,15 +11,17 @@ other message is a template of its own.  The result does not depend on the order
 of documents.
 
 A template recurs if at least ``min_docs`` documents have it that are not copies
-of one another, however many copies there are besides.  Copies are the components
-of ``near_dup.near_duplicates`` among the documents that may matter (whole texts,
-digits kept), and a component counts once: a message that recurs only because
-whole documents do is left to document-level deduplication.
+of one another, however many copies there are besides: a message that recurs only
+because whole documents do is left to document-level deduplication.  Documents of one
+component of ``near_dup.near_duplicates`` (whole texts, digits kept) may be copies, or
+separate pages that are alike through the shared messages themselves.  What tells them
+apart is the rest of a text, without messages whose leaf is in many documents: in a
+copy, at least half of the rest's word pairs are in the component's first document
+too; in a page of its own they are not, and it counts for itself.
 
 Messages of fewer than ``min_tokens`` tokens say little by themselves ("Yes.").
 They count only where they are a whole line and hold a letter, and such a template
-recurs if a share of ``short_share`` of all rows (and ``min_docs``) have it, copies
-again counted once.  All occurrences of recurring templates are dropped, and with
+recurs if ``short_docs`` documents have it, copies again counted once.  All occurrences of recurring templates are dropped, and with
 them short messages that lie between two of them, or between one and the line's
 edge; other short messages stay.
 
@@ -32,7 +34,6 @@ columns stay; with ``counts``, n_dropped replaces a column of that name.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,8 +52,8 @@ DEPTH = 4
 SIMILAR = 0.7
 MIN_DOCS = 3
 MIN_TOKENS = 5
-#: Share of all rows that a short line has to be in.
-SHORT_SHARE = 0.001
+#: Documents that a short line has to be in.
+SHORT_DOCS = 10
 #: Rows of two or three numbers up to which they are broadcast: at most about 64 MB.
 BROADCAST_ROWS = 500_000
 #: Documents up to which lists of their messages' places are broadcast.
@@ -160,6 +161,48 @@ def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([column("leaf"), column("line"), column("docs"), pa.array(place.astype(np.int32)), pa.array(token.view(np.int64))], names=["leaf", "line", "docs", "place", "token"])
 
 
+def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct word pairs of each text's messages, but those at the places listed: component, key, pair."""
+    for batch in batches:
+        base = 0
+        for chunk in scan.chunks(batch.column("text")):
+            x = Messages(chunk)
+            rest = ~x.at_places([p or [] for p in batch.column("places").slice(base, len(chunk)).to_pylist()])
+            inside = np.repeat(rest, x.count)[:-1] & (np.diff(np.repeat(np.arange(len(x.first)), x.count)) == 0)
+            at = np.flatnonzero(inside)
+            pair = scan.mix(x.token[at] * U(0x9E3779B97F4A7C15) + x.token[at + 1])
+            doc = np.repeat(x.doc, x.count)[at]
+            order = np.lexsort((pair, doc))
+            pair, doc = pair[order], doc[order]
+            new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])]) if len(order) else order
+            take = pa.array(doc[new] + base)
+            columns = [batch.column("component").take(take), batch.column("key").take(take), pa.array(pair[new].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["component", "key", "pair"])
+            base += len(chunk)
+
+
+def hosts(keyed: DataFrame, lines: DataFrame, copies: DataFrame) -> DataFrame:
+    """key and host of all documents in ``copies`` (key, component_id): a copy's host is its component.
+
+    lines: the messages (key, position) that may recur; the rest of a text decides.
+    """
+    spark = keyed.sparkSession
+    alike = copies.groupBy("component_id").count().filter("count > 1").select("component_id")
+    members, members_at = stored(copies.join(alike, "component_id").select("key", F.col("component_id").alias("component")), "members")
+    places = lines.join(members.filter("key <> component").select("key"), "key", "left_semi").groupBy("key").agg(F.collect_set("position").alias("places"))
+    texts = keyed.join(F.broadcast(members) if small(members, BROADCAST_ROWS) else members, "key").join(places, "key", "left")
+    pairs, pairs_at = stored(texts.select("component", "key", "places", "text").mapInArrow(_pairs_of, "component long, key long, pair long"), "pairs")
+    slot = F.struct("component", "pair").alias("slot")
+    first, first_at = stored(pairs.filter("key = component").select(slot).distinct().withColumn("held", F.lit(1)), "first-pairs")
+    rest = pairs.filter("key <> component").select(slot, "key").distinct()
+    judged = joined(rest, first, "slot", "key", "left", BROADCAST_ROWS).groupBy("key").agg(F.count("held").alias("held"), F.count("*").alias("n"))
+    apart, apart_at = stored(judged.filter("2 * held < n").select("key", F.lit(True).alias("apart")), "apart")
+    found = joined(copies, apart, "key", "component_id", "left", BROADCAST_ROWS)
+    found, _ = stored(found.select("key", F.when(F.col("apart"), F.col("key")).otherwise(F.col("component_id")).alias("host")), "hosts")
+    discard(spark, members_at, pairs_at, first_at, apart_at)
+    return found
+
+
 def _cut(min_tokens: int, lines):
     """Text and number of dropped messages, for texts that the second column marks; the others stay in Arrow.
 
@@ -259,22 +302,22 @@ def generalised(each: DataFrame, keyed: DataFrame, min_docs: int) -> DataFrame:
     return general
 
 
-def recurring_lines(keyed: DataFrame, min_docs: int, min_tokens: int, short_share: float) -> tuple[DataFrame, DataFrame]:
+def recurring_lines(keyed: DataFrame, min_docs: int, min_tokens: int, short_docs: int) -> tuple[DataFrame, DataFrame]:
     """(messages, drops) of a table of key, text: recurring messages (message: its leaf and line),
     and their occurrences (key, position, message), both stored."""
     spark = keyed.sparkSession
     messages, messages_at = stored(keyed.select("key", F.explode(_parse(min_tokens)(F.col("text"))["lines"]).alias("x")).select("key", "x.*"), "messages")
-    short_docs = max(min_docs, math.ceil(short_share * keyed.count()))
     enough = lambda name: F.col(name) >= F.when(F.col("long"), min_docs).otherwise(short_docs)
     # leaves that enough documents have, copies counted one by one: only these are looked at further
     hot, hot_at = stored(messages.filter("first").groupBy("leaf", "long").count().filter(enough("count")).select("leaf"), "leaves")
     lines, lines_at = stored(joined(messages, hot, "leaf", "key", "left_semi"), "lines")
     discard(spark, messages_at, hot_at)
-    # documents by component of near copies, each of which counts once
+    # documents by component of near copies
     holders, holders_at = stored(lines.select("key").distinct(), "holders")
     copies = near_dup.near_duplicates(keyed, "key", only=holders).select("key", "component_id").distinct()
     copies, copies_at = stored(copies, "copies")
-    groups = lines.filter("first").select("key", "leaf", "long").join(copies, "key").select("leaf", "long", "component_id").distinct()
+    host = hosts(keyed, lines, copies)
+    groups = lines.filter("first").select("key", "leaf", "long").join(host, "key").select("leaf", "long", "host").distinct()
     live, live_at = stored(groups.groupBy("leaf", "long").count().filter(enough("count")).select("leaf"), "live-leaves")
     lines, live_lines_at = stored(joined(lines, live, "leaf", "key", "left_semi").select("key", "position", F.struct("leaf", "line").alias("message"), "long"), "live-lines")
     # a row for each distinct message; docs counts rows equal in id and text once
@@ -285,7 +328,7 @@ def recurring_lines(keyed: DataFrame, min_docs: int, min_tokens: int, short_shar
     template = F.when(F.col("general"), F.xxhash64(F.col("leaf"), F.lit("leaf"))).otherwise(F.col("line"))
     named, named_at = stored(each.join(general.withColumn("general", F.lit(True)), ["leaf", "line"], "left").select("message", template.alias("template")), "named-messages")
     found, found_at = stored(joined(lines, named, "message", "key", "inner", BROADCAST_ROWS).select("key", "position", "message", "template", "long"), "found")
-    groups = found.select("key", "template", "long").distinct().join(copies, "key").select("template", "long", "component_id").distinct()
+    groups = found.select("key", "template", "long").distinct().join(host, "key").select("template", "long", "host").distinct()
     recur, recur_at = stored(groups.groupBy("template", "long").count().filter(enough("count")).select("template"), "recurring")
     drops, _ = stored(joined(found, recur, "template", "key", "left_semi").select("key", "position", "message"), "drops")
     dropped, _ = stored(joined(named, recur, "template", "message", "left_semi").select("message"), "dropped-messages")
@@ -293,7 +336,7 @@ def recurring_lines(keyed: DataFrame, min_docs: int, min_tokens: int, short_shar
     return dropped, drops
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, short_share: float = SHORT_SHARE, counts: bool = False) -> DataFrame:
+def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, short_docs: int = SHORT_DOCS, counts: bool = False) -> DataFrame:
     """df with recurring messages cut from its text; with ``counts``, plus n_dropped (long).
 
     The last pass over the texts finds the messages again by their hashes where these
@@ -304,7 +347,7 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.col(f"`{text_col}`").cast("string")
     key = F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("\0")), F.coalesce(text, F.lit("\0")))
     keyed = df.withColumn("webquarry_key", key)
-    dropped, drops = recurring_lines(keyed.select(F.col("webquarry_key").alias("key"), text.alias("text")), min_docs, min_tokens, short_share)
+    dropped, drops = recurring_lines(keyed.select(F.col("webquarry_key").alias("key"), text.alias("text")), min_docs, min_tokens, short_docs)
     lines = None
     if small(dropped):
         lines = spark.sparkContext.broadcast(np.sort(dropped.select("message.line").toArrow()["line"].to_numpy()))

@@ -63,8 +63,11 @@ def joined(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inn
 
     A right of at most ``rows`` rows is broadcast (0 where its rows are long).  Else
     both are shuffled, and keys with HEAVY left rows or more, which are at most one in
-    HEAVY of left's rows, are spread over SPLITS tasks by a hash of left's column ``by``.
+    HEAVY of left's rows, are spread over SPLITS tasks by a hash of left's column ``by``,
+    which must tell the rows of a key apart: the key itself raises ValueError.
     """
+    if by == key:
+        raise ValueError(f"{key} cannot spread its own rows")
     if rows and small(right, rows):
         return left.join(F.broadcast(right), key, how)
     heavy, _ = stored(left.groupBy(key).count().filter(F.col("count") >= HEAVY).select(key, F.lit(True).alias("webquarry_heavy")), "heavy")
