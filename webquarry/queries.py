@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webquarry import crawl_queries
 from webquarry.functions import markup, text, urls
 from webquarry.operators import dedup, fingerprints, graph, grid, html, incremental
 from webquarry.plans import artifacts
@@ -338,7 +339,7 @@ QUERIES = {f.__name__: f for f in (
     url_normalize, url_normalize_strip_query, url_parts, site_rollup, same_site_seed, navigable_links, target_guard, slug_and_id, synthetic_urls, slug_titles, part_slug, clamp_ints, page_title, page_headings, page_links, link_distinct, link_cap, body_text, doc_text_dedup,
     state_fingerprint, page_signature, probe_fingerprint, probe_representative, edges_page_target, graph_degree, frontier_bfs, reachable_derived, graph_gc, crawl_nodes, crawl_edges, crawl_budget, known_node_lookup, visited_anti, budget_limit, incremental_diff, page_state_merge, clear_outgoing, upsert_nodes,
     app_map, manifest_counts, index_md, screen_markdown, markdown_parse_back, knowledge_base, mermaid_graph, log_levels, destructive_text, grid_accumulate,
-)} | {"site_links": entry_query}
+)} | {"site_links": entry_query} | crawl_queries.QUERIES
 
 # --- DuckDB statements -----------------------------------------------------------
 
@@ -440,3 +441,5 @@ ORACLES = {
     "destructive_text": f"SELECT doc_id, coalesce(regexp_matches(text, '{text.DESTRUCTIVE}', 'i'), false) AS destructive FROM documents",
     "grid_accumulate": "SELECT l_orderkey AS table_id, l_linenumber AS step, l_partkey AS pos, l_returnflag || '|' || l_linestatus AS cells FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber, l_partkey) = 1",
 }
+_TEXTS = f"(SELECT l.page_id, l.pos, {_DECODED.format('t.ts[l.pos + 1]')} AS text, target FROM {_LINKS} l JOIN (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">(.*?)</a>', 1) AS ts FROM pages) t ON l.page_id = t.page_id)"
+ORACLES |= crawl_queries.oracles(_TEXTS, _NAME, _H1, _slug)
