@@ -102,41 +102,68 @@ def crawl(pages: DataFrame, start_url: str, max_depth: int = 5, max_pages: int |
     ready, within depth and page budget, in order of (depth, parent, link place).
     All links between captured screens are edges, not only those known when found.
     """
-    spark: SparkSession = pages.sparkSession
     usable = pages.filter((F.col("status").isNull() | (F.col("status") < 400)) & F.coalesce(F.col("is_ready"), F.lit(True)))
     corpus = first_seen(usable.withColumn("norm_url", urls.normalize_url(F.col("url"))).select("norm_url", "url", "title", "links"), ["norm_url"], ["url"])
-    corpus = stored(corpus.withColumnRenamed("url", "page_url"), "corpus")
+    corpus, corpus_at = stored_at(corpus.withColumnRenamed("url", "page_url"), "corpus")
+    links = link_rows(corpus, "norm_url").select(F.col("from").alias("norm_url"), "link_pos", "link_text", "href", F.col("norm_url").alias("target"))
+    found = crawl_links(corpus.drop("links"), links, start_url, max_depth, max_pages, scope, visited)
+    discard(pages.sparkSession, corpus_at)
+    return found
+
+
+def crawl_links(corpus: DataFrame, links: DataFrame, start_url: str, max_depth: int = 5, max_pages: int | None = 50, scope: str = "site", visited: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """crawl() over link rows, however they were read.
+
+    corpus: norm_url (unique), page_url, title; links: norm_url, link_pos, link_text,
+    href, target (the normal form of href).  A level reads link rows and names of
+    screens, not their content, and adds to what was reached; every FOLD levels, parts
+    become one table.
+    """
+    spark: SparkSession = corpus.sparkSession
+    names, names_at = stored_at(corpus.select("norm_url", "title"), "names")
+    ahead_of, links_at = stored_at(links.filter(urls.in_scope(F.col("href"), F.lit(start_url), scope) & urls.is_navigable(F.col("target"))).select(F.col("norm_url").alias("source"), "link_pos", "link_text", "href", "target"), "followed")
     start = urls.normalize(start_url)
     frontier = spark.createDataFrame([(start_url, start, "seed", None, [0])], "url string, norm_url string, discovered_via string, parent_id string, rank array<int>")
     seen = spark.createDataFrame([(start,)], "norm_url string")
     if visited is not None:
         seen = seen.unionByName(visited.select("norm_url").filter(F.col("norm_url") != start)).distinct()
     nodes: DataFrame | None = None
+    parts: list[str] = []
+    used: list[str] = [names_at, links_at]
     count, depth = 0, 0
     while True:
-        found = frontier.join(corpus, "norm_url")
         # a node's place in its level: the link places along its path, which sort without gathering the level in one task
-        level = found.select(text.screen_id(F.col("url"), F.col("norm_url")).alias("id"), "url", "norm_url", "title", F.lit(depth).alias("depth"), "discovered_via", "parent_id", F.col("rank").alias("seq"), "links")
+        level = frontier.join(names, "norm_url").select(text.screen_id(F.col("url"), F.col("norm_url")).alias("id"), "url", "norm_url", "title", F.lit(depth).alias("depth"), "discovered_via", "parent_id", F.col("rank").alias("seq"))
         if max_pages is not None:
             level = level.orderBy("seq").limit(max(0, max_pages - count))
-        level = stored(level, "capture")
+        level, at = stored_at(level, "capture")
         taken = level.count()
-        nodes = level if nodes is None else nodes.unionByName(level)
+        nodes, parts = level if nodes is None else nodes.unionByName(level), [*parts, at]
         count += taken
+        if len(parts) > FOLD:
+            nodes, folded = stored_at(nodes, "captures")
+            used, parts, level = [*used, *parts], [folded], nodes.filter(F.col("depth") == depth)
         if not taken or depth >= max_depth or (max_pages is not None and count >= max_pages):
             break
-        ahead = followed(link_rows(level.select("id", "links")), start_url, scope).join(level.select(F.col("id").alias("from"), F.col("seq").alias("parent_seq")), "from")
+        ahead = level.select(F.col("norm_url").alias("source"), F.col("id").alias("from"), F.col("seq").alias("parent_seq")).join(ahead_of, "source").withColumnRenamed("target", "norm_url")
         fresh = ahead.join(seen, "norm_url", "left_anti").withColumn("order", F.struct("parent_seq", "link_pos"))
         fresh = first_seen(fresh.select("norm_url", "href", "link_text", "from", "order"), ["norm_url"], ["order", "from"])
         rank = F.concat(F.col("order.parent_seq"), F.array("order.link_pos"))
-        frontier = stored(fresh.select(F.col("href").alias("url"), "norm_url", F.concat(F.lit('link: "'), F.col("link_text"), F.lit('"')).alias("discovered_via"), F.col("from").alias("parent_id"), rank.alias("rank")), "frontier")
-        seen = stored(seen.unionByName(frontier.select("norm_url")), "seen")
+        frontier, at = stored_at(fresh.select(F.col("href").alias("url"), "norm_url", F.concat(F.lit('link: "'), F.col("link_text"), F.lit('"')).alias("discovered_via"), F.col("from").alias("parent_id"), rank.alias("rank")), "frontier")
+        used.append(at)
+        seen = seen.unionByName(frontier.select("norm_url"))
+        if depth % FOLD == FOLD - 1:
+            seen, at = stored_at(seen, "seen")
+            used.append(at)
         depth += 1
-    all_links = followed(link_rows(nodes.filter(F.col("depth") < max_depth)), start_url, scope)
-    edges = known_edges(all_links, nodes)
+    nodes = stored(nodes, "crawled")
+    starts = nodes.filter(F.col("depth") < max_depth).select(F.col("norm_url").alias("source"), F.col("id").alias("from"))
+    edges = known_edges(starts.join(ahead_of, "source").select("from", "link_text", F.col("target").alias("norm_url")), nodes)
     discovery = nodes.filter("parent_id is not null").select(F.col("parent_id").alias("from"), F.col("id").alias("to"), F.col("discovered_via").alias("label"))
     flagged = edges.unionByName(discovery).distinct().join(discovery.distinct().withColumn("is_discovery", F.lit(True)), ["from", "to", "label"], "left")
-    return nodes.drop("links"), flagged.withColumn("is_discovery", F.coalesce("is_discovery", F.lit(False)))
+    edges = stored(flagged.withColumn("is_discovery", F.coalesce("is_discovery", F.lit(False))), "crawl-edges")
+    discard(spark, *used, *parts)
+    return nodes, edges
 
 
 def first_found_depths(links: list[tuple[str, str]], root: str, max_depth: int = 5, max_pages: int = 50) -> list[tuple[str, int]]:
