@@ -49,7 +49,7 @@ LENGTH = 50
 SHORT = 26
 #: Bytes of a chunk (compressed, a row of it stays small for the JVM), of the part of it that is ranked at a
 #: time, and of text for one slot of ranks.
-CHUNK_BYTES, PART_BYTES, SLOT_BYTES = 1 << 19, 1 << 19, 4 << 20
+CHUNK_BYTES, PART_BYTES, SLOT_BYTES = 1 << 20, 1 << 19, 4 << 20
 #: Chunks in an Arrow batch.
 CHUNK_ROWS = "8"
 
@@ -97,7 +97,8 @@ def window_anchors(buf: np.ndarray, off: np.ndarray) -> Anchors:
         first, last, at = inside[head], inside[tail], at[head]
         shape = ((last - first) * 64 + at - first).astype(U)
         context = scan.mix((total[last + LENGTH] - total[first]) * inverse[first] + shape * U(0x9E3779B97F4A7C15))
-        parts.append((at + lo, first + lo, last + lo, rank[at], context))
+        # the smallest of many ranks is a small number: mixed again, ranks fill their space evenly
+        parts.append((at + lo, first + lo, last + lo, scan.mix(rank[at] ^ U(0x9E3779B97F4A7C15)), context))
     if not parts:
         none = np.zeros(0, dtype=np.int64)
         return Anchors(none, none, none, none.astype(U), none.astype(U))
