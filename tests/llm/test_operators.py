@@ -604,7 +604,7 @@ def test_a_host_copied_thousands_of_times_counts_once(spark):
 
 @pytest.mark.parametrize("rows", [60, 6000])
 def test_short_lines_recur_by_count_at_every_size(spark, rows):
-    texts = [f"{plain(20, i)}.\nShare this page now" if i < 20 else f"own{i} words here" for i in range(rows)]
+    texts = [f"{plain(20, i)}.\nShare this page now" if i < 20 else plain(4, 20_000 + i) for i in range(rows)]
     found = by_id(line_templates.drop_recurring_lines(docs(spark, texts), counts=True))
     assert sum(r["n_dropped"] for r in found.values()) == 20
 

@@ -162,7 +162,7 @@ def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct word pairs of each text's messages, but those at the places listed: component, key, pair."""
+    """Distinct word pairs of each text's messages, but those at the places listed: component, key, pairs (hashes in order)."""
     for batch in batches:
         base = 0
         for chunk in scan.chunks(batch.column("text")):
@@ -171,35 +171,45 @@ def _pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside = np.repeat(rest, x.count)[:-1] & (np.diff(np.repeat(np.arange(len(x.first)), x.count)) == 0)
             at = np.flatnonzero(inside)
             pair = scan.mix(x.token[at] * U(0x9E3779B97F4A7C15) + x.token[at + 1])
-            doc = np.repeat(x.doc, x.count)[at]
-            order = np.lexsort((pair, doc))
-            pair, doc = pair[order], doc[order]
-            new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])]) if len(order) else order
-            take = pa.array(doc[new] + base)
-            columns = [batch.column("component").take(take), batch.column("key").take(take), pa.array(pair[new].view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["component", "key", "pair"])
+            begin = np.searchsorted(np.repeat(x.doc, x.count)[at], np.arange(x.n_docs + 1))
+            pairs = [np.unique(pair[a:b]).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+            names = [batch.column(c).slice(base, len(chunk)) for c in ("component", "key")]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(pairs, pa.binary())], names=["component", "key", "pairs"])
             base += len(chunk)
 
 
+def _apart(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Whether less than half of the first column's pairs are among the second's."""
+    for rest, first in batches:
+        out = []
+        for own, whole in zip(rest.to_pylist(), first.to_pylist(), strict=True):
+            mine, known = np.frombuffer(own, dtype=U), np.frombuffer(whole or b"", dtype=U)
+            out.append(2 * len(np.intersect1d(mine, known, assume_unique=True)) < len(mine))
+        yield pa.array(out, pa.bool_())
+
+
+_apart.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+
+
 def hosts(keyed: DataFrame, lines: DataFrame, copies: DataFrame) -> DataFrame:
     """key and host of all documents in ``copies`` (key, component_id): a copy's host is its component.
 
     lines: the messages (key, position) that may recur; the rest of a text decides.
     """
     spark = keyed.sparkSession
-    alike = copies.groupBy("component_id").count().filter("count > 1").select("component_id")
-    members, members_at = stored(copies.join(alike, "component_id").select("key", F.col("component_id").alias("component")), "members")
+    alike, alike_at = stored(copies.groupBy("component_id").count().filter("count > 1").select("component_id"), "alike")
+    members, members_at = stored(joined(copies, alike, "component_id", "key").select("key", F.col("component_id").alias("component")), "members")
     places = lines.join(members.filter("key <> component").select("key"), "key", "left_semi").groupBy("key").agg(F.collect_set("position").alias("places"))
     texts = keyed.join(F.broadcast(members) if small(members, BROADCAST_ROWS) else members, "key").join(places, "key", "left")
-    pairs, pairs_at = stored(texts.select("component", "key", "places", "text").mapInArrow(_pairs_of, "component long, key long, pair long"), "pairs")
-    slot = F.struct("component", "pair").alias("slot")
-    first, first_at = stored(pairs.filter("key = component").select(slot).distinct().withColumn("held", F.lit(1)), "first-pairs")
-    rest = pairs.filter("key <> component").select(slot, "key").distinct()
-    judged = joined(rest, first, "slot", "key", "left", BROADCAST_ROWS).groupBy("key").agg(F.count("held").alias("held"), F.count("*").alias("n"))
-    apart, apart_at = stored(judged.filter("2 * held < n").select("key", F.lit(True).alias("apart")), "apart")
+    pairs = texts.select("component", "key", "places", "text").mapInArrow(_pairs_of, "component long, key long, pairs binary")
+    pairs, pairs_at = stored(pairs.dropDuplicates(["key"]), "pairs")
+    first, first_at = stored(pairs.filter("key = component").select("component", F.col("pairs").alias("first")), "first-pairs")
+    rest = joined(pairs.filter("key <> component"), first, "component", "key", "inner", rows=0)
+    apart = rest.select("key", F.arrow_udf(_apart, "boolean")("pairs", "first").alias("apart")).filter("apart")
+    apart, apart_at = stored(apart, "apart")
     found = joined(copies, apart, "key", "component_id", "left", BROADCAST_ROWS)
     found, _ = stored(found.select("key", F.when(F.col("apart"), F.col("key")).otherwise(F.col("component_id")).alias("host")), "hosts")
-    discard(spark, members_at, pairs_at, first_at, apart_at)
+    discard(spark, alike_at, members_at, pairs_at, first_at, apart_at)
     return found
 
 
