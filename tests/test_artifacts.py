@@ -1,14 +1,16 @@
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 import pytest
 
 from webquarry import config
 from webquarry.operators import html
-from webquarry.plans import artifacts
+from webquarry.plans import artifacts, documents
 from webquarry.sources import corpus
 from webquarry.operators.incremental import Checkpoint
 from webquarry.streaming import ingest
+from webquarry.streaming.state_log import Gap, StateLog
 
 PAGE = """<title>Users</title><h1>All</h1><h2>Active</h2><button>Add</button><button>Add</button><div role=tab>Tab</div>
 <form><label for=n>Name|x</label><input id=n name=n placeholder=p></form><table><thead><tr><th>A<th>B</thead><tbody><tr><td>1|2<td>3</tbody></table><a href=/x>X</a>"""
@@ -51,7 +53,7 @@ def test_manifest_modal_and_state(spark):
     assert whole["config"] == {"max_pages": 50, "max_depth": None} and whole["counts"]["modals"] == 1
 
 
-def test_views_index_knowledge_base_and_chart(spark):
+def test_views_and_chart(spark):
     nodes = spark.createDataFrame([("a", "http://a.test/", "Home", 0, 0), ("b", "http://a.test/#modal:x", None, 1, 1)], "id string, url string, title string, depth int, seq long")
     edges = spark.createDataFrame([("a", "b", 'modal: "x"'), ("a", "gone", "link")], "from string, to string, label string")
     meta = spark.createDataFrame([("a", 200)], "screen_id string, http_status int")
@@ -60,12 +62,36 @@ def test_views_index_knowledge_base_and_chart(spark):
     assert views["b"]["is_modal"] and views["b"]["sections"]["headings"] == [] and views["a"]["http_status"] == 200
     result = artifacts.job_result(content, edges.withColumn("to", F.lit("a"))).first()
     assert (result["modal_count"], result["action_count"], result["form_count"]) == (1, 1, 1)
-    index = artifacts.index_markdown(nodes, edges, "http://a.test/", "-").first()["markdown"]
-    assert index.index("**Home**") < index.index("**(untitled)**") and "- `a` --(link)--> `gone`" in index
     lines = [r["line"] for r in artifacts.mermaid(nodes.withColumn("is_modal", F.col("id") == "b"), edges).orderBy("section", "key").collect()]
     assert lines == ["flowchart LR", '  n_a["Home d0"]', '  n_b("untitled d1")', "  n_a -->|modal: x| n_b"]
-    kb = artifacts.knowledge_base(spark.createDataFrame([("Home", "# Home\n", 0), ("Home", "# Two", 1)], "title string, markdown string, seq long"), "u", "-").first()["markdown"]
-    assert kb.count("- [Home](#home)") == 2 and "## Two" in kb
+
+
+def whole(folder):
+    """A document from its part files, in the order of their names."""
+    return "".join(p.read_text() for p in sorted(folder.glob("part-*")))
+
+
+def test_documents_in_parts(spark, tmp_path):
+    rows = [(f"id{i:03d}", f"http://a.test/{i}", f"Title {i}" if i % 7 else None, i % 3, i) for i in range(200)]
+    nodes = spark.createDataFrame(rows, "id string, url string, title string, depth int, seq long").repartition(5)
+    edges = spark.createDataFrame([(f"id{i:03d}", f"id{i * 3 % 200:03d}", "link") for i in range(100)], "from string, to string, label string")
+    lines = documents.index_lines(nodes, edges, "http://a.test/", "now")
+    pieces = documents.placed(lines).orderBy("offset").collect()
+    document = "".join(p["text"] + "\n" for p in pieces)
+    assert all(document[p["offset"] : p["offset"] + p["size"]] == p["text"] + "\n" for p in pieces)
+    documents.write_parts(lines, str(tmp_path / "index"))
+    assert whole(tmp_path / "index") == document and len(list((tmp_path / "index").glob("part-*"))) > 1
+    entries = [line for line in document.split("\n") if line.startswith("- **")]
+    assert entries == [f"- **{t or '(untitled)'}**, depth {d}: `{u}`, document `{n}`" for n, u, t, d, i in sorted(rows, key=lambda r: (r[3], r[4]))]
+    assert document.count("--(link)-->") == 100 and "screens: 200." in document
+    parts = {r["section"]: (r["pieces"], r["offset"], r["size"]) for r in documents.contents(documents.placed(lines)).collect()}
+    assert parts[documents.ENTRIES][0] == 200 and sum(x[2] for x in parts.values()) == len(document)
+    modules = spark.createDataFrame([("Home", "# Home\n", 0), ("Home", "# Two", 1)], "title string, markdown string, seq long")
+    documents.write_parts(documents.knowledge_base_lines(modules, "u", "-"), str(tmp_path / "base"))
+    base = whole(tmp_path / "base")
+    assert base.count("- [Home](#home)") == 2 and base.index("## Home") < base.index("## Two") and "screens: 2." in base
+    documents.write_parts(documents.index_lines(nodes.limit(0), edges.limit(0), "u", "-"), str(tmp_path / "none"))
+    assert "screens: 0." in whole(tmp_path / "none")
 
 
 def test_config_precedence(tmp_path):
@@ -99,13 +125,51 @@ def test_stream_equals_batches(spark, tmp_path):
     for name, rows in (("1", first), ("2", second)):
         spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     query = ingest.start(spark, str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "check"))
-    query.awaitTermination(120)
-    got = {(r["norm_url"], r["signature"]) for r in spark.read.schema(ingest.STATE).parquet(str(tmp_path / "state" / "version=1")).collect()}
+    query.awaitTermination(180)
+    state = lambda name: {(r["norm_url"], r["signature"]) for r in ingest.state_log(spark, str(tmp_path / name)).read().collect()}
     frame = lambda rows: spark.createDataFrame(rows, "page_id long, url string, html string")
     ingest.refresh(spark, str(tmp_path / "batch"), frame(first), 0)
     changed = ingest.refresh(spark, str(tmp_path / "batch"), frame(second), 1)
     assert {r["norm_url"] for r in changed.collect()} == {"http://a.test/1", "http://a.test/2"}
-    assert got == {(r["norm_url"], r["signature"]) for r in spark.read.schema(ingest.STATE).parquet(str(tmp_path / "batch" / "version=1")).collect()}
+    assert state("state") == state("batch") and len(state("batch")) == 3
+    assert ingest.state_log(spark, str(tmp_path / "state")).delta(1).count() == 2  # only what the batch changed
+    with pytest.raises(Gap):
+        ingest.refresh(spark, str(tmp_path / "batch"), frame(second), 5)
+
+
+def test_state_log_folds_and_finds_holes(spark, tmp_path, monkeypatch):
+    log = StateLog(spark, str(tmp_path), T._parse_datatype_string("k string, v int"), "k")
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v int")
+    now = lambda: sorted(map(tuple, log.read().collect()))
+    assert now() == [] and log.versions() == (-1, [])
+    for n in range(5):
+        monkeypatch.setattr(StateLog, "read", None)  # appending reads no state
+        log.append(rows(("a", n), (f"b{n}", n)), n)
+        monkeypatch.undo()
+    want = sorted([("a", 4)] + [(f"b{n}", n) for n in range(5)])
+    assert now() == want and not log.fold(every=6) and log.fold(every=5)
+    assert log.versions() == (4, []) and now() == want
+    log.append(rows(("a", 50)), 5)
+    log.append(rows(("a", 6)), 6)
+    log.append(rows(("a", 5)), 5)  # a batch that runs again
+    assert dict(now())["a"] == 6
+    log.append(rows(("a", 8)), 8)
+    for ask in (log.read, log.versions, log.fold, lambda: log.delta(7)):
+        with pytest.raises(Gap):
+            ask()
+
+
+def test_a_fold_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    log = StateLog(spark, str(tmp_path), T._parse_datatype_string("k string, v int"), "k")
+    for n in range(3):
+        log.append(spark.createDataFrame([(f"k{n}", n)], "k string, v int"), n)
+    monkeypatch.setattr(StateLog, "sweep", lambda self: (_ for _ in ()).throw(RuntimeError("killed")))
+    with pytest.raises(RuntimeError):
+        log.fold(every=1)
+    monkeypatch.undo()
+    assert log.read().count() == 3 and log.versions() == (2, [])  # the base is whole, the deltas only take room
+    log.sweep()
+    assert log.read().count() == 3 and log._whole("delta") == []
 
 
 def test_log_rows(spark):

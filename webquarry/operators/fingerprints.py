@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from webquarry.functions.text import collapsed
 from webquarry.operators.html import SIGNATURE_CAP
-from webquarry.operators.html import SIGNATURE_CAP
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 

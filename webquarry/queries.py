@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from webquarry import crawl_queries
 from webquarry.functions import markup, text, urls
 from webquarry.operators import dedup, fingerprints, graph, grid, html, incremental
-from webquarry.plans import artifacts
+from webquarry.plans import artifacts, documents
+from webquarry.store import stored_at
 
 #: Start URL that pages are compared with.
 SEED = "https://www.ththre.example.com/"
 CAP = 3
+#: Facets that an app-map entry has.
+ENTRY_FACETS = ("title", "headings", "forms", "buttons")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,7 +80,7 @@ def navigable_links(spark, d):
 def target_guard(spark, d):
     scheme = F.element_at(F.array(F.lit("https://"), F.lit("ftp://"), F.lit("http://10.0.0."), F.lit("")), (F.col("page_id") % 4 + 1).cast("int"))
     target = F.concat(scheme, F.when(F.col("page_id") % 4 == 2, (F.col("page_id") % 200).cast("string")).otherwise(F.regexp_replace("url", "^https?://", "")))
-    return _pages(spark, d).select("page_id", (urls.target_problem(target).isNotNull()).alias("refused"))
+    return _pages(spark, d).select("page_id", F.coalesce(urls.target_problem(target), F.lit("none")).alias("problem"))
 
 
 def slug_and_id(spark, d):
@@ -164,7 +167,10 @@ def graph_degree(spark, d):
 
 
 def _derived(spark, d) -> DataFrame:
-    """A graph of our own over the corpus, with cycles: site -> host -> page -> target and back to the site."""
+    """A graph of our own over the corpus, with cycles: site -> host -> page -> target and back to the site.
+
+    Stored, as what is built on it reads it several times: the HTML is read once.
+    """
     p = _pages(spark, d).select("page_id", urls.registrable_domain(urls.host(F.col("url"))).alias("site"), urls.host(F.col("url")).alias("host"))
     node = lambda kind, c: F.concat(F.lit(kind + ":"), c.cast("string"))
     page = node("page", F.col("page_id"))
@@ -173,7 +179,7 @@ def _derived(spark, d) -> DataFrame:
     out = to_target
     for part in parts:
         out = out.unionByName(part)
-    return out.withColumn("label", F.lit("link")).distinct()
+    return stored_at(out.withColumn("label", F.lit("link")).distinct(), "derived-graph")[0]
 
 
 def _root(spark) -> DataFrame:
@@ -278,25 +284,26 @@ def upsert_nodes(spark, d):
     return dedup.upserted(base, delta, ["id"])
 
 
-def _with_ids(spark, d) -> DataFrame:
-    read = _normal(html.screens(_pages(spark, d)))
+def _with_ids(spark, d, **options) -> DataFrame:
+    read = _normal(html.screens(_pages(spark, d), **options))
     return read.withColumn("screen_id", text.screen_id(F.col("url"), F.col("norm_url"))).withColumn("discovered_via", F.lit("seed"))
 
 
 def app_map(spark, d):
-    entries = artifacts.app_map(_with_ids(spark, d))
+    entries = artifacts.app_map(_with_ids(spark, d, facets=ENTRY_FACETS))
     return entries.select("slug", "url", "name", F.array_join("headings", " | ").alias("headings"), F.size("fields").cast("long").alias("n_fields"), F.size("buttons").cast("long").alias("n_buttons"))
 
 
 def manifest_counts(spark, d):
-    return artifacts.manifest_counts(artifacts.app_map(_with_ids(spark, d)), 0)
+    return artifacts.manifest_counts(artifacts.app_map(_with_ids(spark, d, facets=ENTRY_FACETS)), 0)
 
 
 def index_md(spark, d):
-    p = _titled(spark, d)
+    """The index of all pages, by piece, with the characters before each."""
+    p = stored_at(_titled(spark, d).select("page_id", "url", "title"), "titles")[0]
     nodes = p.select(F.col("page_id").cast("string").alias("id"), "url", "title", (F.col("page_id") % 3).cast("int").alias("depth"), F.col("page_id").alias("seq"))
     edges = p.select(F.lit("0").alias("from"), F.col("page_id").cast("string").alias("to"), F.lit("link").alias("label")).filter("to <> '0'")
-    return artifacts.index_markdown(nodes, edges, SEED, "-").select(F.sha1("markdown").alias("index_sha1"), F.length("markdown").cast("long").alias("index_length"))
+    return documents.placed(documents.index_lines(nodes, edges, SEED, "-")).select("section", "offset", "text")
 
 
 def screen_markdown(spark, d):
@@ -310,8 +317,10 @@ def markdown_parse_back(spark, d):
 
 
 def knowledge_base(spark, d):
-    rows = _titled(spark, d).select("title", F.concat(F.lit("# "), F.col("title"), F.lit("\ntext\n```\n# code\n```\n## part")).alias("markdown"), F.col("page_id").alias("seq"))
-    return artifacts.knowledge_base(rows, SEED, "-").select(F.sha1("markdown").alias("document_sha1"), F.length("markdown").cast("long").alias("document_length"))
+    """The knowledge base of all pages (title and text), by piece, with the characters before each."""
+    read = html.screens(_pages(spark, d), facets=("title", "body_text"))
+    rows = stored_at(read.select("title", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("body_text")).alias("markdown"), F.col("page_id").alias("seq")), "texts")[0]
+    return documents.placed(documents.knowledge_base_lines(rows, SEED, "-")).select("section", "offset", "text")
 
 
 def mermaid_graph(spark, d):
