@@ -402,7 +402,9 @@ ORACLES = {
     "site_rollup": f"SELECT {_SITE} AS site, count(*) AS pages, count(DISTINCT {_HOST}) AS hosts FROM pages GROUP BY 1",
     "same_site_seed": f"SELECT page_id, (url LIKE 'https:%' AND {_SITE} = 'example.com') AS same_site, (url LIKE 'https:%' AND {_HOST} = 'www.ththre.example.com') AS same_origin FROM pages",
     "navigable_links": rf"SELECT page_id, pos, NOT regexp_matches(target, '{urls.FILE_ENDINGS}', 'i') AS navigable, regexp_matches(target, '{urls.LOGIN_PATH}', 'i') AS login FROM {_LINKS}",
-    "target_guard": "SELECT page_id, page_id % 4 <> 0 AS refused FROM pages",
+    "target_guard": r"""SELECT page_id, CASE WHEN NOT regexp_matches(t, '^[a-z]+:') THEN 'malformed' WHEN NOT regexp_matches(t, '^https?:') THEN 'scheme'
+      WHEN regexp_matches(t, '^https?://(10|127|0)[.]') THEN 'private_address' ELSE 'none' END AS problem
+      FROM (SELECT page_id, ['https://', 'ftp://', 'http://10.0.0.', ''][page_id % 4 + 1] || CASE WHEN page_id % 4 = 2 THEN (page_id % 200)::VARCHAR ELSE regexp_replace(url, '^https?://', '') END AS t FROM pages)""",
     "slug_and_id": f"SELECT page_id, {_slug('url')} AS slug, ({_slug('url')}) || '-' || substr(sha1({_norm('url')}), 1, 10) AS screen_id FROM pages",
     "synthetic_urls": f"SELECT page_id, url || '#state:' || substr(sha1(html), 1, 10) AS state_url, url || '#modal:' || ({_slug(_NAME)}) || '-' || substr(sha1(url), 1, 10) AS modal_url FROM pages",
     "slug_titles": f"SELECT page_id, {_DASH.format(_NAME)} AS anchor FROM pages",
@@ -442,7 +444,6 @@ ORACLES = {
     "app_map": f"SELECT ({_slug('url')}) || '-' || substr(sha1({_norm('url')}), 1, 10) AS slug, url, {_NAME} AS name, array_to_string(list_transform({_H1}, lambda x: 'H1: ' || x), ' | ') AS headings, 0::BIGINT AS n_fields, 0::BIGINT AS n_buttons FROM pages",
     "manifest_counts": "SELECT count(*) AS screens, 0::BIGINT AS modals, count(*) AS total_screens, 0::BIGINT AS pages_visited, 0::BIGINT AS forms_captured_on, 0::BIGINT AS fields, 0::BIGINT AS buttons FROM pages",
     "markdown_parse_back": f"SELECT page_id, array_to_string(list_transform({_H1}, lambda x: 'H1: ' || x), ' | ') AS headings, len(regexp_extract_all(html, '<a href='))::BIGINT AS n_links FROM pages",
-    "knowledge_base": f"SELECT sha1(m) AS document_sha1, length(m)::BIGINT AS document_length FROM (SELECT '# Knowledge base: {SEED}' || chr(10) || chr(10) || 'Crawled ' || count(*) || ' screen(s) starting from {SEED}.' || chr(10) || 'Generated: -' || chr(10) || chr(10) || '## Contents' || chr(10) || chr(10) || string_agg('- [' || t || '](#' || a || ')', chr(10) ORDER BY page_id) || chr(10) || chr(10) || string_agg('<a id=\"' || a || '\"></a>' || chr(10) || chr(10) || '## ' || t || chr(10) || 'text' || chr(10) || '```' || chr(10) || '# code' || chr(10) || '```' || chr(10) || '### part' || chr(10) || '---' || chr(10), chr(10) ORDER BY page_id) AS m FROM (SELECT page_id, {_NAME} AS t, {_DASH.format(_NAME)} AS a FROM pages))",
     "mermaid_graph": f"""WITH e AS (SELECT DISTINCT * FROM {_GRAPH}), n AS (SELECT DISTINCT id FROM (SELECT a AS id FROM e UNION SELECT b FROM e))
       SELECT 0 AS section, 'flowchart LR' AS line UNION ALL SELECT 1, '  n_' || regexp_replace(id, '[^a-zA-Z0-9]', '_', 'g') || '["' || substr({_LABEL.format("id || ' (d1)'")}, 1, 60) || '"]' FROM n
       UNION ALL SELECT 2, '  n_' || regexp_replace(a, '[^a-zA-Z0-9]', '_', 'g') || ' -->|link| n_' || regexp_replace(b, '[^a-zA-Z0-9]', '_', 'g') FROM e WHERE a IN (SELECT id FROM n) AND b IN (SELECT id FROM n)""",
@@ -452,3 +453,16 @@ ORACLES = {
 }
 _TEXTS = f"(SELECT l.page_id, l.pos, {_DECODED.format('t.ts[l.pos + 1]')} AS text, target FROM {_LINKS} l JOIN (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">(.*?)</a>', 1) AS ts FROM pages) t ON l.page_id = t.page_id)"
 ORACLES |= crawl_queries.oracles(_TEXTS, _NAME, _H1, _slug)
+_PLACED = "SELECT section, (sum(length(text) + 1) OVER (ORDER BY section, major, minor, name) - length(text) - 1)::BIGINT AS \"offset\", text FROM pieces"
+_N = "chr(10)"
+ORACLES |= {
+    "index_md": f"""WITH p AS (SELECT page_id, url, {_NAME} AS t FROM pages), pieces AS (
+      SELECT 0 AS section, 0 AS major, 0 AS minor, '' AS name, '# Screens of {SEED}' || {_N} || {_N} || 'Made -; screens: ' || count(*) || '.' || {_N} AS text FROM p
+      UNION ALL SELECT 1, page_id % 3, page_id, page_id::VARCHAR, '- **' || CASE WHEN t = '' THEN '(untitled)' ELSE t END || '**, depth ' || page_id % 3 || ': `' || url || '`, document `' || page_id || '`' FROM p
+      UNION ALL SELECT 2, 0, 0, '', {_N} || '## Ways between screens' || {_N} || {_N} || 'Edges: ' || count(*) || '.' || {_N} FROM p WHERE page_id <> 0
+      UNION ALL SELECT 3, 0, 0, '0' || chr(1) || page_id || chr(1) || 'link', '- `0` --(link)--> `' || page_id || '`' FROM p WHERE page_id <> 0) {_PLACED}""",
+    "knowledge_base": f"""WITH p AS (SELECT page_id, {_NAME} AS t, {_DASH.format(_NAME)} AS a, substr({_BODY}, 1, {html.BODY_CAP}) AS b FROM pages), pieces AS (
+      SELECT 0 AS section, 0 AS major, 0 AS minor, '' AS name, '# All screens of {SEED}' || {_N} || {_N} || 'Made -; screens: ' || count(*) || '.' || {_N} || {_N} || '## Contents' || {_N} AS text FROM p
+      UNION ALL SELECT 1, page_id, 0, '', '- [' || t || '](#' || a || ')' FROM p UNION ALL SELECT 2, 0, 0, '', ''
+      UNION ALL SELECT 3, page_id, 0, '', '<a id="' || a || '"></a>' || {_N} || {_N} || '## ' || t || {_N} || {_N} || regexp_replace(b, '(^|\n)(#{{1,5}}) ', '\\1#\\2 ', 'g') || {_N} || '---' || {_N} FROM p) {_PLACED}""",
+}
