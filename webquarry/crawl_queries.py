@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webquarry.operators import fingerprints, html, traversal
+from webquarry.operators import actions, fingerprints, html, traversal
 from webquarry.store import stored_at
 
 PREFIX = "https://corpus.test/page/"
@@ -20,6 +20,8 @@ START = PREFIX + "0"
 DEPTH = 4
 #: Captures that ``crawl_within_budget`` may take.
 BUDGET = 60
+#: Words of a turn that can be clicked, and clicks that may precede one.
+CANDIDATES, NESTED = 4, 3
 
 
 def _screen(number: Column) -> Column:
@@ -73,7 +75,32 @@ def crawl_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _crawl(spark, sf_dir, BUDGET).nodes.select("place", "kind", "id", "depth")
 
 
-QUERIES = {f.__name__: f for f in (typed_crawl_nodes, typed_crawl_edges, crawl_within_budget)}
+def _app(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Conversations as pages whose states are their turns: a turn's first words are its candidates, and the hash of a
+    word picks what a click on it does: show a turn, lead to a URL, or open a dialog."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    url = F.concat(F.lit("https://corpus.test/talk/"), F.col("conv_id").cast("string"))
+    state = F.concat(F.lit("t"), F.col("turn").cast("string"))
+    words = turns.select(url.alias("norm_url"), state.alias("state"), "conv_id", F.posexplode(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, CANDIDATES)).alias("pos", "key"))
+    views = words.select("norm_url", "state", "pos", "key", F.col("key").alias("label"), F.lit(False).alias("is_link"))
+    size = turns.groupBy("conv_id").agg(F.count("*").alias("n"))
+    digest = F.md5(F.concat_ws(":", "conv_id", "key"))
+    number = lambda at, length: F.conv(F.substring(digest, at, length), 16, 10).cast("long")
+    picked = words.select("norm_url", "state", "conv_id", "key").distinct().join(size, "conv_id").withColumn("to", F.pmod(number(1, 7), F.col("n") + 2))
+    clicks = picked.select(
+        "norm_url", "state", "key", F.col("key").alias("label"), (number(8, 1) % 3 == 0).alias("disclosure"), F.when(F.col("to") == F.col("n"), F.concat("norm_url", F.lit("/more"))).alias("to_url"),
+        F.when(F.col("to") == F.col("n") + 1, F.col("key")).alias("modal_title"), F.when(F.col("to") < F.col("n"), F.concat(F.lit("t"), F.col("to").cast("string"))).alias("to_state"),
+    )
+    return views, clicks, turns.filter("turn = 0").select(url.alias("norm_url"), state.alias("state"))
+
+
+def click_discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What clicks along paths of up to four actions reveal on every page of that kind, in order."""
+    found = actions.discoveries(*_app(spark, sf_dir), max_nested=NESTED)
+    return found.select("norm_url", "seq", "type", "key", F.array_join(F.transform("path", lambda p: p["key"]), " > ").alias("path"), "depth", "signature", "title", "url")
+
+
+QUERIES = {f.__name__: f for f in (typed_crawl_nodes, typed_crawl_edges, crawl_within_budget, click_discoveries)}
 
 
 def oracles(links: str, name: str, headings: str, slug) -> dict[str, str]:
@@ -158,7 +185,39 @@ prints AS MATERIALIZED (
 )"""
     reached = lambda source: f"JOIN pages_taken v ON v.page_id = {source}.target AND v.i <= {source}.i"
     to = ident(url("v.page_id"))
+    clicks = f"""
+WITH RECURSIVE turns AS (SELECT conv_id, turn, string_split(coalesce(text, ''), ' ')[1:{CANDIDATES}] AS words, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+views AS (SELECT conv_id, turn, n, unnest(words) AS key, unnest(range(len(words))) AS pos FROM turns),
+done AS (
+  SELECT *, CASE WHEN h < n THEN h END AS after, ('0x' || substr(d, 8, 1))::BIGINT % 3 = 0 AS disclosure FROM (
+    SELECT DISTINCT conv_id, turn, n, key, md5(conv_id || ':' || key) AS d, ('0x' || substr(md5(conv_id || ':' || key), 1, 7))::BIGINT % (n + 2) AS h FROM views)
+), ahead AS MATERIALIZED (
+  SELECT c.conv_id, c.turn, c.key, list({{'turn': v.turn, 'key': v.key, 'pos': v.pos}} ORDER BY v.pos DESC) AS ways
+  FROM done c JOIN views v ON v.conv_id = c.conv_id AND v.turn = c.after
+  LEFT JOIN (SELECT DISTINCT conv_id, turn, key FROM views) b ON b.conv_id = c.conv_id AND b.turn = c.turn AND b.key = v.key
+  WHERE b.key IS NULL OR (NOT c.disclosure AND c.after <> c.turn)
+  GROUP BY ALL
+), walk AS (
+  SELECT conv_id, 0 AS i, NULL::BIGINT AS turn, NULL::VARCHAR AS key, NULL::VARCHAR[] AS path, []::VARCHAR[] AS seen,
+         list({{'turn': turn, 'key': key, 'path': [key]}} ORDER BY pos DESC) AS stack
+  FROM views WHERE turn = 0 GROUP BY conv_id
+  UNION ALL
+  SELECT t.conv_id, t.i + 1, CASE WHEN fresh THEN top.turn END, CASE WHEN fresh THEN top.key END, CASE WHEN fresh THEN top.path END,
+         CASE WHEN fresh THEN list_append(seen, top.turn || '|' || top.key) ELSE seen END,
+         list_concat(stack[:-2], CASE WHEN fresh AND len(top.path) <= {NESTED}
+           THEN list_transform(coalesce(a.ways, []), lambda w: {{'turn': w.turn, 'key': w.key, 'path': list_append(top.path, w.key)}}) ELSE [] END)
+  FROM (SELECT *, stack[-1] AS top, NOT list_contains(seen, stack[-1].turn || '|' || stack[-1].key) AS fresh FROM walk WHERE len(stack) > 0) t
+  LEFT JOIN ahead a ON a.conv_id = t.conv_id AND a.turn = t.top.turn AND a.key = t.top.key
+), results AS (
+  SELECT w.conv_id, w.i, w.key, w.path, d.h, d.n, d.after, CASE WHEN h = n THEN 'url' WHEN h = n + 1 THEN 'modal' WHEN NOT disclosure AND after <> w.turn THEN 'state' END AS type
+  FROM walk w JOIN done d USING (conv_id, turn, key)
+)
+SELECT 'https://corpus.test/talk/' || conv_id AS norm_url, (row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1)::INT AS seq, type, key,
+       array_to_string(path, ' > ') AS path, len(path)::INT AS depth, CASE WHEN type = 'state' THEN 't' || after END AS signature,
+       CASE WHEN type = 'modal' THEN key END AS title, CASE WHEN type = 'url' THEN 'https://corpus.test/talk/' || conv_id || '/more' END AS url
+FROM results WHERE type IS NOT NULL"""
     return {
+        "click_discoveries": clicks,
         "typed_crawl_nodes": walk + " SELECT * FROM nodes",
         "crawl_within_budget": walk + f" SELECT place, kind, id, depth FROM nodes WHERE place < {BUDGET}",
         "typed_crawl_edges": walk + f"""
