@@ -86,10 +86,18 @@ def mermaid_id(ident: Column) -> Column:
 
 
 def demoted(markdown: Column, levels: int) -> Column:
-    """Headings of a markdown text lowered by ``levels`` (six at most), code fences untouched."""
-    fence = lambda line: line.rlike(rf"^[{SPACE}]*```")
-    hashes = lambda line: F.regexp_extract(line, rf"^(#{{1,6}})[{SPACE}]", 1)
-    lower = lambda line: F.when(hashes(line) != "", F.concat(F.repeat(F.lit("#"), F.least(F.lit(6), F.length(hashes(line)) + levels)), F.regexp_replace(line, "^#{1,6}", ""))).otherwise(line)
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("lines"))
-    step = lambda a, line: F.struct((a["inside"] != fence(line)).alias("inside"), F.concat(a["lines"], F.array(F.when(fence(line) | a["inside"], line).otherwise(lower(line)))).alias("lines"))
-    return F.aggregate(F.split(markdown, "\n"), start, step, lambda a: F.array_join(a["lines"], "\n"))
+    """Headings of a markdown text lowered by ``levels`` (six at most), code fences untouched.
+
+    The text is cut at fence lines; every second piece is inside a fence.
+    """
+    blank = SPACE.replace(r"\n", "")
+    fence = rf"(?<![^\n])[{blank}]*```[^\n]*"
+
+    def lowered(piece: Column) -> Column:
+        for n in range(6, 0, -1):  # from the lowest level on, so that none is lowered twice
+            piece = F.regexp_replace(piece, rf"(?<![^\n])#{{{n}}}(?=[{blank}])", "#" * min(6, n + levels))
+        return piece
+
+    lines = F.regexp_extract_all(markdown, F.lit(fence), F.lit(0))
+    pieces = F.transform(F.split(markdown, fence), lambda p, i: F.concat(F.when(i % 2 == 0, lowered(p)).otherwise(p), F.coalesce(F.get(lines, i), F.lit(""))))
+    return F.array_join(pieces, "")

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webquarry.functions.text import collapsed
+from webquarry.functions.urls import looks_like_login
 from webquarry.operators.html import SIGNATURE_CAP
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
@@ -56,3 +57,8 @@ def page_signature() -> Column:
 
 def has_password(forms: str = "forms") -> Column:
     return F.coalesce(F.exists(forms, lambda f: F.exists(f["fields"], lambda x: x["type"] == "password")), F.lit(False))
+
+
+def is_login_wall(url: Column, forms: str = "forms") -> Column:
+    """Whether a screen looks like a login: by a password field, or by the path of its URL; null URLs have no path."""
+    return has_password(forms) | F.coalesce(looks_like_login(url), F.lit(False))

@@ -13,6 +13,7 @@ from webquarry import crawl_queries
 from webquarry.functions import markup, text, urls
 from webquarry.operators import dedup, fingerprints, graph, grid, html, incremental
 from webquarry.plans import artifacts, documents
+from webquarry.streaming import ingest
 from webquarry.store import stored_at
 
 #: Start URL that pages are compared with.
@@ -252,12 +253,13 @@ def budget_limit(spark, d):
 
 
 def _versions(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Two versions of the corpus: the old lacks every fifth page and has other text on every third; the new lacks every seventh."""
+    """Two versions of the corpus: the old lacks every fifth page and has other text on every third; the new lacks every
+    seventh of those that the old has. Every page is in one of them."""
     p = _normal(_pages(spark, d))
     sign = F.sha1(markup.plain_text(F.col("html")))
     one = dedup.first_seen(p.select("norm_url", "page_id", sign.alias("signature")), ["norm_url"], ["page_id"])
     old = one.filter("page_id % 5 <> 0").withColumn("signature", F.when(F.col("page_id") % 3 == 0, F.sha1("signature")).otherwise(F.col("signature")))
-    return old, one.filter("page_id % 7 <> 0")
+    return old, one.filter("page_id % 7 <> 0 OR page_id % 5 = 0")
 
 
 def incremental_diff(spark, d):
@@ -330,8 +332,16 @@ def mermaid_graph(spark, d):
 
 
 def log_levels(spark, d):
-    """Events by type, as log rows by level: an analogue, as the tables have no log."""
-    return _table(spark, d, "events").groupBy(F.col("event_type").alias("level")).agg(F.count("*").alias("lines"), F.min("ts").alias("first_at"))
+    """Events as log rows of four levels: those of a warning or above, by level."""
+    level = F.element_at(F.array(*[F.lit(x) for x in ("debug", "info", "warn", "error")]), (F.col("event_id") % 4 + 1).cast("int"))
+    logs = _table(spark, d, "events").select(level.alias("level"), F.col("event_type").alias("line"), F.col("ts").alias("at"))
+    return ingest.by_level(logs, "warn").groupBy("level").agg(F.count("*").alias("lines"), F.min("at").alias("first_at"))
+
+
+def login_wall(spark, d):
+    """Pages that look like a login: by their URL, or by a password field in a form."""
+    read = html.screens(_pages(spark, d), facets=("forms",))
+    return read.select("page_id", fingerprints.is_login_wall(F.col("url")).alias("login_wall"))
 
 
 def destructive_text(spark, d):
@@ -347,7 +357,7 @@ def grid_accumulate(spark, d):
 QUERIES = {f.__name__: f for f in (
     url_normalize, url_normalize_strip_query, url_parts, site_rollup, same_site_seed, navigable_links, target_guard, slug_and_id, synthetic_urls, slug_titles, part_slug, clamp_ints, page_title, page_headings, page_links, link_distinct, link_cap, body_text, doc_text_dedup,
     state_fingerprint, page_signature, probe_fingerprint, probe_representative, edges_page_target, graph_degree, frontier_bfs, reachable_derived, graph_gc, crawl_nodes, crawl_edges, crawl_budget, known_node_lookup, visited_anti, budget_limit, incremental_diff, page_state_merge, clear_outgoing, upsert_nodes,
-    app_map, manifest_counts, index_md, screen_markdown, markdown_parse_back, knowledge_base, mermaid_graph, log_levels, destructive_text, grid_accumulate,
+    app_map, manifest_counts, index_md, screen_markdown, markdown_parse_back, knowledge_base, mermaid_graph, log_levels, login_wall, destructive_text, grid_accumulate,
 )} | {"site_links": entry_query} | crawl_queries.QUERIES
 
 # --- DuckDB statements -----------------------------------------------------------

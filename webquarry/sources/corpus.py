@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import asdict
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from webquarry.functions import urls
 from webquarry.operators.incremental import Checkpoint
-from webquarry.schema import EDGE, PAGE_STATE
+from webquarry.sources.snapshots import Snapshots, Version
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -41,30 +42,23 @@ def read_if_present(spark: SparkSession, path: str, schema: T.StructType | None
         raise
 
 
-def write_snapshot(folder: str, checkpoint: Checkpoint, tables: dict[str, DataFrame]) -> None:
-    """Write a run: one Parquet table for each name, and its settings as one JSON row."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(checkpoint.version, checkpoint.start_url, checkpoint.max_depth, checkpoint.same_site)], "version int, start_url string, max_depth int, same_site boolean").coalesce(1).write.mode("overwrite").json(f"{folder}/run")
+def write_snapshot(folder: str, checkpoint: Checkpoint, tables: dict[str, DataFrame]) -> Version:
+    """Commit a run as the folder's next version: its tables and its settings, all or nothing."""
+    store = Snapshots(next(iter(tables.values())).sparkSession, folder)
+    return store.commit(tables, asdict(checkpoint), store.version())
 
 
 def read_checkpoint(spark: SparkSession, folder: str) -> Checkpoint | None:
-    """Settings of a saved run, or None where there is none."""
-    try:
-        row = spark.read.schema("version int, start_url string, max_depth int, same_site boolean").json(f"{folder}/run").first()
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e.getCondition() or e):
-            return None
-        raise
-    return Checkpoint(*row) if row else None
+    """Settings of the run saved last, or None where there is none."""
+    version = Snapshots(spark, folder).version()
+    return Checkpoint(**version.settings) if version else None
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Tables of a saved run that are there: state, nodes, edges, app_map, modules."""
-    known = {"state": PAGE_STATE, "nodes": None, "edges": EDGE, "app_map": None, "modules": None}
-    found = {n: read_if_present(spark, f"{folder}/{n}", s) for n, s in known.items()}
-    return {n: df for n, df in found.items() if df is not None}
+    """Tables of the run saved last."""
+    store = Snapshots(spark, folder)
+    version = store.version()
+    return {name: store.read(name, version) for name in version.tables} if version else {}
 
 
 def write_documents(entries: DataFrame, folder: str) -> None:
