@@ -399,7 +399,7 @@ _GRAPH = f"""(SELECT 'page:' || "from" AS a, 'url:' || "to" AS b FROM {_EDGES} U
 _REACH = "WITH RECURSIVE g AS MATERIALIZED (SELECT * FROM {g}), r AS (SELECT 'site:example.com' AS id, 0 AS depth UNION SELECT g.b, r.depth + 1 FROM r JOIN g ON g.a = r.id WHERE r.depth < {n})"
 _FIRST = f"(SELECT norm_url, min(page_id) AS page_id, arg_min(signature, page_id) AS signature FROM (SELECT page_id, {_norm('url')} AS norm_url, sha1({_PLAIN}) AS signature FROM pages) GROUP BY norm_url)"
 _OLD = f"(SELECT norm_url, page_id, CASE WHEN page_id % 3 = 0 THEN sha1(signature) ELSE signature END AS signature FROM {_FIRST} WHERE page_id % 5 <> 0)"
-_NEW = f"(SELECT * FROM {_FIRST} WHERE page_id % 7 <> 0)"
+_NEW = f"(SELECT * FROM {_FIRST} WHERE page_id % 7 <> 0 OR page_id % 5 = 0)"
 _STATUS = f"(SELECT coalesce(o.norm_url, n.norm_url) AS norm_url, CASE WHEN n.norm_url IS NULL THEN 'missing' WHEN o.norm_url IS NULL THEN 'added' WHEN o.signature = n.signature THEN 'unchanged' ELSE 'changed' END AS status FROM {_OLD} o FULL JOIN {_NEW} n ON o.norm_url = n.norm_url)"
 _H1 = "list_transform(regexp_extract_all(html, '<h1>(.*?)</h1>', 1, 's'), lambda x: trim(" + _DECODED.format("x") + "))"
 _LABEL = "trim(regexp_replace(regexp_replace({}, '[\"\\[\\]{{}}()\\\\]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))"
@@ -457,7 +457,8 @@ ORACLES = {
     "mermaid_graph": f"""WITH e AS (SELECT DISTINCT * FROM {_GRAPH}), n AS (SELECT DISTINCT id FROM (SELECT a AS id FROM e UNION SELECT b FROM e))
       SELECT 0 AS section, 'flowchart LR' AS line UNION ALL SELECT 1, '  n_' || regexp_replace(id, '[^a-zA-Z0-9]', '_', 'g') || '["' || substr({_LABEL.format("id || ' (d1)'")}, 1, 60) || '"]' FROM n
       UNION ALL SELECT 2, '  n_' || regexp_replace(a, '[^a-zA-Z0-9]', '_', 'g') || ' -->|link| n_' || regexp_replace(b, '[^a-zA-Z0-9]', '_', 'g') FROM e WHERE a IN (SELECT id FROM n) AND b IN (SELECT id FROM n)""",
-    "log_levels": "SELECT event_type AS level, count(*) AS lines, min(ts) AS first_at FROM events GROUP BY 1",
+    "log_levels": "SELECT ['debug', 'info', 'warn', 'error'][event_id % 4 + 1] AS level, count(*) AS lines, min(ts) AS first_at FROM events WHERE event_id % 4 >= 2 GROUP BY 1",
+    "login_wall": rf"SELECT page_id, regexp_matches(url, '{urls.LOGIN_PATH}', 'i') OR regexp_matches(html, '<input[^>]*type=.?password', 'i') AS login_wall FROM pages",
     "destructive_text": f"SELECT doc_id, coalesce(regexp_matches(text, '{text.DESTRUCTIVE}', 'i'), false) AS destructive FROM documents",
     "grid_accumulate": "SELECT l_orderkey AS table_id, l_linenumber AS step, l_partkey AS pos, l_returnflag || '|' || l_linestatus AS cells FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber, l_partkey) = 1",
 }
