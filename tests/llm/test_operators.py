@@ -814,11 +814,30 @@ def test_short_notices_match_word_for_word():
 
 
 def test_every_template_is_found_as_itself():
-    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.COVERAGE, licenses.SHORT)
-    names = list(licenses.TEMPLATES)
-    got = scanner.chunk(pa.array([f"Some words ahead. {licenses.TEMPLATES[n]} And some words after." for n in names]))
-    for name, found in zip(names, got, strict=True):
-        assert max(found, key=lambda m: m.aligned).name == name, name
+    templates = licenses.TEMPLATES | licenses.notices()
+    scanner = licenses.Scanner(templates, licenses.COVERAGE, licenses.SHORT)
+    got = scanner.chunk(pa.array([f"Some words ahead. {t} And some words after." for t in templates.values()]))
+    for name, found in zip(templates, got, strict=True):
+        assert max(found, key=lambda m: m.aligned).name == name.split("~")[0], name
+
+
+def test_usual_notices_and_what_only_looks_like_them(spark):
+    texts = {
+        "Licensed under the Apache License 2.0": "Apache-2.0-notice",
+        "Released under MIT License": "MIT-notice",
+        "// SPDX-License-Identifier: MIT": "MIT-notice",
+        "This project is licensed under the MIT License - see LICENSE for details.": "MIT-notice",
+        "licensed under GPLv3 or later": "GPL-3.0-notice",
+        "Distributed under the terms of the GNU General Public License v2.": "GPL-2.0-notice",
+        "Available under the BSD 3-Clause License; parts are published under the Mozilla Public License, version 2.0.": "BSD-3-Clause-notice,MPL-2.0-notice",
+        "Released under the Apache License.": "",
+        "Licensed under the BSD License": "",
+        "Studied at MIT, which gave a license.": "",
+        "The house mit Garten is available under the bridge": "",
+        "SPDX-License-Identifier: Unknown-1.0": "",
+    }
+    rows = by_id(licenses.license_report(docs(spark, list(texts))))
+    assert [rows[i]["licenses"] for i in range(len(texts))] == list(texts.values())
 
 
 def test_license_windows_match_brute_force():

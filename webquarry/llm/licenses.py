@@ -14,7 +14,8 @@ length.  A stretch that lacks more of a template's telling words (counted at mos
 often as the template has them) than the coverage asked for lets it miss is not
 aligned, as it cannot match.  A template of fewer than ``short`` words matches word
 for word only: in so short a notice the words in which licenses differ are within
-what the coverage would let it miss.
+what the coverage would let it miss.  The usual one-line notices are such templates,
+made by rule from ways to begin and names of licenses, so their words must all be there.
 
 Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters.
 Null and empty texts have no license.  Where several templates overlap, the one
@@ -28,7 +29,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,35 @@ TEMPLATES = {
 }
 
 
+#: Ways to begin a notice, and names that licenses go by in one; fixed texts.
+WAYS = ("licensed under", "released under", "distributed under", "available under", "provided under", "published under", "under the terms of")
+NAMES = {
+    "MIT": ("MIT License", "MIT Licence"),
+    "Apache-2.0": ("Apache License 2.0", "Apache License Version 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache 2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "BSD-2-Clause"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "BSD-3-Clause"),
+    "GPL-2.0": ("GPLv2", "GNU GPLv2", "GPL 2.0", "GPL-2.0", "GNU GPL v2", "GNU General Public License v2", "GNU General Public License version 2"),
+    "GPL-3.0": ("GPLv3", "GNU GPLv3", "GPL 3.0", "GPL-3.0", "GNU GPL v3", "GNU General Public License v3", "GNU General Public License version 3"),
+    "LGPL-3.0": ("LGPLv3", "GNU LGPLv3", "LGPL 3.0", "GNU Lesser General Public License v3", "GNU Lesser General Public License version 3"),
+    "AGPL-3.0": ("AGPLv3", "GNU AGPLv3", "AGPL 3.0", "GNU Affero General Public License v3", "GNU Affero General Public License version 3"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License version 2.0", "MPL 2.0", "MPL-2.0"),
+    "ISC": ("ISC License", "ISC Licence"),
+}
+
+
+def notices() -> dict[str, str]:
+    """One-line notices by rule: every way to begin, with and without "the", before every name, and SPDX identifiers.
+
+    They are named <license>-notice~<number>; matches go by what stands before the "~".
+    """
+    out = {}
+    for license_id, names in NAMES.items():
+        texts = [f"{way}{the} {name}" for way in WAYS for the in (" the", "") for name in names] + [f"SPDX-License-Identifier: {license_id}"]
+        distinct = {" ".join(words_of(t)): t for t in texts}
+        out |= {f"{license_id}-notice~{i}": t for i, t in enumerate(distinct.values())}
+    return out
+
+
 def words_of(text: str) -> list[str]:
     s = scan.Scan(pa.array([text], type=pa.string()), word=scan.ALNUM_LOWER)
     data = s.text.tobytes()
@@ -158,7 +188,9 @@ class Scanner:
         self.number = np.zeros(max(len(vocabulary), 1), dtype=np.int64)
         for w, i in number.items():
             self.number[np.searchsorted(self.lookup.keys, np.uint64(scan.hash_of(w)))] = i
-        self.templates = [Template(n, [number[w] for w in words], Counter(number[w] for w in words if w not in COMMON)) for n, words in texts.items() if words]
+        quiet = COMMON | {w for way in WAYS for w in words_of(way)}
+        told = lambda n, w: w not in COMMON if "~" not in n else w not in quiet and not w.isdigit()
+        self.templates = [Template(n, [number[w] for w in words], Counter(number[w] for w in words if told(n, w))) for n, words in texts.items() if words]
         self.users: dict[int, list[int]] = {}
         for t, template in enumerate(self.templates):
             for w in template.telling:
@@ -195,6 +227,7 @@ class Scanner:
                     continue
                 found += self.stretch(words, template, group)
                 group = [p]
+        found = [replace(m, name=m.name.split("~")[0]) for m in found]
         found.sort(key=lambda m: (-m.aligned, -m.coverage, m.name, m.first))
         chosen: list[Match] = []
         for m in found:
@@ -240,7 +273,7 @@ COVERAGE = 0.8
 
 def scan_licenses(df: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, short: int = SHORT, text_col: str = "text") -> DataFrame:
     """df plus licenses: array of (name, first, last, coverage) in order of place."""
-    scanner = Scanner(TEMPLATES if templates is None else templates, coverage, short)
+    scanner = Scanner(TEMPLATES | notices() if templates is None else templates, coverage, short)
     sent = df.sparkSession.sparkContext.broadcast(scanner)
 
     def start():
