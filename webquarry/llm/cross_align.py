@@ -40,8 +40,8 @@ from webquarry.llm.udf import resident, trim
 #: Bytes and documents of a chunk; postings for one key at least, and contributions that a task gathers.
 CHUNK_BYTES, CHUNK_DOCS, KEY_POSTINGS, GATHER = 1 << 21, 1 << 15, 20_000, 1 << 20
 SPLIT_BITS = 24
-#: Distinct stretches that a worker keeps for each tokenizer (some 50 MB).
-CACHE = 1 << 18
+#: Distinct stretches that a worker keeps for each tokenizer (some 100 MB).
+CACHE = 1 << 19
 
 _STATS = ("n_a", "n_b", "n_groups", "n_links")
 _LINKS = ("links_b", "links_n", "links_a", "links_doc", "links_m")
@@ -99,6 +99,14 @@ class CachedPieces(CachedEncoder):
         return np.fromiter((i for x in got for i in x), dtype=np.uint32, count=int(counts.sum())), counts
 
 
+def _spelled(sizes: np.ndarray, flat: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Bytes of tokens one after another; ``flat`` holds those of all tokens in the order of their ids."""
+    start = np.cumsum(sizes) - sizes
+    n = sizes[ids]
+    before = np.cumsum(n) - n
+    return flat[np.repeat(start[ids] - before, n) + np.arange(int(n.sum()))]
+
+
 class Aligner:
     """Both tokenizers and the bytes of their tokens."""
 
@@ -116,6 +124,7 @@ class Aligner:
         ]
         self.size_a = np.array([len(x) for x in self.bytes_a])
         self.size_b = np.array([len(x) for x in self.bytes_b])
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(x), dtype=np.uint8) for x in (self.bytes_a, self.bytes_b))
         # rows of the second half end the group's side
         self.text_a = np.concatenate([_numbered(len(self.size_a), s) for s in (b",", b"|")])
         self.text_b = np.concatenate([_numbered(len(self.size_b), s) for s in (b",", b";")])
@@ -128,19 +137,23 @@ class Aligner:
         spaced = [" " + t if t else "" for t in texts]
         a, n_a = self.a(spaced)
         b, n_b = self.b(spaced)
-        a, b, raw = a.astype(np.int64), b.astype(np.int64), [t.encode() for t in spaced]
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        raw = [t.encode() for t in spaced]
         size = np.array([len(r) for r in raw], dtype=np.int64)
-        end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
-        whole = b"".join(raw)
-        of = lambda table, ids: b"".join([table[i] for i in ids.tolist()])
-        total = lambda sizes, ids, ends: np.concatenate([[0], np.cumsum(sizes[ids])])[ends]
-        ends = np.cumsum(size)
-        fine = all(np.array_equal(total(s, i, e), ends) for s, i, e in ((self.size_a, a, end_a), (self.size_b, b, end_b)))
-        if fine and of(self.bytes_a, a) == whole and of(self.bytes_b, b) == whole:
-            return a, n_a, b, n_b, size
-        spelt = np.array(
-            [of(self.bytes_a, a[i - n : i]) == r == of(self.bytes_b, b[j - m : j]) for i, n, j, m, r in zip(end_a, n_a, end_b, n_b, raw, strict=True)]
-        )
+        sides = (self.size_a, self.flat_a, a, n_a), (self.size_b, self.flat_b, b, n_b)
+        spelt = np.ones(len(texts), dtype=bool)
+        for sizes, _, ids, counts in sides:
+            total = np.concatenate([[0], np.cumsum(sizes[ids])])
+            end = np.cumsum(counts)
+            spelt &= total[end] - total[end - counts] == size
+        whole = np.frombuffer(b"".join(r for r, same in zip(raw, spelt.tolist(), strict=True) if same), dtype=np.uint8)
+        edge = np.concatenate([[0], np.cumsum(np.where(spelt, size, 0))])
+        for sizes, flat, ids, counts in sides:
+            differs = np.flatnonzero(_spelled(sizes, flat, ids[np.repeat(spelt, counts)]) != whole)
+            spelt = spelt & ~(np.diff(np.searchsorted(differs, edge)) > 0) if len(differs) else spelt
+            if len(differs):  # what is left of the bytes must belong to the texts that are left
+                whole = np.frombuffer(b"".join(r for r, same in zip(raw, spelt.tolist(), strict=True) if same), dtype=np.uint8)
+                edge = np.concatenate([[0], np.cumsum(np.where(spelt, size, 0))])
         keep = lambda n: np.where(spelt, n, 0)
         return a[np.repeat(spelt, n_a)], keep(n_a), b[np.repeat(spelt, n_b)], keep(n_b), keep(size)
 
