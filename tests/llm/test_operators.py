@@ -301,7 +301,7 @@ def test_token_store_of_nothing(spark):
 
 
 def test_cached_encoder_may_overflow(monkeypatch):
-    monkeypatch.setattr(token_store, "CACHE", 40)
+    monkeypatch.setattr(token_store.CachedEncoder, "limit", 40)
     encoder = token_store.CachedEncoder(tokenizers.path("byte_bpe_50k.json"))
     for seed in range(4):
         ids, counts = encoder([prose(20, seed), "", "x, y."])
