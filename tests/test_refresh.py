@@ -110,7 +110,7 @@ def pages(spark, site):
 def tables(spark, folder):
     store = Snapshots(spark, folder)
     out = {}
-    for name, drop in (("nodes", []), ("edges", []), ("app_map", []), ("modules", []), ("state", []), ("links", [])):
+    for name, drop in (("nodes", []), ("edges", []), ("app_map", []), ("modules", []), ("state", []), ("links", []), ("meta", [])):
         out[name] = sorted(str(r) for r in store.read(name).collect())
     return out
 
@@ -146,3 +146,26 @@ def test_other_starts_and_settings(spark, tmp_path):
     version, status = refresh.run(spark, folder, pages(spark, site), HOST, 5)  # written anew
     assert Snapshots(spark, folder).read("nodes").count() == 3 and {r["status"] for r in status.collect()} == {"added"}
     assert version.number == 2 and all(len(t["parts"]) == 1 for t in version.tables.values())
+
+
+def test_published_documents(spark, tmp_path):
+    import json
+
+    site = {HOST: ("Home", [("a", HOST + "a"), ("b", HOST + "b")], "x"), HOST + "a": ("A", [("b", HOST + "b")], "y"), HOST + "b": ("B", [], "z"), HOST + "lost": ("Lost", [], "")}
+    folder = f"{tmp_path}/kept"
+    refresh.run(spark, folder, pages(spark, site), HOST, 3, at="2020-01-01 00:00:00")
+    site[HOST + "b"] = ("B", [], "edited")
+    version, _ = refresh.run(spark, folder, pages(spark, site), HOST, 3, at="2021-01-01 00:00:00")
+    out = refresh.publish(spark, folder, f"{tmp_path}/out", "now")
+    read = lambda name: "".join(p.read_text() for p in sorted((tmp_path / "out" / out.rsplit("/", 1)[1] / name).glob("part-*")))
+    index, base = read("index"), read("knowledge_base")
+    assert [line.split("**")[1] for line in index.splitlines() if line.startswith("- **")] == ["Home", "A", "B"] and "Lost" not in base
+    assert base.index("## Home") < base.index("## A") < base.index("## B") and "edited" in base and "screens: 3." in base
+    manifest = json.loads(read("manifest"))
+    assert manifest["counts"]["total_screens"] == 3 and manifest["config"]["max_depth"] == 3
+    assert len(read("graph_edges").splitlines()) == 3 and len(read("app_map").splitlines()) == 3
+    # only the edited page was read again
+    when = {r["url"]: r["crawled_at"].year for r in Snapshots(spark, folder).read("meta").collect()}
+    assert when == {HOST: 2020, HOST + "a": 2020, HOST + "b": 2021}
+    old = refresh.publish(spark, folder, f"{tmp_path}/out", "now", version.number - 1)
+    assert old != out and "edited" not in "".join(p.read_text() for p in (tmp_path / "out" / old.rsplit("/", 1)[1] / "knowledge_base").glob("part-*"))

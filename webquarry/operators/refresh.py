@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webquarry.functions import text, urls
-from webquarry.operators import fingerprints, graph, html
+from webquarry.operators import fingerprints, graph, html, traversal
 from webquarry.operators.dedup import first_seen
 from webquarry.operators.incremental import Checkpoint, classified, usable_checkpoint
-from webquarry.plans import artifacts
+from webquarry.plans import artifacts, documents
+from webquarry.schema import META
 from webquarry.sources.snapshots import Delta, Snapshots, Version
 from webquarry.store import discard, stored_at
 
@@ -38,19 +39,29 @@ def saved_checkpoint(version: Version | None) -> Checkpoint | None:
 
 
 def run(
-    spark: SparkSession, folder: str, pages: DataFrame, start_url: str, max_depth: int = 5, max_pages: int | None = None, same_site: bool = True
+    spark: SparkSession,
+    folder: str,
+    pages: DataFrame,
+    start_url: str,
+    max_depth: int = 5,
+    max_pages: int | None = None,
+    same_site: bool = True,
+    at: str = "1970-01-01 00:00:00",
 ) -> tuple[Version, DataFrame]:
     """Crawl captured pages (url, html, optionally status) into the snapshot at ``folder``.
 
     Returns the new version and norm_url, status (added, changed, unchanged, missing) of
     every page.  Tables: state (norm_url, url, title, signature), links (norm_url,
-    link_pos, link_text, href, target), nodes, edges, app_map and modules.  A version of
-    another start raises ValueError; one of other settings is written anew.
+    link_pos, link_text, href, target), nodes, edges, app_map, modules and meta (columns
+    META; crawled_at is ``at`` of the run that read the screen).  A version of another
+    start raises ValueError; one of other settings is written anew.
     """
     store = Snapshots(spark, folder)
     base = store.version()
     fresh = not usable_checkpoint(saved_checkpoint(base), start_url, max_depth, same_site)
-    if "status" in pages.columns:
+    if "status" not in pages.columns:
+        pages = pages.withColumn("status", F.lit(None).cast("int"))
+    else:
         pages = pages.filter(F.col("status").isNull() | (F.col("status") < 400))
     now, now_at = stored_at(signatures(pages), "signed")
     empty = spark.createDataFrame([], "norm_url string, url string, title string, signature string")
@@ -70,20 +81,22 @@ def run(
     edges, edges_at = stored_at(edges, "run-edges")
 
     # documents: of reached pages that are read now, or were not reached before, or are reached otherwise
-    kept = nodes.select("id", "norm_url", F.col("url").alias("reached_as"), "discovered_via")
+    kept = nodes.select("id", "norm_url", F.col("url").alias("reached_as"), "discovered_via", "depth")
     if fresh:
         write, known = kept, None
     else:
         known = store.read("nodes", base)
-        before = known.select("id", F.col("discovered_via").alias("was_via"), F.col("url").alias("was_url"))
-        same = F.col("was_via").eqNullSafe(F.col("discovered_via")) & F.col("was_url").eqNullSafe(F.col("reached_as"))
+        before = known.select("id", F.col("discovered_via").alias("was_via"), F.col("url").alias("was_url"), F.col("depth").alias("was_depth"))
+        same = F.col("was_depth").eqNullSafe(F.col("depth")) & F.col("was_via").eqNullSafe(F.col("discovered_via")) & F.col("was_url").eqNullSafe(F.col("reached_as"))
         write = kept.join(before, "id", "left").join(read.withColumn("is_read", F.lit(True)), "norm_url", "left")
         write = write.filter(F.col("is_read") | ~F.coalesce(same, F.lit(False))).select(*kept.columns)
     write, write_at = stored_at(write, "to-write")
-    source = first_seen(pages.select("url", "html").withColumn("norm_url", urls.normalize_url(F.col("url"))), ["norm_url"], ["url"])
-    chosen = source.drop("url").join(write, "norm_url").select(F.col("reached_as").alias("url"), "html", F.col("id").alias("screen_id"), "discovered_via")
+    source = first_seen(pages.select("url", "html", "status").withColumn("norm_url", urls.normalize_url(F.col("url"))), ["norm_url"], ["url"])
+    chosen = source.drop("url").join(write, "norm_url").select(F.col("reached_as").alias("url"), "html", F.col("id").alias("screen_id"), "discovered_via", "norm_url", "depth", "status")
     screens, screens_at = stored_at(html.screens(chosen), "read-screens")
-    entries, documents = artifacts.app_map(screens), artifacts.modules(screens)
+    entries, texts = artifacts.app_map(screens), artifacts.modules(screens)
+    meta = screens.select("screen_id", "url", F.col("norm_url").alias("normalized_url"), "depth", "discovered_via", "title", F.col("status").cast("int").alias("http_status"), F.lit(at).cast("timestamp").alias("crawled_at"))
+    meta = meta.select(*META.names)
     left = None if known is None else known.join(nodes, "id", "left_anti").select("id")
 
     def change(rows: DataFrame, key: str):
@@ -95,8 +108,35 @@ def run(
     else:
         lost = gone.join(read, "norm_url", "left_anti")
         tables = {"state": Delta(state.join(read, "norm_url", "left_semi"), lost, "norm_url"), "links": Delta(new_links, gone, "norm_url")}
-    tables |= {"nodes": nodes, "edges": edges, "app_map": change(entries, "slug"), "modules": change(documents, "id")}
+    tables |= {"nodes": nodes, "edges": edges, "app_map": change(entries, "slug"), "modules": change(texts, "id"), "meta": change(meta, "screen_id")}
     settings = {"version": 1, "start_url": start_url, "max_depth": max_depth, "same_site": same_site}
     version = store.commit(tables, settings, base)
     discard(spark, now_at, read_at, gone_at, new_links_at, nodes_at, edges_at, write_at, screens_at)
     return version, status
+
+
+def publish(spark: SparkSession, folder: str, target: str, generated_at: str, number: int | None = None) -> str:
+    """Write the documents of a version under ``target`` and return their folder.
+
+    index and knowledge_base are text in part files, graph_nodes, graph_edges, app_map
+    and manifest JSON lines.  The manifest is written last: a folder that has a whole one
+    is whole.  Publishing a version again gives the same documents.
+    """
+    store = Snapshots(spark, folder)
+    version = store.version(number)
+    out = f"{target.rstrip('/')}/{version.number:012d}"
+    start = version.settings["start_url"]
+    nodes, edges, entries = (store.read(n, version) for n in ("nodes", "edges", "app_map"))
+    # the order of capture: by depth, then the link places along the way
+    order = traversal.numbered(nodes.select("id", "depth", F.col("seq").alias("way")), ["depth", "way"]).select("id", F.col("place").alias("seq"))
+    order, order_at = stored_at(order, "capture-order")
+    listed = nodes.drop("seq").join(order, "id")
+    documents.write_parts(documents.index_lines(listed, edges, start, generated_at), f"{out}/index")
+    texts = store.read("modules", version).join(order, "id")
+    documents.write_parts(documents.knowledge_base_lines(texts, start, generated_at), f"{out}/knowledge_base")
+    for name, df in (("graph_nodes", listed.select("id", "url", "title", "depth")), ("graph_edges", edges), ("app_map", entries)):
+        df.write.mode("overwrite").json(f"{out}/{name}")
+    count = nodes.count()
+    artifacts.manifest(entries, start, generated_at, count, None, version.settings["max_depth"]).write.mode("overwrite").json(f"{out}/manifest")
+    discard(spark, order_at)
+    return out
