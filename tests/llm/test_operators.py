@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from webquarry.llm import boosting, bpe, decontaminate, labelled, licenses, line_templates, near_dup, pii, quality_rules, quality_zstd, queries, scan, store, token_store, toxicity
+from webquarry.llm import boosting, bpe, decontaminate, labelled, licenses, line_templates, near_dup, pii, quality_rules, quality_zstd, queries, scan, store, token_store, toxicity, udf
 
 tokenizers = pytest.importorskip("public_tokenizers")
 LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -233,6 +233,27 @@ def test_bpe_caches_may_overflow(vocabulary, reference, monkeypatch):
         assert codec.encode_chunk(pa.array([prose(40, seed)]))[0] == reference.encode_ordinary(prose(40, seed))
 
 
+def test_bpe_caches_keep_what_came_again(vocabulary, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 40)
+    monkeypatch.setattr(bpe, "TOKEN_CACHE", 40)
+    codec = bpe.Codec(vocabulary)
+    merged = []
+    monkeypatch.setattr(codec, "merge", lambda piece, merge=codec.merge: merged.append(piece) or merge(piece))
+    for i in range(60):
+        text = "qzxvkwjq " + " ".join(f"zq{i}xw{k}vv" for k in range(5)) + " qzxvkwjq"
+        assert codec.encode_chunk(pa.array([text]))[0] == reference.encode_ordinary(text)
+        assert len(codec.cache) <= 40 and len(codec.tokens) <= 40
+    assert merged.count(b"qzxvkwjq") == 1 and merged.count(b" qzxvkwjq") == 1
+
+
+def test_text_udf_returns_chunk_by_chunk(monkeypatch):
+    monkeypatch.setattr(F, "arrow_udf", lambda run, returnType: type("Held", (), {"asNondeterministic": lambda _: run})())
+    run = udf.text_udf("n long", lambda: lambda chunk: {"n": [len(t) for t in chunk.to_pylist()]})
+    long = "x" * (scan.CHUNK_BYTES - 1)
+    out = [a.to_pylist() for a in run(iter([pa.array([long, long, "ab"]), pa.array([], pa.string()), pa.array(["c"])]))]
+    assert out == [[{"n": len(long)}], [{"n": len(long)}], [{"n": 2}], [], [{"n": 1}]]
+
+
 # --- token store --------------------------------------------------------------------
 
 

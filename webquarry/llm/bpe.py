@@ -22,7 +22,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ U = np.uint64
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: A run of visible characters with at most one space before it, or white space.
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: Distinct pieces and pre-tokens that a worker's caches hold (some 100 MB); one is emptied when full.
+#: Distinct pieces and pre-tokens that a worker's caches hold (some 100 MB); when one is full, those that came again stay.
 CACHE, TOKEN_CACHE = 1 << 17, 1 << 18
 
 
@@ -138,9 +138,12 @@ class Codec:
         self.rank = dict(zip(vocabulary.tokens, vocabulary.ids, strict=True))
         self.bytes_of = dict(zip(vocabulary.ids, vocabulary.tokens, strict=True))
         self.pair = [self.rank.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]  # ranks of two bytes
+        self.byte = [self.rank.get(bytes((b,)), -1) for b in range(256)]
         self.split = regex.compile(vocabulary.pattern).findall
         self.cache: dict[str, tuple[int, ...]] = {}  # by piece
         self.tokens: dict[str, tuple[int, ...]] = {}  # by pre-token
+        self.again: set[str] = set()  # pieces that came again since they are kept
+        self.tokens_again: set[str] = set()
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token by merging linked bytes, the lowest rank first.
@@ -150,7 +153,8 @@ class Codec:
         n = len(piece)
         get = self.rank.get
         bits = n.bit_length()
-        low = (1 << bits) - 1
+        shift, low = 2 * bits, (1 << bits) - 1
+        ids = [self.byte[b] for b in piece]  # id of the token that begins here
         end = list(range(1, n + 1))  # end of the token that begins here; 0: swallowed
         back = list(range(-1, n))  # begin of the token that ends here
         pair = self.pair
@@ -166,24 +170,33 @@ class Codec:
             end[i] = stop
             end[j] = 0
             back[stop] = i
+            ids[i] = entry >> shift
             if stop < n and (r := get(piece[i : end[stop]])) is not None:
                 heappush(heap, (((r << bits) | i) << bits) | end[stop])
             if i and (r := get(piece[back[i] : stop])) is not None:
                 heappush(heap, (((r << bits) | back[i]) << bits) | stop)
-        out, i = [], 0
-        while i < n:
-            out.append(self.rank[piece[i : end[i]]])
-            i = end[i]
-        return out
+        return [x for x, stop in zip(ids, end) if stop]
+
+    @staticmethod
+    def _missing(seen: set[str], held: dict, again: set[str], limit: int) -> set[str]:
+        """What of seen is not held. A full cache keeps what came again, half of the limit at most."""
+        new = seen.difference(held)
+        again.update(seen.difference(new))
+        if len(held) + len(new) <= limit:
+            return new
+        kept = {name: held[name] for name in islice((n for n in held if n in again), limit // 2)}
+        held.clear()
+        again.clear()
+        if len(kept) + len(new) <= limit:
+            held.update(kept)
+        return seen.difference(held)
 
     def learn(self, pieces: set[str]) -> None:
         """Put the ids of pieces into the cache."""
         names = list(pieces)
-        parts = [self.split(p) for p in names]
-        distinct = list({t for part in parts for t in part}.difference(self.tokens))
-        if len(self.tokens) + len(distinct) > TOKEN_CACHE:
-            self.tokens = {}
-            distinct = list({t for part in parts for t in part})
+        # a piece that is one pre-token is held by both caches, so they share its string
+        parts = [[p] if len(part := self.split(p)) == 1 else part for p in names]
+        distinct = list(self._missing({t for part in parts for t in part}, self.tokens, self.tokens_again, TOKEN_CACHE))
         ids = self.tokens
         if distinct:
             data = [t.encode() for t in distinct]
@@ -196,11 +209,7 @@ class Codec:
     def pieces(self, chunk: pa.Array) -> list[list[str]]:
         """Texts cut into pieces, all of them in the cache."""
         cut = [PIECES.findall(t) for t in chunk.to_pylist()]
-        new = {p for pieces in cut for p in pieces}.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {}
-            new = {p for pieces in cut for p in pieces}
-        self.learn(new)
+        self.learn(self._missing(set(chain.from_iterable(cut)), self.cache, self.again, CACHE))
         return cut
 
     def encode_chunk(self, chunk: pa.Array) -> list[list[int]]:
