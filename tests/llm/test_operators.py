@@ -13,6 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webquarry.llm import boosting, bpe, decontaminate, labelled, licenses, line_templates, near_dup, pii, quality_rules, quality_zstd, queries, scan, store, token_store, toxicity, udf
 
@@ -248,7 +249,7 @@ def test_bpe_caches_keep_what_came_again(vocabulary, reference, monkeypatch):
 
 def test_text_udf_returns_chunk_by_chunk(monkeypatch):
     monkeypatch.setattr(F, "arrow_udf", lambda run, returnType: type("Held", (), {"asNondeterministic": lambda _: run})())
-    run = udf.text_udf("n long", lambda: lambda chunk: {"n": [len(t) for t in chunk.to_pylist()]})
+    run = udf.text_udf(T.StructType().add("n", "long"), lambda: lambda chunk: {"n": [len(t) for t in chunk.to_pylist()]})
     long = "x" * (scan.CHUNK_BYTES - 1)
     out = [a.to_pylist() for a in run(iter([pa.array([long, long, "ab"]), pa.array([], pa.string()), pa.array(["c"])]))]
     assert out == [[{"n": len(long)}], [{"n": len(long)}], [{"n": 2}], [], [{"n": 1}]]
