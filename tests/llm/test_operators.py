@@ -247,6 +247,19 @@ def test_bpe_caches_keep_what_came_again(vocabulary, reference, monkeypatch):
     assert merged.count(b"qzxvkwjq") == 1 and merged.count(b" qzxvkwjq") == 1
 
 
+def test_bpe_cuts_plain_pieces_without_the_pattern(vocabulary, reference):
+    codec = bpe.Codec(vocabulary)
+    asked = []
+    codec.split = lambda piece, split=codec.split: asked.append(piece) or split(piece)
+    text = "Word word*** end...|~ Ünïcödé, x_y a1 it's l'été µm ª ſt× 'tis ... \n(a) b\"c d&"
+    assert codec.encode_chunk(pa.array([text, "", text]))[2] == reference.encode_ordinary(text)
+    assert not {"Word", " word***", " end...|~", " Ünïcödé,", " d&"} & set(asked) and {" x_y", " it's", " µm"} <= set(asked)
+    for mark in map(chr, range(33, 127)):
+        assert codec.encode_chunk(pa.array([f"ab{mark} cd{mark}{mark} é{mark}s"]))[0] == reference.encode_ordinary(f"ab{mark} cd{mark}{mark} é{mark}s")
+    row = codec.decimal_chunk(pa.array([text]))[0]
+    assert row == ",".join(map(str, reference.encode_ordinary(text))) and codec.decode_decimal(row).decode() == text and codec.decode_decimal("") == b""
+
+
 def test_text_udf_returns_chunk_by_chunk(monkeypatch):
     monkeypatch.setattr(F, "arrow_udf", lambda run, returnType: type("Held", (), {"asNondeterministic": lambda _: run})())
     run = udf.text_udf(T.StructType().add("n", "long"), lambda: lambda chunk: {"n": [len(t) for t in chunk.to_pylist()]})

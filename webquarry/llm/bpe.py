@@ -38,6 +38,9 @@ U = np.uint64
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: A run of visible characters with at most one space before it, or white space.
 PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: The pattern of GPT-2, and pieces of which it makes at most two pre-tokens: letters, then marks but apostrophes.
+GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ſ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Distinct pieces and pre-tokens that a worker's caches hold (some 100 MB); when one is full, those that came again stay.
 CACHE, TOKEN_CACHE = 1 << 17, 1 << 18
 
@@ -140,8 +143,12 @@ class Codec:
         self.pair = [self.rank.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]  # ranks of two bytes
         self.byte = [self.rank.get(bytes((b,)), -1) for b in range(256)]
         self.split = regex.compile(vocabulary.pattern).findall
-        self.cache: dict[str, tuple[int, ...]] = {}  # by piece
-        self.tokens: dict[str, tuple[int, ...]] = {}  # by pre-token
+        self.decimal = {i: str(i) for i in vocabulary.ids}
+        self.bytes_of_decimal = {self.decimal[i]: t for i, t in self.bytes_of.items()}
+        self.plain = PLAIN.fullmatch if vocabulary.pattern == explicit(GPT2) else None
+        # ids in decimal, joined by commas: shorter in memory than numbers, and what the digests are of
+        self.cache: dict[str, str] = {}  # by piece
+        self.tokens: dict[str, str] = {}  # by pre-token
         self.again: set[str] = set()  # pieces that came again since they are kept
         self.tokens_again: set[str] = set()
 
@@ -155,7 +162,8 @@ class Codec:
         bits = n.bit_length()
         shift, low = 2 * bits, (1 << bits) - 1
         ids = [self.byte[b] for b in piece]  # id of the token that begins here
-        end = list(range(1, n + 1))  # end of the token that begins here; 0: swallowed
+        end = list(range(1, n + 1))  # end of the token that begins here; n where it was swallowed
+        end.append(0)  # no pair goes beyond the end
         back = list(range(-1, n))  # begin of the token that ends here
         pair = self.pair
         heap = [(((r << bits) | i) << bits) | (i + 2) for i, (a, b) in enumerate(zip(piece, piece[1:])) if (r := pair[a << 8 | b]) >= 0]
@@ -165,17 +173,21 @@ class Codec:
             stop = entry & low
             i = (entry >> bits) & low
             j = end[i]
-            if not j or j >= n or end[j] != stop:
+            if end[j] != stop:
                 continue  # one of the pair has merged since
             end[i] = stop
-            end[j] = 0
+            end[j] = n
             back[stop] = i
             ids[i] = entry >> shift
             if stop < n and (r := get(piece[i : end[stop]])) is not None:
                 heappush(heap, (((r << bits) | i) << bits) | end[stop])
             if i and (r := get(piece[back[i] : stop])) is not None:
                 heappush(heap, (((r << bits) | back[i]) << bits) | stop)
-        return [x for x, stop in zip(ids, end) if stop]
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = end[i]
+        return out
 
     @staticmethod
     def _missing(seen: set[str], held: dict, again: set[str], limit: int) -> set[str]:
@@ -195,16 +207,24 @@ class Codec:
         """Put the ids of pieces into the cache."""
         names = list(pieces)
         # a piece that is one pre-token is held by both caches, so they share its string
-        parts = [[p] if len(part := self.split(p)) == 1 else part for p in names]
-        distinct = list(self._missing({t for part in parts for t in part}, self.tokens, self.tokens_again, TOKEN_CACHE))
+        parts = [self.cut(p) for p in names]
+        distinct = list(self._missing(set(chain.from_iterable(parts)), self.tokens, self.tokens_again, TOKEN_CACHE))
         ids = self.tokens
         if distinct:
             data = [t.encode() for t in distinct]
-            vocabulary = self.vocabulary
-            for name, token, slot in zip(distinct, data, vocabulary.table.slots_of(data).tolist(), strict=True):
-                ids[name] = (vocabulary.ids[slot],) if vocabulary.tokens[slot] == token else tuple(self.merge(token))
+            known, tokens, decimal = self.vocabulary.ids, self.vocabulary.tokens, self.decimal
+            for name, token, slot in zip(distinct, data, self.vocabulary.table.slots_of(data).tolist(), strict=True):
+                ids[name] = decimal[known[slot]] if tokens[slot] == token else ",".join([decimal[i] for i in self.merge(token)])
         for name, part in zip(names, parts, strict=True):
-            self.cache[name] = ids[part[0]] if len(part) == 1 else tuple(i for t in part for i in ids[t])
+            self.cache[name] = ids[part[0]] if len(part) == 1 else ",".join([ids[t] for t in part])
+
+    def cut(self, piece: str) -> tuple[str, ...] | list[str]:
+        """The pre-tokens of a piece."""
+        found = self.plain(piece) if self.plain else None
+        if found:
+            return found.groups() if found[2] else (piece,)
+        part = self.split(piece)
+        return part if len(part) > 1 else (piece,)
 
     def pieces(self, chunk: pa.Array) -> list[list[str]]:
         """Texts cut into pieces, all of them in the cache."""
@@ -212,14 +232,22 @@ class Codec:
         self.learn(self._missing(set(chain.from_iterable(cut)), self.cache, self.again, CACHE))
         return cut
 
-    def encode_chunk(self, chunk: pa.Array) -> list[list[int]]:
+    def decimal_chunk(self, chunk: pa.Array) -> list[str]:
+        """Ids of each text in decimal, joined by commas."""
         cut = self.pieces(chunk)
         get = self.cache.__getitem__
-        return [list(chain.from_iterable(map(get, pieces))) for pieces in cut]
+        return [",".join(map(get, pieces)) for pieces in cut]
+
+    def encode_chunk(self, chunk: pa.Array) -> list[list[int]]:
+        return [list(map(int, row.split(","))) if row else [] for row in self.decimal_chunk(chunk)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decode_decimal(self, row: str) -> bytes:
+        """The bytes of ids in decimal, joined by commas."""
+        return b"".join(map(self.bytes_of_decimal.__getitem__, row.split(","))) if row else b""
+
 
 def codec_of(sent) -> Codec:
     """The worker's codec for a broadcast vocabulary; kept from task to task with its caches."""
@@ -257,12 +285,11 @@ def round_trip_digests(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc
 
     def start():
         codec = codec_of(sent)
-        decimal = {i: str(i) for i in codec.bytes_of}.__getitem__
         digest = lambda data: hashlib.sha256(data).hexdigest()
 
         def one(chunk: pa.Array) -> dict:
-            rows = codec.encode_chunk(chunk)
-            return {"n_tokens": [len(r) for r in rows], "ids_sha256": [digest(",".join(map(decimal, r)).encode()) for r in rows], "decoded_sha256": [digest(codec.decode(r)) for r in rows]}
+            rows = codec.decimal_chunk(chunk)
+            return {"n_tokens": [r.count(",") + 1 if r else 0 for r in rows], "ids_sha256": [digest(r.encode()) for r in rows], "decoded_sha256": [digest(codec.decode_decimal(r)) for r in rows]}
 
         return one
 
