@@ -774,6 +774,20 @@ def test_documents_of_recurring_lines_only(spark):
     assert out.columns == ["doc_id", "text", "n_dropped"] and out.count() == 4 and not any(x["n_dropped"] for x in out.collect())
 
 
+def test_cut_texts_leave_chunk_by_chunk(monkeypatch):
+    monkeypatch.setattr(F, "arrow_udf", lambda run, returnType: type("Held", (), {"asNondeterministic": lambda _: run})())
+    line = line_templates.Messages(pa.array(["one two three four five."])).line
+    run = line_templates._cut(5, type("Sent", (), {"value": line.view(np.int64)}))
+    long = "x" * (scan.CHUNK_BYTES - 30)
+    texts = [f"{long}\none two three four five.", None, long, "a\none two three four five.\nb", "", "one two three four five."]
+    marks = [True, True, None, True, None, None]
+    columns = lambda a, b: (pa.array(a, pa.string()), pa.array(b, pa.bool_()))
+    out = [a.to_pylist() for a in run(iter([columns(texts, marks), columns([], []), columns(texts[3:], marks[3:])]))]
+    rest = [{"text": "a\nb", "n": 1}, {"text": "", "n": 0}, {"text": texts[5], "n": 0}]
+    assert [len(a) for a in out] == [2, 3, 1, 0, 3]
+    assert sum(out, []) == [{"text": long, "n": 1}, {"text": None, "n": 0}, {"text": long, "n": 0}, *rest, *rest]
+
+
 def test_line_templates_of_nothing(spark):
     assert line_templates.drop_recurring_lines(docs(spark, [])).count() == 0
 
