@@ -343,6 +343,21 @@ def test_cached_encoder_may_overflow(monkeypatch):
         assert ids.tolist() == [i for t in (prose(20, seed), "", "x, y.") for i in encoder.tokenizer.encode(t, add_special_tokens=False).ids] and counts[1] == 0
 
 
+def test_cached_encoder_takes_marks_after_a_letter_from_the_cache():
+    encoder = token_store.CachedEncoder(tokenizers.path("byte_bpe_50k.json"))
+    whole = lambda t: encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    encoder([" word\n***\n..,"])
+    library, encoder.tokenizer = encoder.tokenizer, None
+    try:
+        ids, _ = encoder([" word*** word..,"])
+    finally:
+        encoder.tokenizer = library
+    assert ids.tolist() == whole(" word*** word..,")
+    for mark in map(chr, range(33, 127)):
+        text = f"ab{mark} cd{mark}{mark} é{mark}s it's{mark} x1{mark} ½{mark} {mark}\n{mark}{mark} '{mark}<|endoftext|>"
+        assert encoder([text])[0].tolist() == whole(text)
+
+
 # --- quality rules ------------------------------------------------------------------
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,8 @@ from webquarry.llm.udf import resident
 BLOCK_CHARS = 1 << 20
 #: Distinct pieces that a worker's cache holds (some 210 MB); when full, the often used ones stay.
 CACHE = 1 << 20
-MARKS = ",.;:!?"
+#: Marks but the apostrophe, which begins contractions.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Characters for one sorted partition.
 PART_CHARS = 128 << 20
 
@@ -129,12 +130,12 @@ class CachedEncoder:
             ids = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, dtype=np.uint32)
             self._keep([p], ids, np.array([len(ids)]))
         known = set(alone)
-        # a mark after a letter is a pre-token of its own: such pieces take their stem's ids
-        marked = [p for p in new if p[-1] in MARKS and len(p) > 2 and p[-2].isalpha()]
-        known.update(marked)
+        # marks after a letter are a pre-token of their own: such pieces take their stem's ids
+        stems = [p.rstrip(MARKS) for p in new]
+        marked = [(p, s, p[len(s) :]) for p, s in zip(new, stems, strict=True) if len(s) < len(p) and s and s[-1].isalpha()]
+        known.update(p for p, _, _ in marked)
         whole = {p for p in new if p not in known}
-        whole.update({p[:-1] for p in marked}.difference(self.cache))
-        whole.update(m for m in MARKS if m not in self.cache)
+        whole.update({s for _, s, _ in marked}.union(t for _, _, t in marked).difference(self.cache))
         rest = list(whole)
         for lo in range(0, len(rest), 4096):
             part = rest[lo : lo + 4096]
@@ -149,10 +150,10 @@ class CachedEncoder:
             keep[first[lead] - 1] = False
             self._keep(part, ids[keep], at - first)
         if marked:
-            stem = np.fromiter((self.cache[p[:-1]] for p in marked), dtype=np.int64)
-            mark = np.fromiter((self.cache[p[-1]] for p in marked), dtype=np.int64)
-            both = np.stack([stem, mark], axis=1).ravel()
-            self._keep(marked, self._gather(both), self.count[stem] + self.count[mark])
+            stem = np.fromiter((self.cache[s] for _, s, _ in marked), dtype=np.int64)
+            tail = np.fromiter((self.cache[t] for _, _, t in marked), dtype=np.int64)
+            both = np.stack([stem, tail], axis=1).ravel()
+            self._keep([p for p, _, _ in marked], self._gather(both), self.count[stem] + self.count[tail])
 
     def _gather(self, place: np.ndarray) -> np.ndarray:
         """Ids of pieces one after another."""
@@ -176,12 +177,17 @@ class CachedEncoder:
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same by pieces, for texts without added tokens."""
         cut = [self.cut(t) for t in texts]
-        new = {p for pieces in cut for p in pieces}.difference(self.cache)
-        if len(self.cache) + len(new) > self.limit:
-            self.evict()
-            new = {p for pieces in cut for p in pieces}.difference(self.cache)
+        flat = list(chain.from_iterable(cut))
+        place = np.fromiter(map(self.cache.get, flat, repeat(-1)), dtype=np.int64, count=len(flat))
+        open_at = np.flatnonzero(place < 0).tolist()
+        new = {flat[i] for i in open_at}
+        if new and len(self.cache) + len(new) > self.limit:
+            self.evict()  # which renumbers what it keeps
+            open_at = range(len(flat))
+            new = set(flat).difference(self.cache)
         self.learn(list(new))
-        place = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(cut)), dtype=np.int64)
+        if open_at:
+            place[open_at] = [self.cache[flat[i]] for i in open_at]
         uses = np.bincount(place, minlength=1)
         self.uses[: len(uses)] += uses
         total = np.concatenate([[0], np.cumsum(self.count[place])])
