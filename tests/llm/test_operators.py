@@ -974,3 +974,19 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         out = corpus_pipeline.run(spark, str(base)).collect()
         ids = [r["doc_id"] for r in out]
         assert {2, 3, None} <= set(ids) and 1 in ids if some else out == []
+
+
+def test_idle_worker_lets_its_resident_go():
+    """Tasks that follow each other share it; a worker that stays idle does not keep it."""
+    import time
+
+    run = udf.text_udf("n long", lambda: (udf.resident("test:idle", list), lambda chunk: {"n": [1] * len(chunk)})[1], "test:").func
+    task = lambda: [x for part in run(iter([pa.array(["a", "b"])])) for x in part.to_pylist()]
+    assert task() == [{"n": 1}] * 2
+    first = udf._resident["test:idle"]
+    task()
+    assert udf._resident["test:idle"] is first
+    end = time.monotonic() + 20
+    while "test:idle" in udf._resident and time.monotonic() < end:
+        time.sleep(0.1)
+    assert "test:idle" not in udf._resident

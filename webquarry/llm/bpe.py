@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webquarry.llm import scan
-from webquarry.llm.udf import release, resident, text_udf, with_struct
+from webquarry.llm.udf import resident, text_udf, with_struct, working
 
 U = np.uint64
 #: Unicode white space, as the pattern's \s has it.
@@ -250,7 +250,7 @@ class Codec:
 
 
 def codec_of(sent) -> Codec:
-    """The worker's codec for a broadcast vocabulary; kept from task to task with its caches."""
+    """The worker's codec for a broadcast vocabulary; kept with its caches from task to task while these follow each other."""
     return resident("bpe:" + sent.value.token, lambda: Codec(sent.value))
 
 
@@ -270,10 +270,10 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataF
     sent = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        release("bpe:")
-        codec = codec_of(sent)
-        for batch in batches:
-            yield pa.array([None if x is None else codec.decode(x) for x in batch.to_pylist()], type=pa.binary())
+        with working("bpe:"):
+            codec = codec_of(sent)
+            for batch in batches:
+                yield pa.array([None if x is None else codec.decode(x) for x in batch.to_pylist()], type=pa.binary())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return df.withColumn("decoded", F.arrow_udf(run, returnType="binary")(F.col(f"`{ids_col}`")))
