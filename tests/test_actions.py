@@ -83,3 +83,19 @@ def test_menus_are_no_states_and_same_labels_stay_apart(spark):
 
 def test_empty_tables(spark):
     assert actions.discoveries(*tables(spark, {})).count() == 0
+
+
+def test_a_page_is_walked_in_one_job(spark):
+    """A chain of 40 actions in which each way depends on the one before; no round of jobs is run for it."""
+    n = 40
+    views = spark.createDataFrame([(PAGE, f"s{i}", i, f"k{i}", "l", False) for i in range(n)], actions.VIEWS)
+    clicks = spark.createDataFrame([(PAGE, f"s{i}", f"k{i}", "l", False, None, None, f"s{i + 1}") for i in range(n)], actions.CLICKS)
+    starts = spark.createDataFrame([(PAGE, f"s{i}") for i in range(n)], "norm_url string, state string")
+    spark.sparkContext.setJobGroup("one page", "")
+    try:
+        found = actions.discoveries(views, clicks, starts, 1)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("one page")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = found.orderBy("seq").collect()
+    assert [[p["key"] for p in r["path"]] for r in rows] == [[f"k{j}" for j in range(i - i % 2, i + 1)] for i in range(n)]
