@@ -41,8 +41,8 @@ PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: The pattern of GPT-2, and pieces of which it makes at most two pre-tokens: letters, then marks but apostrophes.
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ſ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Distinct pieces and pre-tokens that a worker's caches hold (some 100 MB); when one is full, those that came again stay.
-CACHE, TOKEN_CACHE = 1 << 17, 1 << 18
+#: Distinct pieces and pre-tokens that a worker's caches hold (some 60 MB); when one is full, those that came again stay.
+CACHE, TOKEN_CACHE = 1 << 16, 1 << 17
 
 
 def explicit(pattern: str) -> str:
