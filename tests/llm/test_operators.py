@@ -247,6 +247,20 @@ def test_bpe_caches_keep_what_came_again(vocabulary, reference, monkeypatch):
     assert merged.count(b"qzxvkwjq") == 1 and merged.count(b" qzxvkwjq") == 1
 
 
+def test_bpe_merges_a_chunk_together(vocabulary, reference, monkeypatch):
+    """New pre-tokens of a chunk share the steps of their heaps; only long ones are merged one by one."""
+    codec = bpe.Codec(vocabulary)
+    alone = []
+    monkeypatch.setattr(codec, "merge", lambda piece, merge=codec.merge: alone.append(piece) or merge(piece))
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("etaoinsréß日w"), n)) for n in rng.integers(1, 14, 3000)] + ["ab" * 40, "a" * 31, "é" * 16]
+    text = " ".join(words)
+    assert codec.encode_chunk(pa.array([text]))[0] == reference.encode_ordinary(text)
+    assert all(len(p) > bpe.WIDE for p in alone) and b" " + b"ab" * 40 in alone
+    pieces = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in rng.integers(1, bpe.WIDE + 1, 2000)] + [b"a" * n for n in range(1, 60)]
+    assert codec.merge_all(pieces) == [bpe.Codec.merge(codec, p) for p in pieces] and codec.merge_all([]) == []
+
+
 def test_bpe_cuts_plain_pieces_without_the_pattern(vocabulary, reference):
     codec = bpe.Codec(vocabulary)
     asked = []

@@ -3,7 +3,9 @@
 A pre-token that is itself in the vocabulary is found by the minimal perfect hash
 (hash and displace: one displacement a bucket, one slot an entry, the entry's
 bytes compared).  Any other pre-token starts as linked single bytes; a heap of
-adjacent pairs by rank, then place, gives the next merge.
+adjacent pairs by rank, then place, gives the next merge.  The heaps of a chunk's
+new pre-tokens (up to WIDE bytes; longer ones go alone) are rows of one array, and
+each step pops, links and pushes in all of them at once.
 
 Pre-tokens never span a change from visible characters to white space, so texts
 are first cut there and each distinct piece is encoded once while a worker's
@@ -43,6 +45,13 @@ GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ſ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Distinct pieces and pre-tokens that a worker's caches hold (some 60 MB); when one is full, those that came again stay.
 CACHE, TOKEN_CACHE = 1 << 16, 1 << 17
+#: Bytes of pre-tokens whose heaps are popped together, by the width of their rows.
+WIDTHS = (8, 16, 32)
+WIDE = WIDTHS[-1]
+#: Fewer of a width go one by one.
+FEW = 64
+#: An empty place of a heap.
+_FREE = np.iinfo(np.int64).max
 
 
 def explicit(pattern: str) -> str:
@@ -115,6 +124,60 @@ class PerfectHash:
         return self.slots[self._slot(h, self.shift[self._bucket(h)].astype(U))]
 
 
+class PairRanks:
+    """Rank of the token that two tokens make side by side, for all pairs that make one."""
+
+    def __init__(self, rank: dict[bytes, int]):
+        self.above = max(rank.values(), default=0) + 1
+        found = [(a * self.above + b, r) for token, r in rank.items() for i in range(1, len(token)) if (a := rank.get(token[:i])) is not None and (b := rank.get(token[i:])) is not None]
+        keys, ranks = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], -1), np.append(ranks[order], -1)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; -1 for what is no token."""
+        key = a * self.above + b
+        place = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[place] == key, self.ranks[place], -1)
+
+
+class Heaps:
+    """One binary heap a row, all in one array; each call pops or pushes in many rows."""
+
+    def __init__(self, entries: np.ndarray, more: int):
+        n, size = entries.shape
+        self.levels = int(size + more).bit_length()
+        self.width = (1 << self.levels) - 1
+        self.flat = np.full((n, self.width), _FREE)
+        self.flat[:, :size] = np.sort(entries, axis=1)  # rows in order are heaps
+        self.flat = self.flat.ravel()
+        self.size = np.full(n, size)
+
+    def pop(self, rows: np.ndarray) -> np.ndarray:
+        """Take the tops; the place that each leaves free at the bottom."""
+        flat, base, hole = self.flat, rows * self.width, np.zeros(len(rows), dtype=np.int64)
+        for _ in range(self.levels - 1):
+            child = 2 * hole + 1
+            left, right = flat[base + child], flat[base + child + 1]
+            flat[base + hole] = np.minimum(left, right)
+            hole = child + (right < left)
+        flat[base + hole] = _FREE
+        return hole
+
+    def push(self, rows: np.ndarray, entries: np.ndarray, at: np.ndarray) -> None:
+        """Put an entry into each row from the free place ``at`` upwards."""
+        flat, base = self.flat, rows * self.width
+        flat[base + at] = entries
+        while len(at):
+            up = (at - 1) >> 1
+            over = flat[base + np.maximum(up, 0)]
+            rises = np.flatnonzero((at > 0) & (entries < over))
+            base, at, up, entries = base[rises], at[rises], up[rises], entries[rises]
+            flat[base + at] = over[rises]
+            flat[base + up] = entries
+            at = up
+
+
 @dataclass
 class Vocabulary:
     """Byte strings by id; merges follow the order of the ranks."""
@@ -123,6 +186,7 @@ class Vocabulary:
     ids: list[int]
     pattern: str
     table: PerfectHash
+    pairs: PairRanks
     token: str = field(default_factory=lambda: uuid.uuid4().hex)  # names the vocabulary in a worker
 
     @staticmethod
@@ -130,7 +194,7 @@ class Vocabulary:
         """A vocabulary from a file of base64 tokens and ranks."""
         with open(path, "rb") as f:
             pairs = [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in f if line.strip())]
-        return Vocabulary([t for t, _ in pairs], [i for _, i in pairs], explicit(pattern), PerfectHash([t for t, _ in pairs]))
+        return Vocabulary([t for t, _ in pairs], [i for _, i in pairs], explicit(pattern), PerfectHash([t for t, _ in pairs]), PairRanks(dict(pairs)))
 
 
 class Codec:
@@ -142,6 +206,7 @@ class Codec:
         self.bytes_of = dict(zip(vocabulary.ids, vocabulary.tokens, strict=True))
         self.pair = [self.rank.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]  # ranks of two bytes
         self.byte = [self.rank.get(bytes((b,)), -1) for b in range(256)]
+        self.pair_array, self.byte_array = np.array(self.pair), np.array(self.byte)
         self.split = regex.compile(vocabulary.pattern).findall
         self.decimal = {i: str(i) for i in vocabulary.ids}
         self.bytes_of_decimal = {self.decimal[i]: t for i, t in self.bytes_of.items()}
@@ -189,6 +254,71 @@ class Codec:
             i = end[i]
         return out
 
+    def merge_all(self, pieces: list[bytes]) -> list[list[int]]:
+        """merge() of many pre-tokens."""
+        out: list[list[int]] = [[]] * len(pieces)
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        alone = np.flatnonzero(size > WIDE).tolist()
+        for low, high in zip((0, *WIDTHS), WIDTHS):
+            own = np.flatnonzero((size > low) & (size <= high)).tolist()
+            if len(own) < FEW:
+                alone += own
+            else:
+                ids, count = self._merge_rows([pieces[k] for k in own], size[own], high)
+                ids, stop = ids.tolist(), np.cumsum(count).tolist()
+                for k, a, b in zip(own, [0, *stop], stop):
+                    out[k] = ids[a:b]
+        for k in alone:
+            out[k] = self.merge(pieces[k])
+        return out
+
+    def _merge_rows(self, pieces: list[bytes], n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens of at most ``width`` bytes one after another, and how many each has. Steps and entries are those of merge()."""
+        rows, bits = len(pieces), width.bit_length()
+        shift, low = 2 * bits, (1 << bits) - 1
+        text = np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), dtype=np.uint8).reshape(rows, width)
+        place = np.arange(width + 1)
+        alive = place < n[:, None]  # where a token begins
+        ids = np.zeros((rows, width + 1), dtype=np.int64)
+        ids[:, :width] = self.byte_array[text]
+        end = np.broadcast_to(place + 1, alive.shape).copy()
+        end[np.arange(rows), n] = 0
+        back = np.broadcast_to(place - 1, alive.shape).copy()
+        rank = self.pair_array[text[:, :-1].astype(np.int64) << 8 | text[:, 1:]]
+        first = ((rank << bits | place[: width - 1]) << bits) | (place[: width - 1] + 2)
+        heaps = Heaps(np.where((rank >= 0) & alive[:, 1:width], first, _FREE), width - 1)
+        shape, flat = alive.shape, heaps.flat
+        alive, ids, end, back = alive.ravel(), ids.ravel(), end.ravel(), back.ravel()
+        row = np.arange(rows)
+        while True:
+            top = flat[row * heaps.width]
+            some = np.flatnonzero(top != _FREE)
+            if not len(some):
+                break
+            row, top = row[some], top[some]
+            hole = heaps.pop(row)
+            base, i, stop = row * (width + 1), (top >> bits) & low, top & low
+            j = end[base + i]
+            fresh = np.flatnonzero(end[base + j] == stop)  # of the others, one of the pair has merged since
+            r, base, i, j, stop, hole, new = row[fresh], base[fresh], i[fresh], j[fresh], stop[fresh], hole[fresh], top[fresh] >> shift
+            last = n[r]
+            end[base + i], end[base + j], back[base + stop], ids[base + i], alive[base + j] = stop, last, i, new, False
+            after = np.flatnonzero(stop < last)
+            at = base[after] + stop[after]
+            pair = self.vocabulary.pairs.of(new[after], ids[at])
+            makes = np.flatnonzero(pair >= 0)
+            one = after[makes]
+            heaps.push(r[one], (((pair[makes] << bits) | i[one]) << bits) | end[at[makes]], hole[one])
+            hole[one] = heaps.size[r[one]]  # a second entry goes to the row's end
+            heaps.size[r[one]] += 1
+            before = np.flatnonzero(i > 0)
+            begin = back[base[before] + i[before]]
+            pair = self.vocabulary.pairs.of(ids[base[before] + begin], new[before])
+            makes = np.flatnonzero(pair >= 0)
+            one = before[makes]
+            heaps.push(r[one], (((pair[makes] << bits) | begin[makes]) << bits) | stop[one], hole[one])
+        return ids[alive], alive.reshape(shape).sum(axis=1)
+
     @staticmethod
     def _missing(seen: set[str], held: dict, again: set[str], limit: int) -> set[str]:
         """What of seen is not held. A full cache keeps what came again, half of the limit at most."""
@@ -213,8 +343,11 @@ class Codec:
         if distinct:
             data = [t.encode() for t in distinct]
             known, tokens, decimal = self.vocabulary.ids, self.vocabulary.tokens, self.decimal
-            for name, token, slot in zip(distinct, data, self.vocabulary.table.slots_of(data).tolist(), strict=True):
-                ids[name] = decimal[known[slot]] if tokens[slot] == token else ",".join([decimal[i] for i in self.merge(token)])
+            slots = self.vocabulary.table.slots_of(data).tolist()
+            ids.update((name, decimal[known[slot]]) for name, token, slot in zip(distinct, data, slots, strict=True) if tokens[slot] == token)
+            other = [k for k, (token, slot) in enumerate(zip(data, slots, strict=True)) if tokens[slot] != token]
+            for k, own in zip(other, self.merge_all([data[k] for k in other]), strict=True):
+                ids[distinct[k]] = ",".join([decimal[i] for i in own])
         for name, part in zip(names, parts, strict=True):
             self.cache[name] = ids[part[0]] if len(part) == 1 else ",".join([ids[t] for t in part])
 
