@@ -1004,3 +1004,11 @@ def test_idle_worker_lets_its_resident_go():
     while "test:idle" in udf._resident and time.monotonic() < end:
         time.sleep(0.1)
     assert "test:idle" not in udf._resident
+
+
+def test_steps_over_batches_are_tasks():
+    """What a worker held goes when such a step begins, and the worker hands memory back after it."""
+    for step in (line_templates._tokens_of, line_templates._pairs_of, line_templates._apart, near_dup._confirm(80, 100), near_dup._candidates(80, 100), near_dup._in_blocks(80, 100)):
+        udf._resident["test:held"], udf._state["timer"] = [], None
+        assert list(step(iter([]))) == []
+        assert "test:held" not in udf._resident and udf._state["timer"] is not None and udf._state["tasks"] == 0

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from webquarry.llm import scan
 from webquarry.llm.store import HEAVY, SPLITS, discard, joined, small, stored
-from webquarry.llm.udf import text_udf, trim
+from webquarry.llm.udf import text_udf, tidy, trim
 
 U = np.uint64
 #: Documents in one block of the comparison of signatures within a bucket.
@@ -153,6 +153,7 @@ def _linked(a: np.ndarray, b: np.ndarray, parts: int, of: int) -> bool:
 
 
 def _confirm(parts: int, of: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("x_set"), batch.column("y_set")
@@ -219,6 +220,7 @@ def _groups(column: pa.ListArray) -> Iterator[tuple[slice, pa.StructArray]]:
 def _candidates(parts: int, of: int):
     """Members of blocks that may have a link to another component (and, across two halves, to the other half)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -253,6 +255,7 @@ def may_have_partner(sets: list[np.ndarray], parts: int, of: int) -> np.ndarray:
 
 
 def _in_blocks(parts: int, of: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = [], []
