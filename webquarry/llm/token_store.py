@@ -54,8 +54,14 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     codes = np.zeros(-(-len(values) // 4) * 4, dtype=np.uint8)
     codes[: len(values)] = size - 1
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
-    raw = values.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+    at = np.cumsum(size, dtype=np.int64) - size
+    data = np.empty(int(at[-1]) + int(size[-1]) if len(size) else 0, dtype=np.uint8)
+    data[at] = values & 0xFF
+    for k in (1, 2, 3):  # of ever fewer values
+        more = np.flatnonzero(size > k)
+        values, at, size = values[more], at[more], size[more]
+        data[at + k] = values >> (8 * k) & 0xFF
+    return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
